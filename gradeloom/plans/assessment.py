@@ -1,19 +1,123 @@
-"""Report queries over the assessment views."""
+"""Filters, joins, rollups, reports, sequences and state machines of the assessment platform, as SQL plans.
+
+Percentages are floor(x * 10^k + 0.5) / 10^k; sums are whole numbers or decimals, so that results don't
+depend on the order of addition. Reports whose formulas aren't fixed elsewhere use: completion = submitted /
+attempts, average score % over GRADED and FLAGGED attempts with a missing score as 0, accuracy = correct /
+answered, weak share = weak / assessed.
+"""
 
 from gradeloom.plans.registry import query
+from gradeloom.sources.adapter import VIEWS, register
+
+FLAGSHIP = "topic_reports"
+
+PCT1 = "floor({} * 10 + 0.5) / 10"
+PCT2 = "floor({} * 100 + 0.5) / 100"
+RATIO = "CAST({} AS DOUBLE) * 100 / {}"
+FLAG = "CASE WHEN total = 0 OR total IS NULL THEN 'normal' WHEN CAST(correct AS DOUBLE) / total >= 0.95 THEN 'too_easy' WHEN CAST(correct AS DOUBLE) / total <= 0.2 THEN 'too_hard' WHEN total >= 10 AND abs(CAST(correct AS DOUBLE) / total - 0.5) < 0.1 THEN 'ambiguous' ELSE 'normal' END"
+ATTEMPT_PCT = "CAST(coalesce(score, 0) AS DOUBLE) * 100 / greatest(1.0, CAST(total_marks AS DOUBLE))"
+
+
+def n_if(condition: str) -> str:
+    return f"CAST(sum(CASE WHEN {condition} THEN 1 ELSE 0 END) AS BIGINT)"
+
+
+def plan(name: str, body: str) -> None:
+    text = f"{VIEWS} {body}"
+
+    def run(spark, sf_dir):
+        register(spark, sf_dir)
+        return spark.sql(text)
+
+    run.__name__ = name
+    query(name, text)(run)
+
+
+# --- filters and projections
+plan("f_tenant_scope", "SELECT students.id, branch_id, tenant_id FROM students JOIN branches ON branches.id = branch_id WHERE tenant_id = 1")
+plan("f_role_scope", "SELECT s.id, s.class_label FROM students s WHERE s.branch_id = 3 AND s.id IN (SELECT student_id FROM attempts)")
+plan("f_in_list", "SELECT id, status FROM attempts WHERE status IN ('SUBMITTED', 'GRADED') AND exam_id IN (1, 2, 3)")
+plan("f_not_in", "SELECT id FROM questions WHERE NOT EXISTS (SELECT 1 FROM exam_questions e WHERE e.question_id = questions.id AND e.exam_id = 7)")
+plan("f_null_checks", "SELECT attempt_id, question_id, line_no FROM answers WHERE is_correct IS NULL")
+plan("f_range", "SELECT id, exam_id FROM attempts WHERE started_at >= CAST('1995-01-01' AS TIMESTAMP) AND started_at < CAST('1996-01-01' AS TIMESTAMP) AND score > 1000")
+plan("f_ilike", "SELECT id, name FROM questions WHERE contains(lower(name), lower('A')) OR contains(lower(subject), lower('brass'))")
+plan("f_ci_equals", "SELECT id FROM students WHERE lower(class_label) = lower('Building')")
+plan("f_nested_bool", "SELECT id FROM students WHERE (branch_id < 5 OR branch_id > 20) AND (class_label = 'BUILDING' OR class_label IS NULL)")
+plan("f_not_or", "SELECT id, status FROM attempts WHERE score IS NULL AND NOT (status = 'SUBMITTED' OR status = 'NOT_STARTED' OR exam_id = 3)")
+plan("f_exists_none", "SELECT id, EXISTS (SELECT 1 FROM attempts a WHERE a.student_id = s.id) AS has_attempts FROM students s")
+plan("f_col_arith", "SELECT a.id FROM attempts a WHERE a.status = 'IN_PROGRESS' AND a.started_at + INTERVAL '1800' SECOND < CAST('1997-01-01' AS TIMESTAMP)")
+plan("p_denorm", "SELECT a.id, a.status, e.total_marks, s.name, s.class_label FROM attempts a JOIN exams e ON e.id = a.exam_id JOIN students s ON s.id = a.student_id WHERE a.exam_id = 5")
+plan("p_coalesce_default", "SELECT a.id, coalesce(a.score, 0) AS score, coalesce(CASE WHEN a.exam_id < 40 THEN s.name END, '(missing)') AS name FROM attempts a LEFT JOIN students s ON s.id = a.student_id")
+plan("p_case_state", "SELECT id, CASE status WHEN 'NOT_STARTED' THEN 'QUEUED' WHEN 'IN_PROGRESS' THEN 'PROCESSING' WHEN 'FLAGGED' THEN 'FAILED' ELSE 'COMPLETED' END AS state FROM attempts")
+plan("p_recommend", "SELECT student_id, subject, topic, concat('Practise more ', topic, ' in ', subject, '.') AS recommendation FROM topic_reports WHERE CAST(correct AS DOUBLE) * 100 / total < 60")
+plan("p_precedence3", "SELECT id, coalesce(CASE WHEN p_size < 10 THEN topic END, CASE WHEN p_size < 30 THEN subject END, 'default') AS placed FROM questions")
+
+# --- joins
+plan("j_inner_expired", "SELECT a.id, a.exam_id FROM attempts a JOIN exams e ON e.id = a.exam_id WHERE a.status = 'IN_PROGRESS' AND a.started_at < e.closes_at")
+plan("j_answers_questions", "SELECT w.attempt_id, w.line_no, q.subject, q.topic, w.time_spent FROM answers w JOIN attempts a ON a.id = w.attempt_id JOIN questions q ON q.id = w.question_id WHERE a.exam_id = 9")
+plan("j_left_meta", "SELECT q.id, q.topic, coalesce(s.total, 0) AS total FROM questions q LEFT JOIN question_stats s ON s.question_id = q.id")
+plan("j_left_grade", "SELECT a.id AS attempt_id, count(w.question_id) AS answered, count(*) AS asked FROM attempts a JOIN exam_questions e ON e.exam_id = a.exam_id LEFT JOIN (SELECT DISTINCT attempt_id, question_id FROM answers) w ON w.attempt_id = a.id AND w.question_id = e.question_id WHERE a.exam_id = 2 GROUP BY a.id")
+plan("j_semi_some", "SELECT id FROM branches b WHERE EXISTS (SELECT 1 FROM students s JOIN attempts a ON a.student_id = s.id WHERE s.branch_id = b.id AND a.status = 'FLAGGED')")
+plan("j_anti_none", "SELECT id FROM attempts a WHERE NOT EXISTS (SELECT 1 FROM answers w WHERE w.attempt_id = a.id)")
+plan("j_update_from", "SELECT a.id, coalesce(CASE WHEN a.exam_id < 10 THEN a.exam_id END, s.branch_id) AS branch_id FROM attempts a LEFT JOIN students s ON s.id = a.student_id")
+plan("j_self_dedupe", "SELECT student_id, id FROM (SELECT student_id, id, row_number() OVER (PARTITION BY student_id ORDER BY started_at DESC, id DESC) AS rn FROM attempts) t WHERE rn = 1")
+
+# --- rollups and reports
+plan("question_stats", f"SELECT question_id, total, correct, {PCT2.format('avg_time')} AS avg_time_seconds, floor((1 - CAST(correct AS DOUBLE) / total) * 1000 + 0.5) / 1000 AS difficulty_score FROM question_stats")
+plan("topic_reports", f"SELECT student_id, subject, topic, total, correct, {PCT2.format(RATIO.format('correct', 'total'))} AS score_percent, CAST(correct AS DOUBLE) * 100 / total < 60 AS is_weak FROM topic_reports")
+plan("subject_performance", f"SELECT student_id, subject, CAST(sum(total) AS BIGINT) AS attempts, CAST(sum(correct) AS BIGINT) AS correct, count(*) AS topics, {n_if('CAST(correct AS DOUBLE) * 100 / total < 60')} AS weak_topics, CAST(sum(correct) AS DOUBLE) * 100 / sum(total) AS percent FROM topic_reports GROUP BY student_id, subject")
+plan("exam_summary", f"SELECT e.id AS exam_id, count(a.id) AS total_attempts, {n_if("status IN ('SUBMITTED', 'GRADED', 'FLAGGED')")} AS submitted, {n_if("status IN ('GRADED', 'FLAGGED')")} AS graded, coalesce(CAST(sum(CASE WHEN status IN ('GRADED', 'FLAGGED') THEN coalesce(score, 0) END) AS DOUBLE) / nullif({n_if("status IN ('GRADED', 'FLAGGED')")}, 0), 0) AS avg_score FROM exams e LEFT JOIN attempts a ON a.exam_id = e.id GROUP BY e.id")
+plan("exam_score_histogram", f"SELECT e.id AS exam_id, b.bucket, count(g.bucket) AS n FROM exams e CROSS JOIN (SELECT 0 AS bucket UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) b LEFT JOIN (SELECT exam_id, CASE WHEN p < 20 THEN 0 WHEN p < 40 THEN 1 WHEN p < 60 THEN 2 WHEN p < 80 THEN 3 ELSE 4 END AS bucket FROM (SELECT exam_id, CAST(coalesce(score, 0) AS DOUBLE) * 100 / CASE WHEN total_marks = 0 THEN 1.0 ELSE CAST(total_marks AS DOUBLE) END AS p FROM attempts JOIN exams ON exams.id = exam_id WHERE status IN ('GRADED', 'FLAGGED')) t) g ON g.exam_id = e.id AND g.bucket = b.bucket GROUP BY e.id, b.bucket")
+plan("exam_question_stats", f"SELECT exam_id, question_id, total, correct, avg_time, {FLAG} AS flag FROM (SELECT e.exam_id, e.question_id, count(w.is_correct) AS total, {n_if('w.is_correct')} AS correct, coalesce(CAST(sum(CASE WHEN w.is_correct IS NOT NULL THEN w.time_spent END) AS DOUBLE) / nullif(count(w.is_correct), 0), 0) AS avg_time FROM exam_questions e LEFT JOIN (SELECT attempt_id % 50 AS exam_id, question_id, is_correct, time_spent FROM answers) w ON w.exam_id = e.exam_id AND w.question_id = e.question_id GROUP BY e.exam_id, e.question_id) t")
+plan("question_flag", f"SELECT question_id, {FLAG} AS flag FROM question_stats")
+plan("student_summary", f"SELECT s.id AS student_id, coalesce(a.attempts, 0) AS attempts_total, coalesce(a.graded, 0) AS graded, coalesce(w.weak, 0) AS weak_topics FROM students s LEFT JOIN (SELECT student_id, count(*) AS attempts, {n_if("status IN ('GRADED', 'FLAGGED')")} AS graded FROM attempts GROUP BY student_id) a ON a.student_id = s.id LEFT JOIN (SELECT student_id, {n_if('CAST(correct AS DOUBLE) * 100 / total < 60')} AS weak FROM topic_reports GROUP BY student_id) w ON w.student_id = s.id")
+plan("weak_topics", "SELECT student_id, subject, topic, CAST(row_number() OVER (PARTITION BY student_id ORDER BY CAST(correct AS DOUBLE) / total, subject, topic) AS INTEGER) AS rank FROM topic_reports WHERE CAST(correct AS DOUBLE) * 100 / total < 60")
+plan("student_topics", "SELECT student_id, subject, topic, CAST(row_number() OVER (PARTITION BY student_id ORDER BY subject, CAST(correct AS DOUBLE) / total, topic) AS INTEGER) AS rank FROM topic_reports")
+plan("question_stat_lookup", "SELECT question_id, total, correct FROM question_stats WHERE question_id = 17")
+plan("exam_report_detail", f"SELECT e.exam_id, e.question_id, q.topic, {PCT1.format(RATIO.format('s.correct', 's.total'))} AS correct_percent, {PCT1.format('s.avg_time')} AS avg_time FROM exam_questions e JOIN questions q ON q.id = e.question_id LEFT JOIN question_stats s ON s.question_id = e.question_id WHERE e.exam_id = 11")
+plan("reports_overview", f"SELECT (SELECT count(*) FROM exams) AS exams, (SELECT count(*) FROM attempts) AS attempts, (SELECT count(DISTINCT student_id) FROM attempts) AS students, (SELECT {n_if('CAST(correct AS DOUBLE) * 100 / total < 60')} FROM topic_reports) AS weak_topics, (SELECT count(*) FROM question_stats) AS tracked_questions, (SELECT {PCT1.format('CAST(sum(correct) AS DOUBLE) * 100 / sum(total)')} FROM question_stats) AS accuracy_percent")
+plan("exam_reports", f"SELECT exam_id, count(*) AS attempts, {n_if("status IN ('SUBMITTED', 'GRADED', 'FLAGGED')")} AS submitted, {n_if("status IN ('GRADED', 'FLAGGED')")} AS graded, {PCT1.format(RATIO.format(n_if("status IN ('SUBMITTED', 'GRADED', 'FLAGGED')"), 'count(*)'))} AS completion_percent FROM attempts GROUP BY exam_id")
+plan("student_reports", f"SELECT student_id, CAST(sum(total) AS BIGINT) AS answered, {PCT1.format('CAST(sum(correct) AS DOUBLE) * 100 / sum(total)')} AS accuracy_percent, {n_if('CAST(correct AS DOUBLE) * 100 / total < 60')} AS weak_topics FROM topic_reports GROUP BY student_id")
+plan("student_trend", f"SELECT student_id, a.id AS attempt_id, CAST(row_number() OVER (PARTITION BY student_id ORDER BY started_at, a.id) AS INTEGER) AS step, {PCT1.format(ATTEMPT_PCT)} AS score_percent FROM attempts a JOIN exams e ON e.id = a.exam_id WHERE status IN ('GRADED', 'FLAGGED')")
+plan("topic_rollup", f"SELECT subject, topic, count(*) AS assessed, {PCT1.format('CAST(sum(correct) AS DOUBLE) * 100 / sum(total)')} AS accuracy_percent, {n_if('CAST(correct AS DOUBLE) * 100 / total < 60')} AS weak_students FROM topic_reports GROUP BY subject, topic")
+plan("question_reports", f"SELECT q.id, q.subject, q.topic, q.difficulty, s.total, {PCT1.format(RATIO.format('correct', 'total'))} AS correct_percent, {FLAG} AS flag FROM question_stats s JOIN questions q ON q.id = s.question_id")
+plan("class_reports", f"SELECT class_label, count(DISTINCT s.id) AS students, count(a.id) AS attempts, {n_if("status IN ('SUBMITTED', 'GRADED', 'FLAGGED')")} AS submitted FROM students s LEFT JOIN attempts a ON a.student_id = s.id GROUP BY class_label")
+plan("attempt_score", "SELECT attempt_id, CAST(greatest(sum(CASE WHEN is_correct THEN 4 WHEN NOT is_correct THEN -1 ELSE 0 END), 0) AS BIGINT) AS score, max(CASE WHEN is_correct IS NULL THEN 1 ELSE 0 END) = 1 AS descriptive_pending FROM answers GROUP BY attempt_id")
+plan("exam_total_marks", "SELECT e.id AS exam_id, CAST(coalesce(sum(q.p_size), 0) AS BIGINT) AS total_marks FROM exams e LEFT JOIN exam_questions x ON x.exam_id = e.id LEFT JOIN questions q ON q.id = x.question_id GROUP BY e.id")
+plan("drafts_by_status", "SELECT s.status, count(a.id) AS n FROM (SELECT 'NOT_STARTED' AS status UNION ALL SELECT 'IN_PROGRESS' UNION ALL SELECT 'SUBMITTED' UNION ALL SELECT 'GRADED' UNION ALL SELECT 'FLAGGED' UNION ALL SELECT 'DISCARDED') s LEFT JOIN attempts a ON a.status = s.status GROUP BY s.status")
+plan("job_finalised", "SELECT exam_id, min(CASE WHEN status IN ('GRADED', 'FLAGGED') THEN 1 ELSE 0 END) = 1 AS finalised FROM attempts GROUP BY exam_id")
+plan("batch_progress", f"SELECT exam_id, {n_if("status = 'NOT_STARTED'")} AS queued, {n_if("status = 'IN_PROGRESS'")} AS processing, {n_if("status = 'GRADED'")} AS completed, {n_if("status = 'FLAGGED'")} AS failed, coalesce(min(CASE WHEN status = 'IN_PROGRESS' THEN id END), min(CASE WHEN status = 'NOT_STARTED' THEN id END)) AS current_id FROM attempts GROUP BY exam_id")
+plan("job_progress", "SELECT attempt_id, CASE WHEN done = all_n THEN CAST(100 AS DOUBLE) ELSE least(CAST(99 AS DOUBLE), floor(CAST(done AS DOUBLE) * 100 / all_n + 0.5)) END AS percent FROM (SELECT attempt_id, count(is_correct) AS done, count(*) AS all_n FROM answers GROUP BY attempt_id) t")
+plan("paper_rows", "SELECT e.exam_id, count(*) AS questions, count(DISTINCT q.subject) AS subjects FROM exam_questions e JOIN questions q ON q.id = e.question_id GROUP BY e.exam_id")
+plan("classroom_rows", "SELECT b.id, count(s.id) AS students FROM branches b LEFT JOIN students s ON s.branch_id = b.id GROUP BY b.id")
+plan("classroom_facets", "SELECT 'class' AS facet, class_label AS value FROM students UNION SELECT 'subject', subject FROM questions UNION SELECT 'topic', topic FROM questions")
+plan("dashboard_summary", f"SELECT count(*) AS attempts, {n_if("status = 'IN_PROGRESS'")} AS live, {n_if("status = 'FLAGGED'")} AS flagged, {n_if("status = 'SUBMITTED'")} AS awaiting, count(DISTINCT student_id) AS students, count(DISTINCT exam_id) AS exams FROM attempts")
+plan("violation_counts", "SELECT attempt_id, type, count(*) AS n FROM violations GROUP BY attempt_id, type")
+plan("status_counts_ladder", f"SELECT count(*) AS n0, {n_if('score IS NOT NULL')} AS n1, {n_if('score IS NOT NULL AND exam_id < 25')} AS n2, {n_if('score IS NOT NULL AND exam_id < 25 AND score > 1000')} AS n3 FROM attempts")
+
+# --- sequences, order, sets
+plan("w_batch_sequence", "SELECT exam_id, id, CAST(row_number() OVER (PARTITION BY exam_id ORDER BY started_at, id) AS INTEGER) AS seq FROM attempts")
+plan("w_positions", "SELECT id, subject, CAST(row_number() OVER (PARTITION BY subject ORDER BY CASE WHEN p_size > 25 THEN p_size END ASC NULLS LAST, id) - 1 AS INTEGER) AS position FROM questions")
+plan("w_monotone_run", "SELECT attempt_id, line_no, time_spent, saved_at_rank FROM (SELECT *, max(time_spent) OVER (PARTITION BY attempt_id ORDER BY saved_at_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT attempt_id, line_no, time_spent, row_number() OVER (PARTITION BY attempt_id ORDER BY saved_at, line_no, question_id, time_spent) AS saved_at_rank FROM answers) r) t WHERE before IS NULL OR time_spent > before")
+plan("w_latest_per_key", "SELECT attempt_id, question_id, max(saved_at_n) AS saved FROM (SELECT attempt_id, question_id, count(*) OVER (PARTITION BY attempt_id, question_id) AS saved_at_n FROM answers) t GROUP BY attempt_id, question_id")
+plan("topk_review_queue", "SELECT id, exam_id FROM attempts WHERE status = 'SUBMITTED' ORDER BY started_at DESC, id DESC LIMIT 6")
+plan("assignment_expand", "SELECT DISTINCT exam_id, student_id FROM (SELECT exam_id, student_id FROM attempts UNION ALL SELECT 1 AS exam_id, id AS student_id FROM students WHERE class_label = 'BUILDING') u")
+plan("attempt_fanout", "SELECT x.exam_id, s.id AS student_id FROM (SELECT 4 AS exam_id) x CROSS JOIN students s WHERE s.class_label = 'MACHINERY' AND NOT EXISTS (SELECT 1 FROM attempts a WHERE a.exam_id = x.exam_id AND a.student_id = s.id)")
+plan("notify_fanout", "SELECT id AS student_id, channel FROM students CROSS JOIN (SELECT 'IN_APP' AS channel UNION ALL SELECT 'EMAIL') c WHERE branch_id = 2")
+
+# --- state machines, replayed over whole tables
+plan("s_auto_submit", "SELECT a.id, 'SUBMITTED' AS status FROM attempts a JOIN exams e ON e.id = a.exam_id WHERE a.status = 'IN_PROGRESS' AND a.started_at + INTERVAL '3600' SECOND < CAST('1998-01-01' AS TIMESTAMP)")
+plan("s_exam_transition", "SELECT id, CASE WHEN closes_at <= CAST('1998-08-01' AS TIMESTAMP) THEN 'CLOSED' WHEN opens_at <= CAST('1998-08-01' AS TIMESTAMP) THEN 'LIVE' ELSE 'SCHEDULED' END AS status FROM exams")
+plan("s_violation_state", """, counted AS (SELECT id, attempt_id, row_number() OVER (PARTITION BY attempt_id ORDER BY server_ts, id) AS n, sum(CASE WHEN type = 'TAB_SWITCH' THEN 1 ELSE 0 END) OVER (PARTITION BY attempt_id ORDER BY server_ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tabs, type FROM violations),
+decided AS (SELECT id, attempt_id, CAST(n AS BIGINT) AS n, CAST(tabs AS BIGINT) AS tabs, CASE WHEN n >= 10 OR (type = 'TAB_SWITCH' AND tabs >= 3) THEN 'AUTO_SUBMIT' WHEN n >= 5 THEN 'FLAG' ELSE 'NONE' END AS action FROM counted),
+stop AS (SELECT attempt_id, min(n) AS n FROM decided WHERE action <> 'NONE' GROUP BY attempt_id)
+SELECT d.id, d.attempt_id, d.n, d.tabs, d.action FROM decided d LEFT JOIN stop s ON s.attempt_id = d.attempt_id WHERE s.n IS NULL OR d.n <= s.n""")
+plan("s_answer_upsert", "SELECT attempt_id, line_no, question_id, time_spent FROM (SELECT *, row_number() OVER (PARTITION BY attempt_id, line_no ORDER BY saved_at DESC, question_id DESC, time_spent DESC) AS rn FROM answers) t WHERE rn = 1")
+plan("s_tick_dedupe", "SELECT attempt_id, count(*) AS days FROM (SELECT DISTINCT attempt_id, date_trunc('day', server_ts) AS d FROM violations) t GROUP BY attempt_id")
 
-FLAGSHIP = "f_tenant_scope"
-
-
-@query(
-    "f_tenant_scope",
-    "SELECT c_custkey AS id, c_nationkey AS branch_id, n_regionkey AS tenant_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1",
-)
-def f_tenant_scope(spark, sf_dir):
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return (
-        customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-        .where("n_regionkey = 1")
-        .selectExpr("c_custkey AS id", "c_nationkey AS branch_id", "n_regionkey AS tenant_id")
-    )
+# --- routing and calibration
+SCORED = "SELECT d.doc_id, CAST(d.n_chars % 100 AS DOUBLE) / 100 AS score, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
+plan("routing_summary", f"SELECT bucket, count(*) AS n FROM (SELECT CAST(least(4, greatest(0, floor(score * 5))) AS INTEGER) AS bucket FROM ({SCORED}) s) t GROUP BY bucket")
+CONFUSION = f"SELECT t.k, {n_if('score * 20 >= t.k AND quality = 1')} AS tp, {n_if('score * 20 >= t.k AND quality = 0')} AS fp, {n_if('score * 20 < t.k AND quality = 1')} AS fn, {n_if('score * 20 < t.k AND quality = 0')} AS tn FROM ({SCORED}) s CROSS JOIN (SELECT DISTINCT l_linenumber - 1 + 7 * (l_orderkey % 3) AS k FROM lineitem WHERE l_linenumber <= 7) t WHERE quality IS NOT NULL GROUP BY t.k"
+plan("threshold_sweep", f"SELECT k, tp, fp, fn, tn, {'floor(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) * 1000 + 0.5) / 1000'} AS accuracy FROM ({CONFUSION}) c")
+plan("threshold_pick", f"SELECT k, tp, fp, fn FROM ({CONFUSION}) c ORDER BY CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0) DESC NULLS LAST, k LIMIT 1")

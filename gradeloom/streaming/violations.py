@@ -1,0 +1,26 @@
+"""Violations as a stream: counts of each attempt, decided batch by batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+FLAG_AT, TOTAL_AT, TABS_AT = 5, 10, 3
+
+
+def violation_totals(events: DataFrame) -> DataFrame:
+    """``events`` (attempt_id, type, ts), a stream or a table -> (attempt_id, n, tabs, action).
+
+    The running totals decide: AUTO_SUBMIT at ten violations or three tab switches, FLAG at five. Written in
+    update mode, each trigger gives the attempts that changed.
+    """
+    n, tabs = F.count("*"), F.sum(F.when(F.col("type") == "TAB_SWITCH", 1).otherwise(0))
+    g = events.groupBy("attempt_id").agg(n.alias("n"), tabs.alias("tabs"))
+    action = F.when((F.col("n") >= TOTAL_AT) | (F.col("tabs") >= TABS_AT), "AUTO_SUBMIT").when(F.col("n") >= FLAG_AT, "FLAG").otherwise("NONE")
+    return g.withColumn("action", action)
+
+
+def tick_dedupe(ticks: DataFrame, seconds: int = 30, late: str = "2 minutes") -> DataFrame:
+    """One row a bucket of ``seconds``: ticks (ts timestamp) that fall into a bucket seen before are dropped."""
+    bucket = F.window("ts", f"{seconds} seconds")["start"].alias("bucket")
+    return ticks.withWatermark("ts", late).select(bucket, "ts").dropDuplicatesWithinWatermark(["bucket"]).select("bucket")
