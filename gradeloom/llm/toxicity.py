@@ -17,7 +17,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on, at most (in expectation: rows are chosen by a hash of doc_id).
 MOST_LABELLED = 12_000
 #: A term needs so many toxic documents (or this share of them), and so many times its share among the clean ones.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, MOST_TERMS = 3, 0.01, 25.0, 2000
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, MOST_TERMS = 4, 0.03, 25.0, 2000
 #: Beginnings of words that count as terms of their own, by letters.
 STEM_LENGTHS = (4, 12)
 #: Terms from this length on also match with one letter wrong, missing or added.
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = known.count()
     if n > MOST_LABELLED:
         known = known.where(hashed_unit(F.lit("fit"), "doc_id") < F.lit(MOST_LABELLED / n))
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(known) if n <= MOST_LABELLED else known, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(known) if n <= MOST_LABELLED else known, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["text"]))  # else copies make terms of rare words
     counts = sample.groupBy("toxic").count().collect()
     size = {r["toxic"]: r["count"] for r in counts}
     toxic, clean = size.get(1, 0), size.get(0, 0)
@@ -209,23 +209,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = term_counts(sample).where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (ratio >= LEAST_RATIO)).orderBy(F.desc("toxic"), "term", "whole").limit(20 * MOST_TERMS).collect()
     words, stems = choose_terms(rows, toxic, clean)
     lexicon = Lexicon(words, stems)
-    x, y = sample_features(sample, lexicon)
-    # a word whose misspellings are met in clean texts is matched exactly from now on
-    bad = x[:, FEATURES.index("fuzzy")] > 0
-    if bad.any() and y[bad].mean() < 0.5:
-        lexicon = Lexicon(words, stems, fuzzy=[])
-        x, y = sample_features(sample, lexicon)
+    x, y, near = sample_features(sample, lexicon)
+    # a term whose misspellings are met in clean texts as often as in toxic ones is matched exactly from now on
+    fuzzy = [w for w in words if len(w) >= FUZZY_FROM]
+    kept = []
+    for w in fuzzy:
+        alone = Lexicon([w], [], [w])
+        of = [t for found, t in zip(near, y) if any(alone.match(v) for v in found)]
+        if not of or np.mean(of) > 0.5:
+            kept.append(w)
+    if len(kept) < len(fuzzy):
+        lexicon = Lexicon(words, stems, kept)
+        x, y, _ = sample_features(sample, lexicon)
     return Model(lexicon, logistic(x, y))
 
 
-def sample_features(sample: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+def sample_features(sample: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Features, labels and the words matched with an error of the sample's texts, ``MOST_LABELLED`` of them."""
+
     def run(batches):
         for b in batches:
-            rows = [features(t.as_py(), lexicon) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
+            texts = b.column("text").to_pylist()
+            rows = [features(t, lexicon) for t in texts]
+            near = [[w for w, k in lexicon.hits(set(WORD.findall((t or "").lower()))).items() if k == "fuzzy"] for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.string()))], ["toxic", "x", "near"])
 
-    got = sample.mapInArrow(run, "toxic int, x array<double>").collect()  # MOST_LABELLED rows of six numbers
-    return np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)
+    got = sample.mapInArrow(run, "toxic int, x array<double>, near array<string>").collect()
+    return np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float), [r["near"] for r in got]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
