@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import partitions
+from gradeloom.llm.common import cut as written, partitions
 
 LEAST, GRAM = 50, 24
 SPAN = LEAST - GRAM + 1  # grams of a window
@@ -453,7 +453,8 @@ def remove_repeats(docs: DataFrame, output: str = "digest", batch_bytes: int = B
     texts = texts.select("doc", tid.alias("tid"), "data", "more", batch).repartition(n_batch, "batch")
 
     small = d.select("doc", tid.alias("tid"), F.sha2("data", 256).alias("sha"), batch)
-    least = small.groupBy(F.col("sha").alias("__sha")).agg(F.min("doc").alias("__least"), F.max("doc").alias("__most")).where("__most > __least").select("__sha", "__least")
+    # a table of its own (a hash and an id for each text that has copies), so that a large group of copies is split in the join
+    least = written(small.groupBy(F.col("sha").alias("__sha")).agg(F.min("doc").alias("__least"), F.max("doc").alias("__most")).where("__most > __least").select("__sha", "__least"))
     copies = small.join(least, F.col("sha") == F.col("__sha")).where("doc > __least").select("batch", "doc", "tid")
 
     keys = texts.groupBy("batch").cogroup(_by_batch(copies, n_batch)).applyInPandas(_keys(buckets), KEYS)
