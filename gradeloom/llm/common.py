@@ -6,6 +6,7 @@ import pickle
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,31 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+def sorted_runs(batches, keys):
+    """Of Arrow batches sorted by ``keys`` (no nulls): (table, [(first, last + 1), ...]), every run of equal keys once and whole.
+
+    A task holds one batch and the run that its end has cut, so runs need a bound.
+    """
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if held is not None:
+            t = pa.concat_tables([held, t])
+        if not t.num_rows:
+            continue
+        t = t.combine_chunks()
+        change = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            c = t[k].to_numpy()
+            change |= c[1:] != c[:-1]
+        at = [0, *(np.flatnonzero(change) + 1).tolist()]
+        if len(at) > 1:
+            yield t, list(zip(at[:-1], at[1:]))
+        held = t.slice(at[-1])
+    if held is not None:
+        yield held, [(0, held.num_rows)]
+
+
 class Forest:
     """Union-find over the integers 0..n-1; a root is the smallest member."""
 

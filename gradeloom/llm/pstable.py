@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Forest, cut, partitions, usable_vector
+from gradeloom.llm.common import Forest, cut, partitions, sorted_runs, usable_vector
 from gradeloom.llm.components import components
 
 #: At a cosine of 0.93 (distance 0.374) one projection of width 1.5 agrees for 0.80 of pairs, 6 for 0.26, and one of 24 tables for 0.999.
@@ -16,15 +18,23 @@ TABLES, PROJECTIONS, WIDTH = 24, 6, 1.5
 BLOCK = 1024
 
 
+#: Vectors and projections are hashed as whole numbers of these steps: sums stay below 2**53, so keys are exact.
+STEPS, A_STEPS = 1 << 20, 1 << 14
+#: Sizes of big buckets are broadcast up to this number of rows, and joined by a shuffle beyond it.
+MOST_BROADCAST = 200_000
+
+
+@cache
 def projections(dim: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng([seed, dim])
-    return r.standard_normal((dim, TABLES * PROJECTIONS)), r.uniform(0, WIDTH, TABLES * PROJECTIONS)
+    a, b = r.standard_normal((dim, TABLES * PROJECTIONS)), r.uniform(0, WIDTH, TABLES * PROJECTIONS)
+    return np.rint(a * A_STEPS), np.rint(b * STEPS * A_STEPS)
 
 
 def bucket_keys(x: np.ndarray) -> np.ndarray:
-    """(vectors, tables) of 64-bit keys, mixed from the quantised projections of normalised vectors."""
+    """(vectors, tables) of keys, mixed from the quantised projections of unit vectors; the same wherever computed."""
     a, b = projections(x.shape[1])
-    q = np.floor((x @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(x), TABLES, PROJECTIONS)
+    q = np.floor((np.rint(x * STEPS) @ a + b) / (WIDTH * STEPS * A_STEPS)).astype(np.int64).view(np.uint64).reshape(len(x), TABLES, PROJECTIONS)
     key = np.full((len(x), TABLES), 0x9E3779B97F4A7C15, np.uint64)
     for j in range(PROJECTIONS):
         key = (key ^ q[:, :, j]) * np.uint64(0xFF51AFD7ED558CCD)
@@ -37,33 +47,27 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _hash(batches):
-    for b in batches:
-        label, least, size, vec = (b.column(c) for c in ("label", "least", "size", "vec"))
-        rows = vec.to_pylist()
-        dims: dict[int, list[int]] = {}
-        for i, v in enumerate(rows):
-            dims.setdefault(len(v), []).append(i)
-        for ids in dims.values():
-            x = np.array([rows[i] for i in ids], np.float64)
-            keys = bucket_keys(unit(x))
-            n, at = len(ids), np.array(ids)
-            take = pa.array(np.repeat(at, TABLES))
-            raw = pa.array([r.tobytes() for r in x])
-            all_keys = pa.array([k.tobytes() for k in keys])
-            again = pa.array(np.repeat(np.arange(n), TABLES))
-            yield pa.RecordBatch.from_arrays(
-                [label.take(take), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n)), pa.array(keys.reshape(-1)), least.take(take), size.take(take), raw.take(again), all_keys.take(again)],
-                ["label", "tab", "key", "least", "size", "raw", "keys"],
-            )
+def _hash(dtype):
+    """One row a table for each class; ``raw`` has the vector in its own width."""
 
+    def run(batches):
+        for b in batches:
+            label, least, size, vec = (b.column(c) for c in ("label", "least", "size", "vec"))
+            lengths = vec.value_lengths().to_numpy()
+            flat, starts = vec.flatten().to_numpy(), np.cumsum(lengths) - lengths
+            for dim in np.unique(lengths):
+                at = np.flatnonzero(lengths == dim)
+                x = flat[starts[at][:, None] + np.arange(dim)]
+                keys = bucket_keys(unit(x))
+                take = pa.array(np.repeat(at, TABLES))
+                raw = pa.array([r.tobytes() for r in x.astype(dtype)], pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), TABLES)))
+                columns = [label.take(take), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(at))), pa.array(keys.reshape(-1)), least.take(take), size.take(take), raw]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "tab", "key", "least", "size", "raw"])
 
-HASHED = "label int, tab int, key long, least long, size long, raw binary, keys binary"
+    return run
 
 
-def _arrays(p) -> tuple[np.ndarray, np.ndarray]:
-    x = unit(np.frombuffer(b"".join(p["raw"]), np.float64).reshape(len(p), -1))
-    return x, np.frombuffer(b"".join(p["keys"]), np.int64).reshape(len(p), TABLES)
+HASHED = "label int, tab int, key long, least long, size long, raw binary"
 
 
 def _first_here(ka: np.ndarray, kb: np.ndarray, tab: int) -> np.ndarray:
@@ -74,17 +78,18 @@ def _first_here(ka: np.ndarray, kb: np.ndarray, tab: int) -> np.ndarray:
     return ~met
 
 
-def _compare(cosine):
-    """Of one part of a bucket: the links of each vector, counted, and a forest of them."""
+def _compare(cosine, dtype, keys):
+    """Of each part of a bucket, in rows sorted by ``keys``: the links of each vector, counted, and a forest of them."""
 
-    def run(p):
-        import pandas as pd
+    def unit_of(raw):
+        return unit(np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1).astype(np.float64))
 
-        tab, same = int(p["tab"].iat[0]), p["side"].nunique() == 1
-        x, keys = _arrays(p)
-        side, least, size = (p[c].to_numpy() for c in ("side", "least", "size"))
-        rows, cols = (np.arange(len(p)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        links, forest, edges = np.zeros(len(p), np.int64), Forest(len(p)), []
+    def one(tab: int, side, least, size, x):
+        same = side[0] == side[-1] and (side == side[0]).all()
+        if same and len(x) <= BLOCK and np.count_nonzero(x @ x.T >= cosine - 1e-9) <= len(x):
+            return None  # only each vector with itself
+        rows, cols = (np.arange(len(x)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        links, forest, edges, met = np.zeros(len(x), np.int64), Forest(len(x)), [], None
         for at in range(0, len(rows), BLOCK):
             r = rows[at : at + BLOCK]
             near = exact_at_least(x, r, cols, cosine)
@@ -92,7 +97,9 @@ def _compare(cosine):
                 near &= cols[None, :] > r[:, None]
             if not near.any():
                 continue
-            counted = near & _first_here(keys[r], keys[cols], tab)
+            if met is None:
+                met = bucket_keys(x)
+            counted = near & _first_here(met[r], met[cols], tab)
             links[r] += counted @ size[cols]
             np.add.at(links, cols, counted.T @ size[r])
             i, j = np.nonzero(near)
@@ -101,7 +108,17 @@ def _compare(cosine):
                     edges.append((a, b))
         hit = np.flatnonzero(links)
         a, b = np.array(edges, np.int64).reshape(-1, 2).T
-        return pd.DataFrame({"a": np.concatenate((least[hit], least[a])), "b": np.concatenate((least[hit], least[b])), "n": np.concatenate((links[hit], np.zeros(len(a), np.int64)))})
+        return np.concatenate((least[hit], least[a])), np.concatenate((least[hit], least[b])), np.concatenate((links[hit], np.zeros(len(a), np.int64)))
+
+    def run(batches):
+        for t, bounds in sorted_runs(batches, keys):
+            tab, side, least, size = (t[c].to_numpy() for c in ("tab", "side", "least", "size"))
+            raw, dim = t["raw"].to_pylist(), t["dim"].to_numpy()
+            x = unit_of(raw) if (dim == dim[0]).all() else None
+            out = [one(int(tab[i]), side[i:j], least[i:j], size[i:j], unit_of(raw[i:j]) if x is None else x[i:j]) for i, j in bounds if j > i + 1]
+            out = [o for o in out if o is not None]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "n"])
 
     return run
 
@@ -132,24 +149,25 @@ def vector_links(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     base = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
     good = base.where(usable_vector(F.col("vec")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
     classes = cut(good.groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("size")))
-    hashed = classes.select(F.col("label").cast("int").alias("label"), "least", "size", "vec").mapInArrow(_hash, HASHED)
+    dtype = np.float32 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+    hashed = classes.select(F.col("label").cast("int").alias("label"), "least", "size", "vec").mapInArrow(_hash(dtype), HASHED)
     hashed = hashed.withColumn("dim", F.octet_length("raw"))
     bucket = ["label", "tab", "key", "dim"]
-    sizes = hashed.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("least"), F.col("blocks")).cast("int")
+    big = cut(hashed.groupBy(*bucket).agg(F.count("*").alias("m")).where(F.col("m") > BLOCK))
+    if big.count() <= MOST_BROADCAST:
+        big = F.broadcast(big)
     spread = (
-        hashed.join(sizes, bucket)
-        .withColumn("blocks", blocks)
-        .withColumn("own", own)
+        hashed.join(big, bucket, "left")
+        .withColumn("blocks", F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("least"), F.col("blocks")).cast("int"))
         # block pair (lo, hi): a class goes to each pair that its block is part of
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
         .withColumn("side", F.when(F.col("own") == F.col("lo"), 0).otherwise(1))
     )
-    n = partitions(spark)
-    found = spread.repartition(n, *bucket, "lo", "hi").groupBy(*bucket, "lo", "hi").applyInPandas(_compare(cosine), "a long, b long, n long")
-    found = cut(found)
+    parts = [*bucket, "lo", "hi"]
+    near = spread.select(*parts, "side", "least", "size", "raw").repartition(partitions(spark), *parts).sortWithinPartitions(*parts)
+    found = cut(near.mapInArrow(_compare(cosine, dtype, parts), "a long, b long, n long"))
     roots = cut(components(found.where("a <> b").select("a", "b")))
     counted = found.where("n > 0").groupBy(F.col("a").alias("__least")).agg(F.sum("n").alias("__n"))
     per_class = (
