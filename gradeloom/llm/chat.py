@@ -29,6 +29,8 @@ CHUNK = 256
 #: Conversations that the model is counted on, at most (in expectation, chosen by a hash).
 MOST_FITTED = 20_000
 TURN_END = "<|end|>"
+#: Lines, padding included, that Viterbi runs through together.
+TOGETHER = 1 << 16
 
 
 def line_features(line: str, after_empty: bool) -> tuple[int, int, int, int]:
@@ -84,18 +86,39 @@ class Hmm:
             m = (m[:, :, None] + self.step[None]).max(axis=1) + row
         return m
 
-    def path(self, e: np.ndarray, before: int | None, last: int | None) -> list[int]:
-        """The best states of these lines, given the state before them (None: they start) and the last one (None: any)."""
-        v = (self.start if before is None else self.step[before]) + e[0]
-        back = []
-        for row in e[1:]:
-            cand = v[:, None] + self.step
-            back.append(cand.argmax(axis=0))
-            v = cand.max(axis=0) + row
-        out = [int(v.argmax()) if last is None else last]
-        for b in back[::-1]:
-            out.append(int(b[out[-1]]))
-        return out[::-1]
+    def paths(self, e: list[np.ndarray], before: list[int], last: list[int]) -> list[np.ndarray]:
+        """The best states of each sequence of lines, given the state before it (-1: it starts) and its last one (-1: any).
+
+        Sequences of like length run together, ``TOGETHER`` cells at most unless one alone is longer.
+        """
+        out: list = [None] * len(e)
+        size = np.array([len(x) for x in e])
+        order, at = np.argsort(size, kind="stable"), 0
+        while at < len(order):
+            n = 1
+            while at + n < len(order) and size[order[at + n]] * (n + 1) <= TOGETHER:
+                n += 1
+            ids = order[at : at + n]
+            at += n
+            for i, states in zip(ids, self._together([e[i] for i in ids], size[ids], np.array(before)[ids], np.array(last)[ids])):
+                out[i] = states
+        return out
+
+    def _together(self, e, size, before, last):
+        n, steps, k = len(e), int(size.max()), len(STATES)
+        x, back = np.zeros((steps, n, k)), np.empty((steps, n, k), np.int8)
+        for i, rows in enumerate(e):
+            x[: size[i], i] = rows
+        v = np.where((before < 0)[:, None], self.start, self.step[before]) + x[0]
+        for t in range(1, steps):
+            cand, live = v[:, :, None] + self.step, (size > t)[:, None]
+            back[t] = np.where(live, cand.argmax(axis=1), np.arange(k))  # past its end a sequence stays where it is
+            v = np.where(live, cand.max(axis=1) + x[t], v)
+        states = np.empty((steps, n), np.int64)
+        states[-1] = np.where(last < 0, v.argmax(axis=1), last)
+        for t in range(steps - 1, 0, -1):
+            states[t - 1] = back[t][np.arange(n), states[t]]
+        return [states[: size[i], i] for i in range(n)]
 
 
 def _lines(batches):
@@ -146,15 +169,18 @@ def parse(transcripts: DataFrame, hmm: Hmm) -> DataFrame:
     The pieces of a conversation, in order of pos, are its lines; other columns are not used. Viterbi finds
     the best states of all lines. A conversation is cut into chunks of lines by position: each chunk becomes
     a matrix of best passages between states, the chain of matrices is solved, one small row a chunk, and
-    then each chunk is traced back on its own, so one very long conversation is shared out over tasks.
+    then each chunk is traced back on its own, so one very long conversation is shared out over tasks. A
+    conversation of one chunk needs no chain.
 
     Nulls: a null text is an empty line; a null conv_id is a conversation of its own; a null pos comes first.
     Pieces with equal pos are taken in order of text. Repeated rows are repeated lines. Empty in, empty out.
     """
-    kind = transcripts.schema["conv_id"].dataType.simpleString()
-    t = transcripts.select("conv_id", F.coalesce(F.col("pos").cast("long"), F.lit(-(2**62))).alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = "string"  # within pandas, so that ids beside a null stay exact
+    t = transcripts.select(F.col("conv_id").cast(kind).alias("conv_id"), F.coalesce(F.col("pos").cast("long"), F.lit(-(2**62))).alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("chunk", F.floor(F.col("pos") / CHUNK))
     lines = cut(lines_of_chunks(t, kind))
+    longer = lines.groupBy(F.col("conv_id").alias("__c")).agg(F.count("*").alias("m")).where("m > 1")
+    chained = lines.select("conv_id", "chunk", "f").join(longer, F.col("conv_id").eqNullSafe(F.col("__c")), "left_semi")
 
     def matrices(batches):
         for p in batches:
@@ -162,7 +188,7 @@ def parse(transcripts: DataFrame, hmm: Hmm) -> DataFrame:
                 e = hmm.lines(np.frombuffer(b"".join(g["f"]), np.int8).reshape(-1, len(SIZES)).astype(int))
                 yield pd.DataFrame({"conv_id": [conv], "chunk": [chunk], "start": [hmm.through(e, True).tobytes()], "inner": [hmm.through(e, False).tobytes()]})
 
-    small = lines.select("conv_id", "chunk", "f").mapInPandas(matrices, f"conv_id {kind}, chunk long, start binary, inner binary")
+    small = chained.mapInPandas(matrices, f"conv_id {kind}, chunk long, start binary, inner binary")
 
     def chain(p):
         p = p.sort_values("chunk")
@@ -185,9 +211,10 @@ def parse(transcripts: DataFrame, hmm: Hmm) -> DataFrame:
     def traced(batches):
         for p in batches:
             rows = []
-            for conv, chunk, f, text, before, last in zip(p["conv_id"], p["chunk"], p["f"], p["lines"], p["before"], p["last"]):
-                e = hmm.lines(np.frombuffer(f, np.int8).reshape(-1, len(SIZES)).astype(int))
-                states, seq = hmm.path(e, None if before < 0 else before, last), 0
+            before, last = (p[c].fillna(-1).astype(int).tolist() for c in ("before", "last"))
+            found = hmm.paths([hmm.lines(np.frombuffer(f, np.int8).reshape(-1, len(SIZES)).astype(int)) for f in p["f"]], before, last)
+            for conv, chunk, text, states in zip(p["conv_id"], p["chunk"], p["lines"], found):
+                seq = 0
                 for k, (s, line) in enumerate(zip(states, text)):
                     role, begins = STATES[s]
                     seq += begins
@@ -196,7 +223,7 @@ def parse(transcripts: DataFrame, hmm: Hmm) -> DataFrame:
                     rows[-1][5].append(without_marker(line) if begins else line)
             yield pd.DataFrame([(c, h, q, r, b, "\n".join(t)) for c, h, q, r, b, t in rows], columns=["conv_id", "chunk", "seq", "role", "begins", "text"])
 
-    joined = lines.join(ends.withColumnRenamed("conv_id", "__c").withColumnRenamed("chunk", "__h"), F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("chunk") == F.col("__h")))
+    joined = lines.join(ends.withColumnRenamed("conv_id", "__c").withColumnRenamed("chunk", "__h"), F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("chunk") == F.col("__h")), "left")
     parts = cut(joined.select("conv_id", "chunk", "f", "lines", "before", "last").mapInPandas(traced, f"conv_id {kind}, chunk long, seq int, role int, begins boolean, text string"))
     # turns are numbered within their chunk, and chunks by what has begun before; a turn may go on over chunks
     w = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -206,24 +233,29 @@ def parse(transcripts: DataFrame, hmm: Hmm) -> DataFrame:
     turns = parts.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("begins"), F.col("role"))).alias("r"), F.array_sort(F.collect_list(F.struct("chunk", "seq", "text"))).alias("p"))
     names = F.array(*[F.lit(r) for r in ROLES])
     text = F.array_join(F.transform("p", lambda x: x["text"]), "\n")
-    return turns.select("conv_id", F.col("turn").cast("int").alias("turn"), F.element_at(names, F.col("r") + 1).alias("role"), F.trim(text).alias("text")).withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n" + TURN_END + "\n")))
+    return turns.select(F.col("conv_id").cast(transcripts.schema["conv_id"].dataType).alias("conv_id"), F.col("turn").cast("int").alias("turn"), F.element_at(names, F.col("r") + 1).alias("role"), F.trim(text).alias("text")).withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n" + TURN_END + "\n")))
 
 
 def lines_of_chunks(t: DataFrame, kind: str) -> DataFrame:
     """(conv_id, chunk, lines array, f binary): the lines of each block of pieces and their features."""
 
-    def run(p):
-        p = p.sort_values(["pos", "text"])
-        texts, f = [], []
-        for text in p["text"]:
-            empty = False
-            for line in text.split("\n"):
-                texts.append(line)
-                f.append(line_features(line, empty))
-                empty = not line.strip()
-        return pd.DataFrame({"conv_id": [p["conv_id"].iat[0]], "chunk": [p["chunk"].iat[0]], "lines": [texts], "f": [np.array(f, np.int8).tobytes()]})
-
-    return t.groupBy("conv_id", "chunk").applyInPandas(run, f"conv_id {kind}, chunk long, lines array<string>, f binary")
+    def run(batches):
+        for p in batches:
+            all_lines, all_f = [], []
+            for pieces in p["pieces"]:
+                lines, f = [], []
+                for piece in pieces:
+                    empty = False
+                    for line in piece["text"].split("\n"):
+                        lines.append(line)
+                        f.append(line_features(line, empty))
+                        empty = not line.strip()
+                all_lines.append(lines)
+                all_f.append(np.array(f, np.int8).tobytes())
+            yield pd.DataFrame({"conv_id": p["conv_id"], "chunk": p["chunk"], "lines": all_lines, "f": all_f})
+
+    chunks = t.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("pieces"))
+    return chunks.mapInPandas(run, f"conv_id {kind}, chunk long, lines array<string>, f binary")
 
 
 def transcripts_of(conversations: DataFrame) -> DataFrame:
