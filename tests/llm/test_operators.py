@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from gradeloom.llm import blocks, chat, hnsw, mixing, pstable, repeats, revisits, simhash, toxicity, unigram
+from gradeloom.llm import blocks, chat, hnsw, mixing, pstable, repeats, revisits, similar, simhash, toxicity, unigram
 from gradeloom.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -185,6 +185,37 @@ def test_grid_loses_no_pair():
     assert all(ca[x] & cb[y] for x, y in zip(a.view(np.int64), b.view(np.int64)))
 
 
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    r = np.random.default_rng(3)
+    rows, line = [], " ".join(f"notice{i}" for i in range(12))
+    for i in range(25):
+        base = [f"w{x}" for x in r.integers(0, 4000, 60 + 7 * i)]
+        rows.append((len(rows), " ".join(base) + " " + line))
+        for edits in (1, 2, 3, 4, 6, 9):
+            copy = list(base)
+            for at in r.integers(0, len(base), edits):
+                copy[at] = "changed"
+            rows.append((len(rows), " ".join(copy) + " " + line))
+    rows += [(900, None), (901, ""), (902, " "), (903, "One two"), (904, "one  two"), (905, "one three"), (None, rows[0][1]), (0, rows[0][1])]
+
+    def words(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {""}
+
+    sets = [words(t) for _, t in rows]
+    up = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            up = [up[a] if x == up[b] else x for x in up]
+    want = {min(rows[i][0] for i in range(len(rows)) if up[i] == u and rows[i][0] is not None) for u in set(up)}
+    df = spark.createDataFrame([(*x, "s", "c") for x in rows], DOCS)
+    got = [x.doc_id for x in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert set(got) == want and len(want) < 120
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
 def test_unigram_is_optimal():
     r = np.random.default_rng(3)
     kinds = [(b"", 0.0, "control")] + [(bytes([i]), 0.0, "byte") for i in range(256)]
