@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from gradeloom.llm.common import Shipped, cut
 from gradeloom.llm.mixing import hashed_unit
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Words hold inner digits and masking signs ('id1ot', 'st*pid'), each in place of a letter.
+WORD = re.compile(r"[^\W\d_]+(?:[\d_*@$#!+%&]{1,3}[^\W\d_]+)*")
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on, at most (in expectation: rows are chosen by a hash of doc_id).
 MOST_LABELLED = 12_000
 #: A term needs so many toxic documents (or this share of them), and so many times its share among the clean ones.
@@ -37,12 +39,13 @@ class Lexicon:
     needs them, so the walk of a word is one dictionary look-up a letter and ends at the first dead state.
     """
 
-    def __init__(self, words: list[str], stems: list[str], fuzzy: list[str] | None = None):
+    def __init__(self, words: list[str], stems: list[str], fuzzy: list[str] | None = None, fuzzy_stems: list[str] | None = None):
         self.next: list[dict[str, int]] = [{}]
         self.whole: list[bool] = [False]
         self.stem: list[bool] = [False]
         self.near: list[bool] = [False]  # some word below may be matched with an error
         fuzzy = [w for w in words if len(w) >= FUZZY_FROM] if fuzzy is None else fuzzy
+        fuzzy_stems = [w for w in stems if len(w) >= FUZZY_FROM] if fuzzy_stems is None else fuzzy_stems
         for terms, mark in ((words, self.whole), (stems, self.stem)):
             for term in terms:
                 s = 0
@@ -54,15 +57,16 @@ class Lexicon:
                             x.append(False)
                     s = self.next[s][c]
                 mark[s] = True
-        self.fuzzy_end = [False] * len(self.next)
-        for w in fuzzy:
-            s, path = 0, [0]
-            for c in w:
-                s = self.next[s][c]
-                path.append(s)
-            self.fuzzy_end[s] = True
-            for s in path:
-                self.near[s] = True
+        self.fuzzy_end, self.fuzzy_stem = [False] * len(self.next), [False] * len(self.next)
+        for terms, mark in ((fuzzy, self.fuzzy_end), (fuzzy_stems, self.fuzzy_stem)):
+            for w in terms:
+                s, path = 0, [0]
+                for c in w:
+                    s = self.next[s][c]
+                    path.append(s)
+                mark[s] = True
+                for s in path:
+                    self.near[s] = True
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -84,7 +88,7 @@ class Lexicon:
             self.moves.append({})
             # a word may also end one letter before the term does; that is in the closure
             exact = any(e == 0 and self.whole[n] for n, e in items)
-            fuzzy = any(e == 1 and self.fuzzy_end[n] for n, e in items)
+            fuzzy = any(e == 1 and (self.fuzzy_end[n] or self.fuzzy_stem[n]) for n, e in items)
             stem = any(e == 0 and self.stem[n] for n, e in items)
             self.ends.append("exact" if exact else "stem" if stem else "fuzzy" if fuzzy else "")
         return self.ids[items]
@@ -92,8 +96,8 @@ class Lexicon:
     def move(self, state: int, c: str) -> int:
         items: set = set()
         for node, errors in self.sets[state]:
-            if errors == 0 and self.stem[node]:
-                items.add((node, 0))  # a stem is matched whatever follows
+            if self.fuzzy_stem[node] if errors else self.stem[node]:
+                items.add((node, errors))  # a stem is matched whatever follows
             if (n := self.next[node].get(c)) is not None and (errors == 0 or self.near[n]):
                 items.add((n, errors))
             if errors == 0 and self.near[node]:
@@ -112,6 +116,16 @@ class Lexicon:
                 return ""
         return self.ends[s]
 
+    def spans(self, text: str, hits: dict[str, str]):
+        """(kind, start, end) of each hit of a text; a word with signs that is no hit itself is looked up in its parts."""
+        for m in WORD.finditer(text):
+            if kind := hits.get(m.group()):
+                yield kind, m.start(), m.end()
+            elif not m.group().isalpha():
+                for part in LETTERS.finditer(text, m.start(), m.end()):
+                    if kind := hits.get(part.group()):
+                        yield kind, part.start(), part.end()
+
     def hits(self, words: set[str]) -> dict[str, str]:
         """The words that match, remembered for the next text of this task."""
         memo, out = self.memo, {}
@@ -135,20 +149,24 @@ def quoted(text: str, at: int, to: int) -> bool:
     return any(c in QUOTES for w in left for c in w) and any(c in QUOTES for w in right for c in w)
 
 
+def candidates(words: list[str]) -> set[str]:
+    """The words, and the parts of those with signs."""
+    out = set(words)
+    return out.union(*(LETTERS.findall(w) for w in out if not w.isalpha()))
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     low = (text or "").lower()
     words = WORD.findall(low)
-    hits = lexicon.hits(set(words))
+    hits = lexicon.hits(candidates(words))
     if not hits:
         return [0.0] * len(FEATURES)
     n, inside = Counter(), 0
-    for m in WORD.finditer(low):
-        kind = hits.get(m.group())
-        if kind:
-            if quoted(low, m.start(), m.end()):
-                inside += 1
-            else:
-                n[kind] += 1
+    for kind, at, to in lexicon.spans(low, hits):
+        if quoted(low, at, to):
+            inside += 1
+        else:
+            n[kind] += 1
     free = sum(n.values())
     return [float(free > 0), *[float(np.log1p(n[k])) for k in ("exact", "fuzzy", "stem")], float(np.log1p(inside)), float(np.log1p(100 * free / len(words)))]
 
@@ -211,19 +229,30 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     lexicon = Lexicon(words, stems)
     x, y, near = sample_features(sample, lexicon)
     # a term whose misspellings are met in clean texts as often as in toxic ones is matched exactly from now on
-    fuzzy = [w for w in words if len(w) >= FUZZY_FROM]
-    kept = []
-    for w in fuzzy:
-        alone = Lexicon([w], [], [w])
-        of = [t for found, t in zip(near, y) if any(alone.match(v) for v in found)]
-        if not of or np.mean(of) > 0.5:
-            kept.append(w)
-    if len(kept) < len(fuzzy):
-        lexicon = Lexicon(words, stems, kept)
+    kept, kept_stems = keep_fuzzy(words, False, near, y), keep_fuzzy(stems, True, near, y)
+    if (kept, kept_stems) != tuple([w for w in t if len(w) >= FUZZY_FROM] for t in (words, stems)):
+        lexicon = Lexicon(words, stems, kept, kept_stems)
         x, y, _ = sample_features(sample, lexicon)
     return Model(lexicon, logistic(x, y))
 
 
+def keep_fuzzy(terms: list[str], stem: bool, near: list[list[str]], y) -> list[str]:
+    """The terms (of ``FUZZY_FROM`` letters) whose misspellings are met in more toxic texts than clean ones, or in none."""
+    of_word: dict[str, list[int]] = {}
+    for i, found in enumerate(near):
+        for v in found:
+            of_word.setdefault(v, []).append(i)
+    kept = []
+    for w in terms:
+        if len(w) < FUZZY_FROM:
+            continue
+        alone = Lexicon([], [w]) if stem else Lexicon([w], [])
+        of = {i for v, at in of_word.items() if alone.match(v) for i in at}
+        if not of or np.mean([y[i] for i in of]) > 0.5:
+            kept.append(w)
+    return kept
+
+
 def sample_features(sample: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     """Features, labels and the words matched with an error of the sample's texts, ``MOST_LABELLED`` of them."""
 
@@ -231,7 +260,7 @@ def sample_features(sample: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np
         for b in batches:
             texts = b.column("text").to_pylist()
             rows = [features(t, lexicon) for t in texts]
-            near = [[w for w, k in lexicon.hits(set(WORD.findall((t or "").lower()))).items() if k == "fuzzy"] for t in texts]
+            near = [[w for w, k in lexicon.hits(candidates(WORD.findall((t or "").lower()))).items() if k == "fuzzy"] for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.string()))], ["toxic", "x", "near"])
 
     got = sample.mapInArrow(run, "toxic int, x array<double>, near array<string>").collect()

@@ -284,6 +284,17 @@ def test_lexicon():
     assert free[0] == 1 and inside[0] == 0 and inside[toxicity.FEATURES.index("quoted")] > 0
 
 
+def test_stems_and_masked_words_are_fuzzy():
+    lex = toxicity.Lexicon(["moron", "idiot"], ["wretch"])
+    kinds = {w: lex.match(w) for w in ("wretched", "wrethed", "wrettched", "wrotched", "rwtched", "wr3tches", "id1ot", "mor*n", "m**on")}
+    assert kinds == {"wretched": "stem", "wrethed": "fuzzy", "wrettched": "fuzzy", "wrotched": "fuzzy", "rwtched": "", "wr3tches": "fuzzy", "id1ot": "fuzzy", "mor*n": "fuzzy", "m**on": ""}
+    free = toxicity.FEATURES.index("any")
+    assert all(toxicity.features(t, lex)[free] == 1 for t in ("you id1ot", "you mor*n there", "wr*tched thing", "mail idiot@home", "idiot_1x"))
+    assert toxicity.features("room a1b, 3rd of x2y", lex)[free] == 0
+    assert toxicity.keep_fuzzy(["wretch"], True, [["wretced"], ["wretced"], ["wretced"]], [0, 0, 1]) == []
+    assert toxicity.keep_fuzzy(["wretch"], True, [["wretced"], []], [1, 0]) == ["wretch"]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
