@@ -18,8 +18,8 @@ WORD = re.compile(r"[^\W\d_]+(?:[\d_*@$#!+%&]{1,3}[^\W\d_]+)*")
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on, at most (in expectation: rows are chosen by a hash of doc_id).
 MOST_LABELLED = 12_000
-#: A term needs so many toxic documents (or this share of them), and so many times its share among the clean ones.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, MOST_TERMS = 4, 0.03, 25.0, 2000
+#: A term needs so many toxic documents, so many times its share among the clean ones, and counts that chance gives so rarely.
+LEAST_DOCS, LEAST_RATIO, MOST_CHANCE, MOST_TERMS = 3, 25.0, 2e-3, 2000
 #: Beginnings of words that count as terms of their own, by letters.
 STEM_LENGTHS = (4, 12)
 #: Terms from this length on also match with one letter wrong, missing or added.
@@ -188,6 +188,14 @@ def term_counts(sample: DataFrame) -> DataFrame:
     return sample.select("toxic", terms.alias("t")).groupBy("t.term", "t.whole").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
 
 
+def chance(toxic, clean, share: float):
+    """A bound (Chernoff's) on how likely so many of a term's documents are toxic, if it tells nothing: ``share`` are anyway."""
+    n = toxic + clean
+    a = toxic / n
+    of_clean = F.when(clean > 0, (1 - a) * F.log((1 - a) / F.lit(1 - share))).otherwise(0.0)
+    return F.when(a <= share, 1.0).otherwise(F.exp(-n * (a * F.log(a / F.lit(share)) + of_clean)))
+
+
 def choose_terms(rows: list, toxic: int, clean: int) -> tuple[list[str], list[str]]:
     """Words and stems. A beginning is a stem where words branch off it; one that only goes on, or that is
     itself the word that makes it count, is not."""
@@ -224,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(Lexicon([], []), np.array([-40.0] + [0.0] * len(FEATURES)))
     ratio = ((F.col("toxic") + 0.1) / (toxic + 1)) / ((F.col("clean") + 0.1) / (clean + 1))
     # a bounded number of rows: the terms by which the most toxic documents are told
-    rows = term_counts(sample).where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (ratio >= LEAST_RATIO)).orderBy(F.desc("toxic"), "term", "whole").limit(20 * MOST_TERMS).collect()
+    rows = term_counts(sample).where((F.col("toxic") >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (chance(F.col("toxic"), F.col("clean"), toxic / (toxic + clean)) <= MOST_CHANCE)).orderBy(F.desc("toxic"), "term", "whole").limit(20 * MOST_TERMS).collect()
     words, stems = choose_terms(rows, toxic, clean)
     lexicon = Lexicon(words, stems)
     x, y, near = sample_features(sample, lexicon)

@@ -295,6 +295,17 @@ def test_stems_and_masked_words_are_fuzzy():
     assert toxicity.keep_fuzzy(["wretch"], True, [["wretced"], []], [1, 0]) == ["wretch"]
 
 
+def test_terms_of_rare_languages_are_learnt(spark):
+    # 150 toxic documents of one language, 3 of another, whose word is sure: no share of all toxic texts may keep it out
+    rows = [(i, f"plain talk {i} with grunkel inside", 1) for i in range(150)] + [(200 + i, f"hablar de {i} torpazo hoy", 1) for i in range(3)]
+    rows += [(300 + i, f"plain talk {i} hablar de todo hoy with nothing inside", 0) for i in range(1500)]
+    ids = spark.range(5000).where(~toxicity.held_out(toxicity.F.col("id"))).limit(len(rows)).collect()
+    rows = [(k.id, t, y) for k, (_, t, y) in zip(ids, rows)]
+    model = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert model.score("un torpazo entre otros") >= toxicity.THRESHOLD > model.score("hablar de todo hoy")
+    assert model.lexicon.match("grunkel") and not model.lexicon.match("hablar")
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
