@@ -135,7 +135,7 @@ def _collapse(most):
         for p in batches:
             for i, v in zip(p["vec_id"].to_numpy(), p["vec"]):
                 ids = held.setdefault((np.asarray(v, np.float64) + 0.0).tobytes(), [])
-                if i not in ids:
+                if -int(i) not in ids:
                     heapq.heappush(ids, -int(i))
                     if len(ids) > most:
                         heapq.heappop(ids)

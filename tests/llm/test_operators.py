@@ -132,6 +132,16 @@ def test_nearest(spark):
     assert hnsw.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(1, 13) for _ in range(2)] + [(20, [2.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for r in hnsw.nearest(v, v).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert [got[q][k] for q in (20,) for k in range(1, 11)] == list(range(1, 11))
+    assert all([got[q][k] for k in range(1, 11)] == [i for i in range(1, 13) if i != q][:10] for q in range(1, 13))
+
+
 def test_vector_links(spark):
     r = np.random.default_rng(7)
     base = r.standard_normal((30, 16))
