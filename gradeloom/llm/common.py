@@ -19,12 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and return it with its lineage cut.
 
-    The folder is the one that the session names in spark.checkpoint.dir; one of our own is set only where
-    none is (a local session, as in tests).
+    The folder is the one that the session names in spark.checkpoint.dir. A folder of this machine is taken
+    only where none is set and the session is a local one, as in tests; on a cluster that is an error, for
+    other machines could not read it. Spark deletes checkpoints that nothing refers to any more where the
+    session sets spark.cleaner.referenceTracking.cleanCheckpoints.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint()
 
 

@@ -13,8 +13,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     ``root`` is the smallest node that can be reached. Each round replaces a node's links to larger
     neighbours by links to its smallest neighbour (large star), then does so for smaller neighbours (small
-    star), until every link points at its root. Rounds use grouped minima and joins, so that a node with
-    very many neighbours is split like any skewed join; each round's links go to the checkpoint folder.
+    star), until every link points at its root. A round's minima are written before they are joined, so the
+    join's exchange is its own and Spark can split a node with very many neighbours; each round's links go to
+    the checkpoint folder.
     Null ends and self links are ignored; no links give an empty result.
     """
     e = cut(
@@ -31,9 +32,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = measure(e)
     for _ in range(most_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        small_least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(small_least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
