@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -19,7 +20,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on, at most (in expectation: rows are chosen by a hash of doc_id).
 MOST_LABELLED = 12_000
 #: A term needs so many toxic documents, so many times its share among the clean ones, and counts that chance gives so rarely.
-LEAST_DOCS, LEAST_RATIO, MOST_CHANCE, MOST_TERMS = 3, 25.0, 2e-3, 2000
+LEAST_DOCS, LEAST_RATIO, MOST_CHANCE = 3, 25.0, 2e-3
+#: A beginning of words also counts by the different words that begin so: in so many toxic documents, so many words a
+#: document, so many times the share among clean ones, and counts that chance gives so rarely.
+FEWER_DOCS, WORDS_A_DOC, WORDS_RATIO, WORDS_CHANCE = 2, 2.5, 10.0, 1e-5
 #: Beginnings of words that count as terms of their own, by letters.
 STEM_LENGTHS = (4, 12)
 #: Terms from this length on also match with one letter wrong, missing or added.
@@ -27,9 +31,9 @@ FUZZY_FROM = 5
 #: Words to either side of a hit that tell a quotation from abuse.
 WINDOW = 6
 THRESHOLD = 0.3
-# Opening and closing quotation marks.
-QUOTES = "\"“”„«»‹›"
-FEATURES = ["any", "exact", "fuzzy", "stem", "quoted", "share"]
+# Pairs of quotation marks. Marks that look alike on both sides pair within a line.
+QUOTED = re.compile(r'"[^"\n]*"|[“„][^“„”]*[”“]|«[^«»]*»|»[^«»]*«|‹[^‹›]*›|›[^‹›]*‹')
+FEATURES = ["any", "exact", "fuzzy", "stem", "quoted", "context", "share"]
 
 
 class Lexicon:
@@ -143,10 +147,20 @@ class Lexicon:
         return self.__dict__ | {"memo": {}}
 
 
-def quoted(text: str, at: int, to: int) -> bool:
-    """Whether text[at:to] stands within quotation marks: one before and one after within ``WINDOW`` words of its line."""
-    left, right = text[max(0, at - 12 * WINDOW) : at].rpartition("\n")[2].split()[-WINDOW:], text[to : to + 12 * WINDOW].partition("\n")[0].split()[:WINDOW]
-    return any(c in QUOTES for w in left for c in w) and any(c in QUOTES for w in right for c in w)
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands between paired quotation marks, over the whole text; a mark without a partner opens nothing."""
+    return [m.span() for m in QUOTED.finditer(text)]
+
+
+def context(text: str, at: int, to: int, spans: list[tuple[int, int]]) -> float | None:
+    """How far a hit is embedded in a quotation: the share of the ``WINDOW`` words to either side of it that stand in
+    the same one, whole words however long they are. None outside quotations."""
+    i = bisect_right(spans, (at, len(text) + 1)) - 1
+    if i < 0 or spans[i][1] < to:
+        return None
+    start, end = spans[i]
+    before, after = text[start + 1 : at].split()[-WINDOW:], text[to : end - 1].split(maxsplit=WINDOW)[:WINDOW]
+    return (len(before) + len(after)) / (2 * WINDOW)
 
 
 def candidates(words: list[str]) -> set[str]:
@@ -161,14 +175,15 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     hits = lexicon.hits(candidates(words))
     if not hits:
         return [0.0] * len(FEATURES)
-    n, inside = Counter(), 0
+    n, inside, spans = Counter(), [], quotations(low)
     for kind, at, to in lexicon.spans(low, hits):
-        if quoted(low, at, to):
-            inside += 1
-        else:
+        embedded = context(low, at, to, spans) if spans else None
+        if embedded is None:
             n[kind] += 1
+        else:
+            inside.append(embedded)
     free = sum(n.values())
-    return [float(free > 0), *[float(np.log1p(n[k])) for k in ("exact", "fuzzy", "stem")], float(np.log1p(inside)), float(np.log1p(100 * free / len(words)))]
+    return [float(free > 0), *[float(np.log1p(n[k])) for k in ("exact", "fuzzy", "stem")], float(np.log1p(len(inside))), float(np.log1p(sum(inside))), float(np.log1p(100 * free / len(words)))]
 
 
 class Model:
@@ -180,12 +195,38 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+#: Terms that a task holds counts of before it hands them on.
+TERMS_HELD = 500_000
+SPLIT = re.compile(r"[^\W\d_]{3,}")
+
+
 def term_counts(sample: DataFrame) -> DataFrame:
-    """(term, whole, toxic, clean): documents of the sample that hold a word, or a word that begins so."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
-    stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.filter(F.sequence(F.lit(STEM_LENGTHS[0]), F.lit(STEM_LENGTHS[1])), lambda k: k <= F.length(w)), lambda k: F.substring(w, F.lit(1), k)))))
-    terms = F.explode(F.concat(F.transform(words, lambda w: F.struct(F.lit(True).alias("whole"), w.alias("term"))), F.transform(stems, lambda w: F.struct(F.lit(False).alias("whole"), w.alias("term")))))
-    return sample.select("toxic", terms.alias("t")).groupBy("t.term", "t.whole").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    """(term, whole, toxic, clean, toxic_words, clean_words): documents of the sample that hold a word, or a word
+    that begins so, and how many different words a document these are, summed. Tasks add up before the shuffle."""
+
+    def handed_on(held):
+        terms, counts = list(held), np.array(list(held.values()), np.int64).reshape(-1, 4)
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in terms], pa.string()), pa.array([w for _, w in terms], pa.bool_()), *(pa.array(c) for c in counts.T)], ["term", "whole", "toxic", "clean", "toxic_words", "clean_words"])
+
+    def run(batches):
+        held: dict = {}
+        for b in batches:
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                words = set(SPLIT.findall((text or "").lower()))
+                begins = Counter(w[:k] for w in words for k in range(STEM_LENGTHS[0], min(STEM_LENGTHS[1], len(w)) + 1))
+                side = 0 if toxic else 1
+                for key, n in [*(((w, True), 1) for w in words), *(((t, False), n) for t, n in begins.items())]:
+                    row = held.setdefault(key, [0, 0, 0, 0])
+                    row[side] += 1
+                    row[2 + side] += n
+                if len(held) >= TERMS_HELD:
+                    yield handed_on(held)
+                    held = {}
+        if held:
+            yield handed_on(held)
+
+    parts = sample.select("text", "toxic").mapInArrow(run, "term string, whole boolean, toxic long, clean long, toxic_words long, clean_words long")
+    return parts.groupBy("term", "whole").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_words", "clean_words")])
 
 
 def chance(toxic, clean, share: float):
@@ -196,7 +237,7 @@ def chance(toxic, clean, share: float):
     return F.when(a <= share, 1.0).otherwise(F.exp(-n * (a * F.log(a / F.lit(share)) + of_clean)))
 
 
-def choose_terms(rows: list, toxic: int, clean: int) -> tuple[list[str], list[str]]:
+def choose_terms(rows: list) -> tuple[list[str], list[str]]:
     """Words and stems. A beginning is a stem where words branch off it; one that only goes on, or that is
     itself the word that makes it count, is not."""
     whole = {r["term"]: r["toxic"] for r in rows if r["whole"]}
@@ -210,7 +251,7 @@ def choose_terms(rows: list, toxic: int, clean: int) -> tuple[list[str], list[st
             continue
         stems.append(t)
     words = sorted((t for t in whole if not any(t.startswith(s) for s in stems)), key=lambda t: (-whole[t], t))
-    return words[:MOST_TERMS], stems[:MOST_TERMS]
+    return words, stems
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -230,10 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
         return Model(Lexicon([], []), np.array([-40.0] + [0.0] * len(FEATURES)))
-    ratio = ((F.col("toxic") + 0.1) / (toxic + 1)) / ((F.col("clean") + 0.1) / (clean + 1))
-    # a bounded number of rows: the terms by which the most toxic documents are told
-    rows = term_counts(sample).where((F.col("toxic") >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (chance(F.col("toxic"), F.col("clean"), toxic / (toxic + clean)) <= MOST_CHANCE)).orderBy(F.desc("toxic"), "term", "whole").limit(20 * MOST_TERMS).collect()
-    words, stems = choose_terms(rows, toxic, clean)
+    share = toxic / (toxic + clean)
+    ratio = lambda t, c, least: (F.col(t) + 0.1) / (toxic + 1) >= F.lit(least) * (F.col(c) + 0.1) / (clean + 1)
+    by_docs = (F.col("toxic") >= LEAST_DOCS) & ratio("toxic", "clean", LEAST_RATIO) & (chance(F.col("toxic"), F.col("clean"), share) <= MOST_CHANCE)
+    by_words = ~F.col("whole") & (F.col("toxic") >= FEWER_DOCS) & (F.col("toxic_words") >= WORDS_A_DOC * F.col("toxic")) & ratio("toxic_words", "clean_words", WORDS_RATIO) & (chance(F.col("toxic_words"), F.col("clean_words"), share) <= WORDS_CHANCE)
+    # every term that passes is taken; the sample bounds them
+    rows = term_counts(sample).where(by_docs | by_words).select("term", "whole", "toxic").collect()
+    words, stems = choose_terms(rows)
     lexicon = Lexicon(words, stems)
     x, y, near = sample_features(sample, lexicon)
     # a term whose misspellings are met in clean texts as often as in toxic ones is matched exactly from now on
