@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import cut
+from gradeloom.llm.common import cut, partitions
 
 ROLES = ("system", "user", "assistant")
 #: A state is a role that begins a turn, or one that goes on with it.
@@ -24,7 +24,7 @@ MARKER = re.compile(r"^\s*(?:[#>*\-]+\s*|<\|?|\[)?\s*({})\s*(?:\|?>|\]|\*\*)?\s*
 ROLE_OF = {w: r for r, role in enumerate(ROLES) for w in MARKERS[role]}
 #: Classes of each feature of a line: marker (none or one of the roles), length, ending, after an empty line.
 SIZES = (4, 5, 3, 2)
-#: Positions of a transcript that are decoded as one step of a chain; longer transcripts are chains of steps.
+#: Pieces of a transcript that are decoded as one step of a chain, at most; longer transcripts are chains of steps.
 CHUNK = 256
 #: Conversations that the model is counted on, at most (in expectation, chosen by a hash).
 MOST_FITTED = 20_000
@@ -121,64 +121,79 @@ class Hmm:
         return [states[: size[i], i] for i in range(n)]
 
 
-def _lines(batches):
-    for p in batches:
-        rows = []
-        for conv, pos, text in zip(p["conv_id"], p["pos"], p["text"]):
-            empty = False
-            for k, line in enumerate((text or "").split("\n")):
-                rows.append((conv, pos, k, line, *line_features(line, empty)))
-                empty = not line.strip()
-        yield pd.DataFrame(rows, columns=["conv_id", "pos", "k", "line", "f0", "f1", "f2", "f3"])
+def in_chunks(pieces: DataFrame, *order: str) -> DataFrame:
+    """Add chunk (long) and place (int, from 0) to ``pieces``: at most ``CHUNK`` neighbours in the order of these columns share a chunk.
 
-
-def lines_of(transcripts: DataFrame) -> DataFrame:
-    """(conv_id, pos, k, line, f0..f3): the lines of each piece of a transcript with their features."""
-    kind = transcripts.schema["conv_id"].dataType.simpleString()
-    return transcripts.select("conv_id", "pos", "text").mapInPandas(_lines, f"conv_id {kind}, pos long, k int, line string, f0 int, f1 int, f2 int, f3 int")
+    Rows are dealt out by ranges of the whole order, and counted through: partitions count their rows first,
+    then number them from their offset on. So pieces of one key, null or not, fall into as many chunks as
+    they need; a chunk number is shared by neighbouring keys. Ties are broken by a number of the written rows.
+    """
+    spark = pieces.sparkSession
+    n = max(1, partitions(spark))
+    kept = cut(pieces.withColumn("__tie", F.monotonically_increasing_id()))
+    dealt = cut(kept.repartitionByRange(n, *order, "__tie").sortWithinPartitions(*order, "__tie").withColumn("__at", F.monotonically_increasing_id()))
+    part, low = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["p"]: r["n"] for r in dealt.groupBy(part.alias("p")).count().withColumnRenamed("count", "n").collect()}  # one row a partition
+    offsets, at = {}, 0
+    for p in range(max(sizes, default=-1) + 1):
+        offsets[p] = at
+        at += sizes.get(p, 0)
+    starts = F.array(*[F.lit(offsets[p]).cast("long") for p in sorted(offsets)]) if offsets else F.array(F.lit(0).cast("long"))
+    index = F.element_at(starts, (part + 1).cast("int")) + low
+    return dealt.withColumns({"chunk": F.floor(index / CHUNK).cast("long"), "place": (index % CHUNK).cast("int")}).drop("__tie", "__at")
 
 
 def fit(labelled: DataFrame) -> Hmm:
     """Count starts, steps and features on labelled pieces (conv_id, pos, role, text).
 
     Of more than ``MOST_FITTED`` conversations, those with the smallest hashes are used, as many in
-    expectation. Rows of other roles, or with a null role or conv_id, are left out.
+    expectation. Rows of other roles, or with a null role or conv_id, are left out. Steps are counted within
+    chunks of neighbouring pieces, so that a long conversation is shared out; a conversation starts with its
+    smallest pos.
     """
     known = labelled.where(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull())
     n = known.select("conv_id").distinct().count()
     if n > MOST_FITTED:
         known = known.where(F.pmod(F.xxhash64("conv_id"), F.lit(1_000_000)) < F.lit(1_000_000 * MOST_FITTED / n))
     role = F.coalesce(*[F.when(F.col("role") == r, F.lit(i)) for i, r in enumerate(ROLES)])
-    roles = known.groupBy("conv_id", "pos").agg(F.min(role).alias("r"))
-    s = lines_of(known.select("conv_id", "pos", "text")).join(roles, ["conv_id", "pos"]).withColumn("state", F.col("r") * 2 + F.when(F.col("k") == 0, 0).otherwise(1))
-    # steps are counted within blocks of positions, so that a long conversation is shared out; positions count from 0
-    w = Window.partitionBy("conv_id", F.floor(F.col("pos") / CHUNK)).orderBy("pos", "k")
-    s = s.withColumn("before", F.lag("state").over(w)).where(F.col("before").isNotNull() | (F.col("pos") < CHUNK))
+    pieces = in_chunks(known.select("conv_id", F.coalesce(F.col("pos").cast("long"), F.lit(-(2**62))).alias("pos"), F.coalesce("text", F.lit("")).alias("text"), role.alias("r")), "conv_id", "pos", "text")
+    first = pieces.groupBy(F.col("conv_id").alias("__c")).agg(F.min(F.struct("chunk", "place")).alias("__first"))
+    pieces = pieces.join(first, F.col("conv_id") == F.col("__c")).withColumn("opens", F.struct("chunk", "place") == F.col("__first"))
+
+    def counted(batches):
+        for p in batches:
+            rows = []
+            for conv, chunk, place, opens, r, text in zip(p["conv_id"], p["chunk"], p["place"], p["opens"], p["r"], p["text"]):
+                empty = False
+                for k, line in enumerate(text.split("\n")):
+                    rows.append((conv, chunk, place, k, bool(opens and not k), r * 2 + (k > 0), *line_features(line, empty)))
+                    empty = not line.strip()
+            yield pd.DataFrame(rows, columns=["conv_id", "chunk", "place", "k", "opens", "state", "f0", "f1", "f2", "f3"])
+
+    s = pieces.select(F.col("conv_id").cast("string").alias("conv_id"), "chunk", "place", "opens", "r", "text").mapInPandas(counted, "conv_id string, chunk long, place int, k int, opens boolean, state int, f0 int, f1 int, f2 int, f3 int")
+    w = Window.partitionBy("conv_id", "chunk").orderBy("place", "k")
+    s = s.withColumn("before", F.lag("state").over(w))
     item = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"))
-    first = F.when(F.col("before").isNull(), item(0, F.col("state"), F.lit(0))).otherwise(item(1, F.col("before"), F.col("state")))
-    counts = s.select(F.explode(F.array(first, *[item(2 + i, F.col("state"), F.col(f"f{i}")) for i in range(len(SIZES))])).alias("c")).groupBy("c.kind", "c.a", "c.b").count()
+    first = F.when(F.col("opens"), item(0, F.col("state"), F.lit(0))).when(F.col("before").isNotNull(), item(1, F.col("before"), F.col("state")))
+    counts = s.select(F.explode(F.array_compact(F.array(first, *[item(2 + i, F.col("state"), F.col(f"f{i}")) for i in range(len(SIZES))]))).alias("c")).groupBy("c.kind", "c.a", "c.b").count()
     return Hmm.counted([tuple(r) for r in counts.collect()])  # at most states x (states + classes) rows
 
 
-FEATURE_COLS = ["f0", "f1", "f2", "f3"]
-
-
 def parse(transcripts: DataFrame, hmm: Hmm) -> DataFrame:
     """(conv_id, turn, role, text, rendered) for each recovered turn of ``transcripts`` (conv_id, pos, text).
 
     The pieces of a conversation, in order of pos, are its lines; other columns are not used. Viterbi finds
-    the best states of all lines. A conversation is cut into chunks of lines by position: each chunk becomes
-    a matrix of best passages between states, the chain of matrices is solved, one small row a chunk, and
-    then each chunk is traced back on its own, so one very long conversation is shared out over tasks. A
-    conversation of one chunk needs no chain.
+    the best states of all lines. A conversation is cut into chunks of neighbouring pieces, by their number and
+    not by pos: each chunk becomes a matrix of best passages between states, the chain of matrices is solved,
+    one small row a chunk, and then each chunk is traced back on its own, so one very long conversation, or
+    one of many null or equal pos, is shared out over tasks. A conversation of one chunk needs no chain.
 
     Nulls: a null text is an empty line; a null conv_id is a conversation of its own; a null pos comes first.
     Pieces with equal pos are taken in order of text. Repeated rows are repeated lines. Empty in, empty out.
     """
     kind = "string"  # within pandas, so that ids beside a null stay exact
     t = transcripts.select(F.col("conv_id").cast(kind).alias("conv_id"), F.coalesce(F.col("pos").cast("long"), F.lit(-(2**62))).alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("chunk", F.floor(F.col("pos") / CHUNK))
-    lines = cut(lines_of_chunks(t, kind))
+    lines = cut(lines_of_chunks(in_chunks(t, "conv_id", "pos", "text"), kind))
     longer = lines.groupBy(F.col("conv_id").alias("__c")).agg(F.count("*").alias("m")).where("m > 1")
     chained = lines.select("conv_id", "chunk", "f").join(longer, F.col("conv_id").eqNullSafe(F.col("__c")), "left_semi")
 
@@ -254,10 +269,15 @@ def lines_of_chunks(t: DataFrame, kind: str) -> DataFrame:
                 all_f.append(np.array(f, np.int8).tobytes())
             yield pd.DataFrame({"conv_id": p["conv_id"], "chunk": p["chunk"], "lines": all_lines, "f": all_f})
 
-    chunks = t.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("pieces"))
+    chunks = t.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("pieces"))
     return chunks.mapInPandas(run, f"conv_id {kind}, chunk long, lines array<string>, f binary")
 
 
+def held_out(conv_id):
+    """Conversations, one in four by a hash, whose roles the model is not fitted on."""
+    return F.coalesce(F.pmod(F.crc32(conv_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
 def transcripts_of(conversations: DataFrame) -> DataFrame:
     """Conversations as raw transcripts: (conv_id, pos, text, role); role is for fitting and tests only.
 

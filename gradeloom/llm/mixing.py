@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.common import cut, partitions
 
-#: Sources up to this number are broadcast (a source's row is under 4 kB); more are joined by a shuffle.
-BROADCAST_SOURCES = 1000
+#: Distribution tables up to this number of doubles in all (32 MB) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_DOUBLES = 4_000_000
 
 
 def hashed_unit(*parts):
@@ -25,20 +25,26 @@ def hashed_long(*parts):
 def repetition_rates(docs: DataFrame, weights: dict | None = None, temperature_half: bool = True) -> DataFrame:
     """(source, size, rate): the mean number of times that each source's documents have to be repeated.
 
-    ``weights`` gives target shares by source; a source not in it gets the square root of its size (or its
-    size, without ``temperature_half``) as weight. Weights are held as whole millionths, so that their sum
-    doesn't depend on the order of addition. The mixture is as large as the input: rate = share of the
-    weights x all characters / characters of the source. A source without characters has rate 1.
+    ``weights`` gives target shares of the mixture by source, of 1 in all; what the listed ones leave is dealt
+    among the other sources by the square root of their size (or their size, without ``temperature_half``).
+    Shares that add up to 1 or more leave the others nothing; they are then taken relative to their sum.
+    Square roots are held as whole millionths, so that their sum doesn't depend on the order of addition. The
+    mixture is as large as the input: rate = share x all characters / characters of the source. A source
+    without characters has rate 1; a listed source keeps its share however small it is.
     """
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("size"))
     natural = F.sqrt(F.col("size").cast("double")) if temperature_half else F.col("size").cast("double")
-    weight = natural
+    if any(not w >= 0 for w in (weights or {}).values()):
+        raise ValueError("a target share is a number from 0 on")
+    given = F.lit(None).cast("double")
     for name, w in (weights or {}).items():
-        weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    sizes = sizes.withColumn("w", F.floor(weight * F.lit(1e6)).cast("long"))
-    sums = sizes.agg(F.sum("w").alias("all_w"), F.sum("size").alias("all_size"))
-    share = F.col("w").cast("double") / F.col("all_w").cast("double")
-    rate = F.when((F.col("size") == 0) | (F.col("all_w") == 0), F.lit(1.0)).otherwise(share * (F.col("all_size").cast("double") / F.col("size").cast("double")))
+        given = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(given)
+    sizes = sizes.withColumn("given", F.when(F.col("size") > 0, given)).withColumn("w", F.when(F.col("given").isNull(), F.floor(natural * F.lit(1e6)).cast("long")).otherwise(F.lit(0)))
+    sums = sizes.agg(F.sum("w").alias("all_w"), F.sum("size").alias("all_size"), F.coalesce(F.sum(F.col("given").cast("decimal(38,18)")).cast("double"), F.lit(0.0)).alias("all_given"))
+    rest = F.greatest(F.lit(0.0), 1.0 - F.col("all_given"))
+    own = F.try_divide("given", F.when(F.col("all_w") == 0, F.col("all_given")).otherwise(F.greatest(F.lit(1.0), F.col("all_given"))))
+    share = F.coalesce(own, F.try_divide(F.col("w").cast("double"), F.col("all_w").cast("double")) * rest)
+    rate = F.when((F.col("size") == 0) | share.isNull(), F.lit(1.0)).otherwise(share * (F.col("all_size").cast("double") / F.col("size").cast("double")))
     return sizes.crossJoin(F.broadcast(sums)).select("source", "size", rate.alias("rate"))  # sums is one row
 
 
@@ -79,7 +85,7 @@ def poisson_mix(docs: DataFrame, weights: dict | None = None, temperature_half:
     """
     docs = docs.drop("copy", "n_copies", "shuffle_key")
     rates = cut(with_poisson_table(repetition_rates(docs, weights, temperature_half)).selectExpr("source AS __mix_source", "rate AS __mix_rate", "first AS __mix_first", "cdf AS __mix_cdf"))
-    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    few = (rates.agg(F.sum(F.size("__mix_cdf"))).first()[0] or 0) <= BROADCAST_DOUBLES
     joined = docs.join(F.broadcast(rates) if few else rates, docs["source"].eqNullSafe(F.col("__mix_source")))
     u = hashed_unit(F.lit(str(seed)), "doc_id")
     n = (F.col("__mix_first") + F.size(F.filter("__mix_cdf", lambda c: c < F.col("__mix_u")))).cast("int")

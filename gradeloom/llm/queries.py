@@ -74,8 +74,8 @@ def op7(spark, sf_dir):
 @llm_query("op9_chat_turns")
 def op9(spark, sf_dir):
     t = chat.transcripts_of(table(spark, sf_dir, "conversations"))
-    turns = chat.parse(t, chat.fit(t))
-    return turns.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"), F.md5("rendered").alias("rendered_md5"))
+    turns = chat.parse(t, chat.fit(t.where(~chat.held_out(F.col("conv_id")))))
+    return turns.select("conv_id", chat.held_out(F.col("conv_id")).alias("held_out"), "turn", "role", F.length("text").cast("long").alias("n_chars"), F.md5("rendered").alias("rendered_md5"))
 
 
 @llm_query("op10_toxicity")

@@ -71,6 +71,8 @@ class Unigram:
 
     def __init__(self, pieces: list[tuple[bytes, float, str]], unknown: int = 0):
         self.bytes = [b"" if kind == "control" else b for b, _, kind in pieces]
+        mark = MARK.encode()
+        self.plain = [b.replace(mark, b" ") if kind == "piece" else b for b, (_, _, kind) in zip(self.bytes, pieces)]  # a byte piece stands for itself
         self.unknown = unknown
         self.byte_ids = np.full(256, unknown, np.int32)
         for i, (b, _, kind) in enumerate(pieces):
@@ -80,16 +82,22 @@ class Unigram:
         self.scores = np.array([s for _, s, _ in pieces], np.float64)
         self.least = min((s for _, s, kind in pieces if kind == "piece"), default=0.0) - UNKNOWN_PENALTY
         self.trie = DoubleArray(own)
-        mark = MARK.encode()
         inner = any(mark in re.sub(b"^(?:%s)+" % mark, b"", b) for b in own)
         lines = any(b"\n" in b for b in own)
         # a piece has marks at its start only, so text splits before each run of spaces; also around line ends if no piece has one
-        self.split = None if inner else re.compile(" +[^ ]*|[^ ]+") if lines else re.compile(" +[^ \n]*|[^ \n]+|\n")
+        # a literal mark is no space, so it stands alone and goes by its bytes
+        self.split = re.compile(f"{MARK}|[^{MARK}]+" if inner else f"{MARK}| +[^ {MARK}]*|[^ {MARK}]+" if lines else f"{MARK}| +[^ \n{MARK}]*|[^ \n{MARK}]+|\n")
         self.memo: dict[str, bytes] = {}
 
     @classmethod
     def from_file(cls, path: str) -> Unigram:
-        """Pieces and scores of a SentencePiece model file; its scores are taken as log scores."""
+        """Pieces of a SentencePiece model file, with log scores.
+
+        The public table is a BPE one: its "scores" say in which order pieces were merged. A unigram model
+        needs log probabilities, and tokenizers are not trained here; so a piece's rank r in that order is
+        turned into one by Zipf's law, p = 1 / (r + 2.7) over the sum of these. A unigram table's own log
+        scores are kept (they are no run of whole numbers).
+        """
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -102,6 +110,11 @@ class Unigram:
                 rows.append((b"", 0.0, "control"))
             else:
                 rows.append((piece.encode(), p.get_score(i), "piece"))
+        scores = sorted((s for _, s, kind in rows if kind == "piece"), reverse=True)
+        if all(s == int(s) for s in scores):
+            rank = {s: r for r, s in enumerate(scores)}
+            norm = float(np.log(sum(1 / (r + 2.7) for r in range(len(rank)))))
+            rows = [(b, -float(np.log(rank[s] + 2.7)) - norm if kind == "piece" else s, kind) for b, s, kind in rows]
         return cls(rows, p.unk_id())
 
     def __getstate__(self):
@@ -110,8 +123,7 @@ class Unigram:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = []
         for t in texts:
-            s = " " + t.replace(MARK, " ") if t else ""
-            parts.append(self.split.findall(s) if self.split and s else [s] if s else [])
+            parts.append(self.split.findall(" " + t) if t else [])
         new = set().union(*map(set, parts)) - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
             self.memo = {}
@@ -121,6 +133,9 @@ class Unigram:
         return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
 
     def learn(self, segments: list[str]) -> None:
+        if MARK in segments:
+            self.memo[MARK] = self.byte_ids[list(MARK.encode())].tobytes()
+            segments = [s for s in segments if s != MARK]
         raw = [s.replace(" ", MARK).encode("utf-8", "replace") for s in segments]
         order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
         at = 0
@@ -241,7 +256,7 @@ class Unigram:
 
     def decode(self, ids) -> str:
         """Pieces joined, bytes assembled (bad UTF-8 becomes U+FFFD), marks turned to spaces, the first one dropped."""
-        text = b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.plain.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -269,7 +284,8 @@ def encode(docs: DataFrame, model: Unigram, digests: bool = False) -> DataFrame:
     With ``digests`` the table has doc_id, n_tokens, ids_md5 (of little-endian 32-bit ids), decoded_sha256 (of
     the decoded text) and roundtrip (decoded text equals the text) instead. A null or empty text has no
     tokens and decodes to the empty text, which counts as a round trip. Every row stands alone, so repeated
-    rows give repeated results, and an empty table gives an empty one. A literal U+2581 decodes as a space.
+    rows give repeated results, and an empty table gives an empty one. A literal U+2581 goes by its bytes and
+    comes back as itself.
     """
     box = Shipped(docs.sparkSession, model)  # a few MB, as large as its vocabulary
 
@@ -292,7 +308,7 @@ def encode(docs: DataFrame, model: Unigram, digests: bool = False) -> DataFrame:
             for texts in steps(b.column("text")):
                 for t, ids in zip(texts, model.encode(texts)):
                     back = model.decode(ids)
-                    rows.append((len(ids), hashlib.md5(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (t or "").replace(MARK, " ")))
+                    rows.append((len(ids), hashlib.md5(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")))
             n, md5, sha, same = map(list, zip(*rows)) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(md5, pa.string()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_md5", "decoded_sha256", "roundtrip"])
 
