@@ -24,10 +24,17 @@ def canonical_url(url: Column) -> Column:
 
 
 def lower_names(headers: Column) -> Column:
-    """Headers with names in lower case; of names that become equal the first one in order of name and value stays."""
+    """Headers with names in lower case; values of names that become equal are joined by ", ", in order of name and value."""
     entries = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v"))))
-    names = F.transform(entries, lambda e: e["k"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(names, e["k"]) == i + 1))
+    names = F.array_distinct(F.transform(entries, lambda e: e["k"]))
+    joined = lambda k: F.array_join(F.transform(F.filter(entries, lambda e: (e["k"] == k) & e["v"].isNotNull()), lambda e: e["v"]), ", ")
+    present = lambda k: F.exists(entries, lambda e: (e["k"] == k) & e["v"].isNotNull())
+    return F.map_from_arrays(names, F.transform(names, lambda k: F.when(present(k), joined(k))))
+
+
+def instant(c: Column, kind: str) -> Column:
+    """A time as a whole number: microseconds of a timestamp, or the number itself."""
+    return F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c.cast("long")
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
@@ -37,7 +44,11 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
     return F.map_concat(rest, allowed)
 
 
-def resolve_revisits(records: DataFrame, slices: int = 256) -> DataFrame:
+#: Rows of a time slice, about, and the fewest and most slices.
+SLICE_ROWS, FEWEST_SLICES, MOST_SLICES = 2_000_000, 64, 4096
+
+
+def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame:
     """Give every not-modified revisit the latest earlier full response of its canonical URL.
 
     ``records``: record_id long, warc_type ('response' or 'revisit'), url, captured_at timestamp or long,
@@ -45,8 +56,8 @@ def resolve_revisits(records: DataFrame, slices: int = 256) -> DataFrame:
     ('full', 'resolved', 'changed' where a validator differs, 'unchecked' where there is none to compare,
     'orphan' where nothing is earlier), refers_to, merged, merged_digest.
 
-    The as-of join is a running last() in time order. Time is cut into ``slices`` of about equal row counts,
-    so that a URL that holds a third of all rows is spread over as many groups; what a slice has to start
+    The as-of join is a running last() in time order. Time is cut into ``slices`` of about equal row counts
+    (as many as the rows ask for, if not given), so that a URL that holds a third of all rows is spread over as many groups; what a slice has to start
     from is then carried over at most ``slices`` rows a URL. "Earlier" is by (captured_at, record_id), so
     ties are settled by record_id and repeated rows see each other in no fixed way but with equal values.
 
@@ -54,11 +65,12 @@ def resolve_revisits(records: DataFrame, slices: int = 256) -> DataFrame:
     absent. A weak ETag equals the strong one of the same text. An empty table gives an empty result.
     """
     empty = F.create_map().cast("map<string,string>")
-    r = records.withColumns({"canonical": canonical_url(F.col("url")), "__h": lower_names(F.coalesce("headers", empty)), "__t": F.col("captured_at").cast("double")})
+    r = records.withColumns({"canonical": canonical_url(F.col("url")), "__h": lower_names(F.coalesce("headers", empty)), "__t": instant(F.col("captured_at"), records.schema["captured_at"].dataType.simpleString())})
+    slices = slices or max(FEWEST_SLICES, min(MOST_SLICES, records.count() // SLICE_ROWS))
     etag = F.regexp_replace(F.element_at("__h", "etag"), "^W/", "")
     r = r.withColumns({"__etag": etag, "__mod": F.element_at("__h", "last-modified")})
     bounds = r.agg(F.percentile_approx("__t", [i / slices for i in range(1, slices)], 10000).alias("b")).first()["b"] or []
-    r = r.withColumn("__slice", F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<double>"), lambda b: b < F.col("__t"))))
+    r = r.withColumn("__slice", F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>"), lambda b: b < F.col("__t"))))
     usable = (F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("canonical").isNotNull() & F.col("__t").isNotNull()
     full = F.when(usable, F.struct(F.col("record_id").alias("id"), F.col("__h").alias("h"), F.col("__etag").alias("etag"), F.col("__mod").alias("mod"), F.col("payload_digest").alias("digest")))
     key = F.struct("__t", "record_id")
@@ -110,41 +122,69 @@ def attach_payloads(resolved: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
-    """WARC records of a crawl in which every page was fetched once, and every third one asked for again later.
+    """WARC records of a crawl in which every page was fetched once and asked for again later.
 
-    The second request spells the URL another way; its 304 carries the ETag of the first fetch, or another
-    one for ids divisible by 5.
+    The second request is of one of six kinds, by a hash of the id: (0) another fragment and a weak ETag, (1)
+    https with its port and a Last-Modified date, (2) a tracking parameter and an ETag that is out of date,
+    (3) the payload digest as only validator, (4) no validator, (5) a front page that very many ask for; one
+    in eight of the last kind also fetches that front page in full.
     """
-    digest = F.md5(F.coalesce("html", F.lit("")))
-    first = pages.select(
-        (F.col("page_id") * 2).alias("record_id"), "page_id", F.lit("response").alias("warc_type"), "url", F.col("page_id").alias("captured_at"), F.lit(200).alias("status"),
-        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("ETag"), F.substring(digest, 1, 8), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
-        digest.alias("payload_digest"),
-    )
-    again = pages.where("page_id % 3 = 0").select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), "page_id", F.lit("revisit").alias("warc_type"), F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"), (F.col("page_id") + 1000).alias("captured_at"), F.lit(304).alias("status"),
-        F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("etag"), F.when(F.col("page_id") % 5 == 0, F.lit("stale")).otherwise(F.concat(F.lit("W/"), F.substring(digest, 1, 8))), F.lit("Cache-Control"), F.lit("max-age=90")).alias("headers"),
-        F.lit(None).cast("string").alias("payload_digest"),
-    )
-    return first.unionByName(again)
+    digest, key = F.md5(F.coalesce("html", F.lit(""))), F.md5(F.concat(F.lit("v:"), F.col("page_id").cast("string")))
+    kind, one_in_8 = F.conv(F.substring(key, 1, 4), 16, 10).cast("int") % 6, F.conv(F.substring(key, 5, 4), 16, 10).cast("int") % 8 == 0
+    length = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    headers = lambda etag, cache: F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), length, F.lit("ETag"), etag, F.lit("Last-Modified"), F.concat(F.lit("lm-"), F.substring(digest, 9, 8)), F.lit("Cache-Control"), F.lit(cache))
+    p = pages.select("page_id", "url", "html").withColumns({"__kind": kind, "__front": (kind == 5) & one_in_8, "__digest": digest})
+    first = p.select((F.col("page_id") * 4).alias("record_id"), "page_id", F.lit("response").alias("warc_type"), "url", F.col("page_id").alias("captured_at"), F.lit(200).alias("status"), headers(F.substring("__digest", 1, 8), "max-age=60").alias("headers"), F.col("__digest").alias("payload_digest"))
+    front = p.where("__front").select((F.col("page_id") * 4 + 2).alias("record_id"), "page_id", F.lit("response").alias("warc_type"), F.lit(FRONT).alias("url"), F.col("page_id").alias("captured_at"), F.lit(200).alias("status"), headers(F.lit("front"), "max-age=30").alias("headers"), F.col("__digest").alias("payload_digest"))
+    k = F.col("__kind")
+    url = (
+        F.when(k == 0, F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")))
+        .when(k == 1, F.regexp_replace("url", "^https?://([^/?#:]+)", "https://$1:443"))
+        .when(k == 2, F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.col("url").contains("?"), F.lit("&")).otherwise(F.lit("?")), F.lit("utm_source=again")))
+        .when(k == 5, F.lit(FRONT))
+        .otherwise(F.col("url"))
+    )
+    fixed = F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("max-age=90"))
+    more = (
+        F.when(k == 0, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), F.substring("__digest", 1, 8))))
+        .when(k == 1, F.create_map(F.lit("last-modified"), F.concat(F.lit("lm-"), F.substring("__digest", 9, 8))))
+        .when(k == 2, F.create_map(F.lit("ETag"), F.lit("stale")))
+        .when(k == 5, F.create_map(F.lit("ETag"), F.lit("front")))
+        .otherwise(F.create_map().cast("map<string,string>"))
+    )
+    again = p.select((F.col("page_id") * 4 + 1).alias("record_id"), "page_id", F.lit("revisit").alias("warc_type"), url.alias("url"), (F.col("page_id") + 1000).alias("captured_at"), F.lit(304).alias("status"), F.map_concat(fixed, more).alias("headers"), F.when(k == 3, F.col("__digest")).alias("payload_digest"))
+    return first.unionByName(front).unionByName(again)
 
 
+#: A made-up address that a sixth of the revisits go to.
+FRONT = "http://front.example.com/start"
+
 REVISIT_SQL = r"""
-WITH rec AS (
-  SELECT page_id * 2 AS record_id, page_id, 'response' AS warc_type, url, page_id AS t, CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) AS len, substr(md5(coalesce(html, '')), 1, 8) AS etag, 'max-age=60' AS cache, md5(coalesce(html, '')) AS digest FROM pages
+WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS digest, CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) AS len,
+    CAST(('0x' || substr(md5('v:' || CAST(page_id AS VARCHAR)), 1, 4)) AS BIGINT) % 6 AS kind, CAST(('0x' || substr(md5('v:' || CAST(page_id AS VARCHAR)), 5, 4)) AS BIGINT) % 8 = 0 AS eighth FROM pages),
+rec AS (
+  SELECT page_id * 4 AS record_id, page_id, 'response' AS warc_type, url, page_id AS t, len, 'text/html' AS type, substr(digest, 1, 8) AS etag, 'lm-' || substr(digest, 9, 8) AS lm, 'max-age=60' AS cache, digest FROM p
+  UNION ALL
+  SELECT page_id * 4 + 2, page_id, 'response', 'http://front.example.com/start', page_id, len, 'text/html', 'front', 'lm-' || substr(digest, 9, 8), 'max-age=30', digest FROM p WHERE kind = 5 AND eighth
   UNION ALL
-  SELECT page_id * 2 + 1, page_id, 'revisit', regexp_replace(url, '#.*$', '') || '#again', page_id + 1000, '0', CASE WHEN page_id % 5 = 0 THEN 'stale' ELSE 'W/' || substr(md5(coalesce(html, '')), 1, 8) END, 'max-age=90', NULL FROM pages WHERE page_id % 3 = 0),
+  SELECT page_id * 4 + 1, page_id, 'revisit',
+    CASE kind WHEN 0 THEN regexp_replace(url, '#.*$', '') || '#again' WHEN 1 THEN regexp_replace(url, '^https?://([^/?#:]+)', 'https://\1:443')
+      WHEN 2 THEN regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=again' WHEN 5 THEN 'http://front.example.com/start' ELSE url END,
+    page_id + 1000, '0', NULL, CASE kind WHEN 0 THEN 'W/' || substr(digest, 1, 8) WHEN 2 THEN 'stale' WHEN 5 THEN 'front' END, CASE WHEN kind = 1 THEN 'lm-' || substr(digest, 9, 8) END, 'max-age=90', CASE WHEN kind = 3 THEN digest END FROM p),
 bare AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM rec),
 parts AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www[0-9]*|m)[.]', '') || regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS hp,
   list_sort(list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|sid)='))) AS q FROM bare),
 c AS (SELECT *, hp || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical, regexp_replace(etag, '^W/', '') AS tag FROM parts),
-m AS (SELECT *, last_value(CASE WHEN warc_type = 'response' THEN {'id': record_id, 'tag': tag, 'len': len, 'digest': digest} END IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY t, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p0 FROM c),
+m AS (SELECT *, last_value(CASE WHEN warc_type = 'response' THEN {'id': record_id, 'tag': tag, 'etag': etag, 'lm': lm, 'len': len, 'digest': digest} END IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY t, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p0 FROM c),
 n AS (SELECT *, CASE WHEN warc_type = 'revisit' AND canonical IS NOT NULL THEN p0 END AS p FROM m),
-o AS (SELECT *, CASE WHEN warc_type <> 'revisit' THEN 'full' WHEN p IS NULL THEN 'orphan' WHEN tag = p.tag THEN 'resolved' ELSE 'changed' END AS outcome FROM n)
+o AS (SELECT *, CASE WHEN warc_type <> 'revisit' THEN 'full' WHEN p IS NULL THEN 'orphan'
+    WHEN tag IS NOT NULL THEN CASE WHEN tag = p.tag THEN 'resolved' ELSE 'changed' END
+    WHEN lm IS NOT NULL THEN CASE WHEN lm = p.lm THEN 'resolved' ELSE 'changed' END
+    WHEN digest IS NOT NULL THEN CASE WHEN digest = p.digest THEN 'resolved' ELSE 'changed' END
+    ELSE 'unchecked' END AS outcome FROM n)
 SELECT record_id, page_id, canonical, outcome, p.id AS refers_to,
-  CASE WHEN outcome = 'resolved' THEN 'cache-control=' || cache || ';content-length=' || p.len || ';content-type=text/html;etag=' || etag
-       WHEN outcome = 'full' THEN 'cache-control=' || cache || ';content-length=' || len || ';content-type=text/html;etag=' || etag
-       ELSE 'cache-control=' || cache || ';content-length=' || len || ';etag=' || etag END AS merged_headers,
-  CASE WHEN outcome = 'resolved' THEN p.digest ELSE digest END AS merged_digest
+  CASE WHEN outcome IN ('resolved', 'unchecked') THEN concat_ws(';', 'cache-control=' || cache, 'content-length=' || p.len, 'content-type=text/html', 'etag=' || coalesce(etag, p.etag), 'last-modified=' || coalesce(lm, p.lm))
+       ELSE concat_ws(';', 'cache-control=' || cache, 'content-length=' || len, 'content-type=' || type, 'etag=' || etag, 'last-modified=' || lm) END AS merged_headers,
+  CASE WHEN outcome IN ('resolved', 'unchecked') THEN p.digest ELSE digest END AS merged_digest
 FROM o
 """
