@@ -1,33 +1,99 @@
-"""Answer keys in free text: pairs of question number and answer, found and checked with native expressions."""
+"""Answer keys in free text: pairs of question number and answer, found, checked and given to drafts, with native expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A number of up to three digits, a separator, and a letter A to H, a digit 1 to 8 or a truth value.
-PAIR = r"(?<![\w.])(\d{1,3})\s*(?:[-–—.:)=]|->|→|\s)\s*(?:\(?)(TRUE|FALSE|[A-H]|[1-8])(?![\w])"
+# A separator or an opening bracket stands between number and answer; an optional "Q" or "Question" before; no
+# letter, digit or opening bracket directly before, no letter or digit directly after.
+SEPARATOR = r"[\s\-–—.:)=>→,]"
+_FRAME = r"(?i)(?<![0-9A-Za-z(])(?:Q(?:uestion)?\s*\.?\s*)?(\d{1,4})(?:" + SEPARATOR + r"+\(?|\s*\()\s*(ANSWER)\s*\)?(?![0-9A-Za-z])"
+PAIR = _FRAME.replace("ANSWER", "TRUE|FALSE|[A-H]|[1-8]")
+LOOSE = _FRAME.replace("ANSWER", "[A-Za-z0-9]{1,2}")
+DRAFT_NUMBER = r"(?i)^\s*(?:Q(?:uestion)?\.?\s*)?(\d{1,3})\s*[.)\s]"
+
+
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key), F.explode(F.split(F.coalesce(text, F.lit("")), r"\r?\n")).alias("line"))
+
+
+def _found(lines: DataFrame, key: str, pattern: str) -> DataFrame:
+    zipped = F.arrays_zip(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all("line", F.lit(pattern), F.lit(2)).alias("a"))
+    return lines.select(key, F.explode(zipped).alias("p")).select(key, F.col("p.n").cast("int").alias("number"), F.col("p.a").alias("raw"))
+
+
+def canonical(raw: Column) -> Column:
+    """Letters as 1 to 8, digits as they are, TRUE and FALSE in capitals."""
+    up = F.upper(raw)
+    letter = F.instr(F.lit("ABCDEFGH"), up)
+    return F.when((F.length(up) == 1) & (letter > 0), letter.cast("string")).otherwise(up)
 
 
 def key_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, number, answer): every pair of a document, answers as 1 to 8, TRUE or FALSE; repeats stay."""
-    lines = docs.select(key, F.explode(F.split(F.coalesce(text, F.lit("")), r"\r?\n")).alias("line")).withColumn("line", F.upper("line"))
-    numbers, answers = F.regexp_extract_all("line", F.lit(PAIR), F.lit(1)), F.regexp_extract_all("line", F.lit(PAIR), F.lit(2))
-    pairs = lines.select(key, F.explode(F.arrays_zip(numbers.alias("n"), answers.alias("a"))).alias("p"))
-    letter = F.instr(F.lit("ABCDEFGH"), F.col("p.a"))
-    answer = F.when((F.length("p.a") == 1) & (letter > 0), letter.cast("string")).otherwise(F.col("p.a"))
-    return pairs.select(key, F.col("p.n").cast("int").alias("number"), answer.alias("answer"))
+    """(doc_id, number, answer): every pair of a text, line by line, so that none spans a line's end; repeats stay."""
+    return _found(_lines(docs, key, text), key, PAIR).select(key, "number", canonical(F.col("raw")).alias("answer"))
+
+
+def pair_count(text: Column) -> Column:
+    """How many pairs a text holds."""
+    each = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda line: F.size(F.regexp_extract_all(line, F.lit(PAIR), F.lit(0))))
+    return F.aggregate(each, F.lit(0), lambda a, n: a + n)
 
 
 def key_parse(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, number, answer, n, state): one row a number; state is 'entry', 'duplicate' (said again alike),
-    'conflict' (different answers, so none counts) or 'rejected' (number below 1)."""
-    g = key_pairs(docs, key, text).groupBy(key, "number").agg(F.min("answer").alias("answer"), F.count("*").alias("n"), F.count_distinct("answer").alias("k"))
+    """(doc_id, number, answer, n, state), one row a number and, for 'invalid', a token.
+
+    'entry', or 'duplicate' if said again alike; 'conflict' where answers differ, so none counts; 'rejected' for
+    numbers below 1; 'invalid' where a number has only what is no answer (answer holds that token).
+    """
+    strict = key_pairs(docs, key, text)
+    g = strict.groupBy(key, "number").agg(F.min("answer").alias("answer"), F.count("*").alias("n"), F.count_distinct("answer").alias("k"))
     state = F.when(F.col("number") < 1, "rejected").when(F.col("k") > 1, "conflict").when(F.col("n") > 1, "duplicate").otherwise("entry")
-    return g.select(key, "number", F.when(state != "conflict", F.col("answer")).alias("answer"), "n", state.alias("state"))
+    valid = g.select(key, "number", F.when(~state.isin("conflict", "rejected"), F.col("answer")).alias("answer"), "n", state.alias("state"))
+    loose = _found(_lines(docs, key, text), key, LOOSE).where(~F.upper("raw").rlike("^(TRUE|FALSE|[A-H]|[1-8])$") | (F.col("number") < 1))
+    bad = loose.groupBy(key, "number", "raw").agg(F.count("*").alias("n"))
+    bad = bad.join(valid.select(key, "number"), [key, "number"], "left_anti")
+    zero = bad.where("number < 1").groupBy(key, "number").agg(F.sum("n").alias("n")).select(key, "number", F.lit(None).cast("string").alias("answer"), "n", F.lit("rejected").alias("state"))
+    return valid.unionByName(bad.where("number >= 1").select(key, "number", F.col("raw").alias("answer"), "n", F.lit("invalid").alias("state"))).unionByName(zero)
 
 
 def missing_numbers(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, number): numbers from 1 to a document's largest entry that have none."""
+    """(doc_id, number): numbers from 1 to a key's largest entry that have no entry."""
     have = parsed.where("state IN ('entry', 'duplicate')").groupBy(key).agg(F.collect_set("number").alias("have"))
     return have.select(key, F.explode(F.array_except(F.sequence(F.lit(1), F.array_max("have")), "have")).alias("number"))
+
+
+def key_report(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row a key: entries, whether they start at one, and the numbers that are missing, said twice, in conflict, invalid or below 1."""
+    of = lambda *s: F.array_sort(F.collect_set(F.when(F.col("state").isin(*s), F.col("number"))))
+    twice = F.array_sort(F.collect_set(F.when((F.col("n") > 1) & F.col("state").isin("duplicate", "conflict"), F.col("number"))))
+    g = parsed.groupBy(key).agg(of("entry", "duplicate").alias("have"), twice.alias("duplicates"), of("conflict").alias("conflicts"), of("invalid").alias("invalid"), of("rejected").alias("rejected"))
+    none = F.array().cast("array<int>")
+    missing = F.when(F.size("have") > 0, F.array_except(F.sequence(F.lit(1), F.array_max("have")), "have")).otherwise(none)
+    return g.select(key, F.size("have").alias("entries"), F.coalesce(F.array_min("have") == 1, F.lit(True)).alias("starts_at_one"), missing.alias("missing"), "duplicates", "conflicts", "invalid", "rejected")
+
+
+def draft_number(text: Column) -> Column:
+    """The number that a draft's text begins with, 1 to 999; null without one."""
+    n = F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), DRAFT_NUMBER, 1), F.lit("")).cast("int")
+    return F.when(n >= 1, n)
+
+
+def key_assign(drafts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(draft_id, number, answer, state) of drafts (draft_id, doc_id, text, question_number, option_count, options_length).
+
+    A draft's number is its own or that of its text; 'assigned', 'out_of_range' where the answer is an option beyond the
+    larger of its two counts (0: no bound), else 'unmatched'. Key numbers without a draft come with a null draft_id as 'unused'.
+    """
+    entries = parsed.where("state IN ('entry', 'duplicate')").select("doc_id", F.col("number").alias("k_number"), "answer")
+    d = drafts.withColumn("number", F.coalesce("question_number", draft_number(F.col("text"))))
+    bound = F.greatest(F.coalesce("option_count", F.lit(0)), F.coalesce("options_length", F.lit(0)))
+    option = F.when(F.col("answer").rlike("^[1-8]$"), F.col("answer")).cast("int")
+    state = F.when(F.col("answer").isNull(), "unmatched").when(option.isNotNull() & (bound > 0) & (option > bound), "out_of_range").otherwise("assigned")
+    match = [d["doc_id"] == entries["doc_id"], d["number"] == entries["k_number"]]
+    out = d.join(entries, match, "left").select(d["doc_id"], "draft_id", "number", F.when(state == "assigned", F.col("answer")).alias("answer"), state.alias("state"))
+    used = out.where("state = 'assigned'").select(F.col("doc_id").alias("u_doc"), F.col("number").alias("u_number")).distinct()
+    unused = entries.join(used, [F.col("doc_id") == F.col("u_doc"), F.col("k_number") == F.col("u_number")], "left_anti")
+    kind = out.schema["draft_id"].dataType
+    return out.unionByName(unused.select("doc_id", F.lit(None).cast(kind).alias("draft_id"), F.col("k_number").alias("number"), "answer", F.lit("unused").alias("state")))

@@ -1,16 +1,22 @@
-"""Queries of the assessment library: name -> callable, and name -> SQL."""
+"""Registered queries: name -> callable, and name -> the expected rows' SQL."""
+
+from gradeloom.plans.sql_views import VIEWS
+from gradeloom.sources.adapter import Tables
 
 QUERIES = {}
 SQL = {}
 
 
-def query(name, sql=None):
-    """Register ``f(spark, sf_dir) -> DataFrame`` under ``name``; ``sql`` is the same result in DuckDB."""
+def plan(name, build):
+    """Register ``build(Tables) -> DataFrame`` under ``name``."""
+
+    def run(spark, sf_dir):
+        return build(Tables(spark, sf_dir))
+
+    run.__name__ = name
+    QUERIES[name] = run
 
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
 
-    return put
+def expect(name, body):
+    """The rows of a query in DuckDB's SQL, over the views of ``sql_views``."""
+    SQL[name] = f"{VIEWS} {body}"
