@@ -16,6 +16,7 @@ from gradeloom.operators import sequences as sq
 from gradeloom.operators import state as st
 from gradeloom.plans.registry import plan
 from gradeloom.sources import adapter
+from gradeloom.sources.store import written
 
 c, lit = F.col, F.lit
 FLAGSHIP = "topic_reports"
@@ -287,13 +288,13 @@ plan("sequence_validate", lambda t: ge.valid_sequence(ge.in_columns(ge.question_
 
 
 def boxes(t):
-    return ge.regions(ge.valid_sequence(ge.in_columns(ge.question_markers(page_words(t)), W)), W, H)
+    return written(ge.regions(ge.valid_sequence(ge.in_columns(written(ge.question_markers(page_words(t))), W)), W, H))
 
 
 plan("build_regions", lambda t: boxes(t).select("job_id", "page", "col", "place", "x0", "y0", "x1", "y1"))
 plan("words_in_region", lambda t: ge.words_in(page_words(t), boxes(t), "col", "place").groupBy("job_id", "page", "col", "place").agg(F.count("*").alias("n")))
 plan("merge_incomplete", lambda t: ge.merged_regions(boxes(t), page_words(t)).select("job_id", "page", "col", "place", "y0", "y1", F.size("ws").alias("words")))
-plan("split_internal", lambda t: ge.split_regions(ge.merged_regions(boxes(t), page_words(t)).drop("ws"), page_words(t)).select("job_id", "page", "col", "place", "y0", "y1"))
+plan("split_internal", lambda t: ge.split_regions(written(ge.merged_regions(boxes(t), page_words(t)).drop("ws")), page_words(t)).select("job_id", "page", "col", "place", "y0", "y1"))
 plan("recover_gaps", lambda t: ge.gap_splits(boxes(t), page_words(t)).select("job_id", "page", "col", "place", "y0", "y1"))
 plan("recover_truncated", lambda t: ge.truncated_numbers(ge.in_columns(ge.question_markers(page_words(t), None), W)))
 plan("recover_century", lambda t: ge.century_numbers(ge.in_columns(ge.question_markers(page_words(t), None), W)))

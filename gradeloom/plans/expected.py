@@ -129,7 +129,7 @@ expect("w_append_pos", "SELECT q.id % 25 AS paper_id, q.id AS question_id, CAST(
 expect("w_draft_position", "SELECT job_id, id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY id % 5, question_number % 2 NULLS FIRST, position, id) - 1 AS INTEGER) AS place FROM drafts")
 expect("w_roll_numbers", "SELECT id, coalesce(roll_no, '24' || upper(substr(class_label, 1, 2)) || 'A' || CASE WHEN k < 10 THEN '0' || k ELSE k::VARCHAR END) AS roll_no FROM (SELECT *, count(roll_no) OVER (PARTITION BY class_label) + count(*) FILTER (roll_no IS NULL) OVER (PARTITION BY class_label ORDER BY id) AS k FROM students)")
 expect("w_gap_neighbours", "SELECT j.job_id, g AS missing, (SELECT max(question_number) FROM drafts d WHERE d.job_id = j.job_id AND question_number < g) AS previous, (SELECT min(question_number) FROM drafts d WHERE d.job_id = j.job_id AND question_number > g) AS next FROM (SELECT job_id, unnest(range(min(question_number), max(question_number) + 1)) AS g FROM drafts GROUP BY 1) j WHERE NOT EXISTS (SELECT 1 FROM drafts d WHERE d.job_id = j.job_id AND d.question_number = g)")
-expect("w_monotone_run", "SELECT id, job_id, question_number FROM drafts d QUALIFY question_number IS NULL OR question_number > coalesce(max(question_number) OVER (PARTITION BY job_id ORDER BY position, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)")
+expect("w_monotone_run", "SELECT id, job_id, CAST(question_number AS INTEGER) AS question_number FROM drafts d QUALIFY question_number IS NULL OR question_number > coalesce(max(question_number) OVER (PARTITION BY job_id ORDER BY position, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)")
 expect("w_latest_per_key", "SELECT student_id, arg_max(classroom_id, (joined_at, classroom_id)) AS classroom_id, max(joined_at) AS joined_at FROM memberships GROUP BY 1")
 expect("w_after_marker", "SELECT d.id, d.position > coalesce((SELECT min(position) FROM drafts x WHERE x.job_id = d.job_id AND x.status = 'DISCARDED'), 9223372036854775807) AS after_marker FROM drafts d")
 expect("sort_enum_nulls", "SELECT id, CAST(row_number() OVER (ORDER BY CASE status WHEN 'DRAFT' THEN 0 WHEN 'SCHEDULED' THEN 1 WHEN 'LIVE' THEN 2 ELSE 3 END, opens_at NULLS LAST, id) AS INTEGER) AS place FROM exams")
@@ -152,12 +152,12 @@ expect("duplicate_agreement", "SELECT attempt_id, question_id, count(*) AS n, if
 expect("fn_strings", "SELECT p_partkey AS id, upper(p_name) AS up, split_part(p_name, ' ', 2) || '-' || split_part(p_name, ' ', 1) AS swapped, left(p_name, 3) AS head, lpad((p_partkey % 100)::VARCHAR, 3, '0') AS padded, replace(p_name, 'ring', 'RING') AS replaced, p_name LIKE 'red%' AS is_red FROM part")
 expect("fn_html", "SELECT p_partkey AS id, '&lt;b&gt;' || p_name || ' &amp; co&lt;/b&gt;' AS escaped, p_name || '<br/>&lt;' AS broken FROM part")
 expect("fn_templates", r"""SELECT id, 'Hello Ann,' || chr(10) || 'A new exam "Exam ' || id || '" has been scheduled.' || chr(10) || 'Duration: ' || (30 + 10 * (id % 7)) || ' minutes' || if(id % 2 = 0, chr(10) || 'Opens: ' || strftime(opens_at, '%Y-%m-%d'), '') AS body FROM exams""")
-expect("fn_regex", "SELECT o_orderkey AS id, CAST(nullif(o_orderkey % 300, 0) AS INTEGER) AS number, length(regexp_replace((o_orderkey % 300) || '. What is ' || o_orderpriority || '?', '[^aeiou]', '', 'g')) AS vowels FROM orders")
+expect("fn_regex", "SELECT o_orderkey AS id, CAST(nullif(o_orderkey % 300, 0) AS INTEGER) AS number, CAST(length(regexp_replace((o_orderkey % 300) || '. What is ' || o_orderpriority || '?', '[^aeiou]', '', 'g')) AS INTEGER) AS vowels FROM orders")
 expect("fn_dates", "SELECT event_id AS id, date_trunc('day', ts)::TIMESTAMP AS day, ts + INTERVAL 7 DAY AS week_on, CAST(floor(epoch(date_trunc('second', ts)) / 30) AS BIGINT) AS bucket FROM events")
 expect("fn_math", f"SELECT p_partkey AS id, {r('p_retailprice / 7', 3)} AS third, CASE WHEN p_size < 5 THEN 5 WHEN p_size > 40 THEN 40 ELSE p_size END AS clamped, abs(p_size - 25) AS away FROM part")
 expect("fn_decimals", "SELECT p_partkey AS id, CAST(1 + p_size % 5 - (p_size % 3) * 0.25 AS DECIMAL(8,2)) AS less, CAST((p_size % 3) * -0.25 AS DECIMAL(8,2)) AS negated, p_size % 5 < 2 AS few FROM part")
 expect("fn_bits", "SELECT p_partkey AS id, xor(p_partkey, p_partkey * 8) AS mixed, p_partkey // 4 AS right, p_partkey % 8 AS low FROM part")
-expect("fn_arrays", "SELECT p_partkey AS id, len(string_split(p_name, ' ')) AS n, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS sorted, list_contains(string_split(p_name, ' '), 'ring') AS has_ring, length(replace(p_name, ' ', '')) AS letters FROM part")
+expect("fn_arrays", "SELECT p_partkey AS id, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS sorted, list_contains(string_split(p_name, ' '), 'ring') AS has_ring, CAST(length(replace(p_name, ' ', '')) AS INTEGER) AS letters FROM part")
 expect("fn_maps", "SELECT p_partkey AS id, 2 AS n, p_size + 1 AS b, 'a,b' AS keys FROM part")
 expect("fn_json", "SELECT event_id AS id, CAST(props->>'k' AS INTEGER) AS k, props->>'none' AS none FROM events")
 expect("fn_types", "SELECT event_id AS id, coalesce(json_type(props, '$.k') IN ('UBIGINT', 'BIGINT'), false) AS is_number, json_exists(props, '$.k') AS present FROM events")
