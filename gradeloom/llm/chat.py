@@ -121,6 +121,11 @@ class Hmm:
         return [states[: size[i], i] for i in range(n)]
 
 
+def _plain(ids) -> pd.Series:
+    """Ids as Python strings and None, in one piece of memory."""
+    return pd.Series([x if isinstance(x, str) else None for x in ids], dtype=object)
+
+
 def in_chunks(pieces: DataFrame, *order: str) -> DataFrame:
     """Add chunk (long) and place (int, from 0) to ``pieces``: at most ``CHUNK`` neighbours in the order of these columns share a chunk.
 
@@ -201,7 +206,7 @@ def parse(transcripts: DataFrame, hmm: Hmm) -> DataFrame:
         for p in batches:
             for (conv, chunk), g in p.groupby(["conv_id", "chunk"], sort=False, dropna=False):
                 e = hmm.lines(np.frombuffer(b"".join(g["f"]), np.int8).reshape(-1, len(SIZES)).astype(int))
-                yield pd.DataFrame({"conv_id": [conv], "chunk": [chunk], "start": [hmm.through(e, True).tobytes()], "inner": [hmm.through(e, False).tobytes()]})
+                yield pd.DataFrame({"conv_id": _plain([conv]), "chunk": [chunk], "start": [hmm.through(e, True).tobytes()], "inner": [hmm.through(e, False).tobytes()]})
 
     small = chained.mapInPandas(matrices, f"conv_id {kind}, chunk long, start binary, inner binary")
 
@@ -219,7 +224,7 @@ def parse(transcripts: DataFrame, hmm: Hmm) -> DataFrame:
         for b in back[::-1]:
             last.append(int(b[last[-1]]))
         last = last[::-1]
-        return pd.DataFrame({"conv_id": p["conv_id"], "chunk": p["chunk"], "before": [-1, *last[:-1]], "last": last})
+        return pd.DataFrame({"conv_id": _plain(p["conv_id"]), "chunk": p["chunk"].tolist(), "before": [-1, *last[:-1]], "last": last})
 
     ends = small.groupBy("conv_id").applyInPandas(chain, f"conv_id {kind}, chunk long, before int, last int")
 
@@ -236,7 +241,7 @@ def parse(transcripts: DataFrame, hmm: Hmm) -> DataFrame:
                     if begins or not k:
                         rows.append([conv, chunk, seq, role, begins, []])
                     rows[-1][5].append(without_marker(line) if begins else line)
-            yield pd.DataFrame([(c, h, q, r, b, "\n".join(t)) for c, h, q, r, b, t in rows], columns=["conv_id", "chunk", "seq", "role", "begins", "text"])
+            yield pd.DataFrame([(c, h, q, r, b, "\n".join(t)) for (c, h, q, r, b, t), c in zip(rows, _plain([x[0] for x in rows]))], columns=["conv_id", "chunk", "seq", "role", "begins", "text"])
 
     joined = lines.join(ends.withColumnRenamed("conv_id", "__c").withColumnRenamed("chunk", "__h"), F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("chunk") == F.col("__h")), "left")
     parts = cut(joined.select("conv_id", "chunk", "f", "lines", "before", "last").mapInPandas(traced, f"conv_id {kind}, chunk long, seq int, role int, begins boolean, text string"))
@@ -267,7 +272,7 @@ def lines_of_chunks(t: DataFrame, kind: str) -> DataFrame:
                         empty = not line.strip()
                 all_lines.append(lines)
                 all_f.append(np.array(f, np.int8).tobytes())
-            yield pd.DataFrame({"conv_id": p["conv_id"], "chunk": p["chunk"], "lines": all_lines, "f": all_f})
+            yield pd.DataFrame({"conv_id": _plain(p["conv_id"]), "chunk": p["chunk"].tolist(), "lines": pd.Series(all_lines, dtype=object), "f": all_f})
 
     chunks = t.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("pieces"))
     return chunks.mapInPandas(run, f"conv_id {kind}, chunk long, lines array<string>, f binary")
