@@ -137,5 +137,5 @@ def test_parse_drafts(spark):
     for r in parse_drafts(spark.createDataFrame(pages, "page int, text string"), "page").collect():
         got.setdefault(r.page, {})[r.position] = (r.text, r.type, r.options, r.solution, r.needs_review)
     assert got[1] == {0: ("What is the capital of France today?", "SINGLE_CHOICE", ["Paris", "Rome", "Oslo"], None, False), 1: ("Which of these is a metal of note?", "SINGLE_CHOICE", ["Gold", "Salt"], "Gold is. more", False)}
-    assert got[2] == {0: ("Name it", "DESCRIPTIVE", None, None, False), 1: ("Pick all that apply to this", "SINGLE_CHOICE", ["a", "b", "c"], None, False)}
+    assert got[2] == {0: ("Name it", "DESCRIPTIVE", None, None, False), 1: ("Pick all that apply to this", "MULTIPLE_CHOICE", ["a", "b", "c"], None, False)}
     assert 3 not in got and got[4][0][0] == "" and got[4][1] == ("fresh one here tail", "DESCRIPTIVE", None, None, True)
