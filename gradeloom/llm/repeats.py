@@ -445,7 +445,7 @@ def remove_repeats(docs: DataFrame, output: str = "digest", batch_bytes: int = B
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
     total = d.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     batches, buckets = max(1, math.ceil(total / batch_bytes)), max(n, math.ceil(total / BUCKET))
-    tid, batch = F.xxhash64("data"), F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int").alias("batch")
+    tid, batch = F.xxhash64("data"), F.pmod(F.xxhash64("doc", "data"), F.lit(batches)).cast("int").alias("batch")
     n_batch = max(n, min(batches, 20_000)) if batches > n else n
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if output == "documents" else []
     more = F.to_json(F.struct(*others)) if others else F.lit("{}")
