@@ -133,7 +133,7 @@ class Lexicon:
     def hits(self, words: set[str]) -> dict[str, str]:
         """The words that match, remembered for the next text of this task."""
         memo, out = self.memo, {}
-        if len(memo) > 1_000_000:
+        if len(memo) > 250_000:
             memo.clear()
         for w in words:
             m = memo.get(w)
@@ -349,6 +349,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for b in batches:
             s = np.array([model.score(t.as_py()) for t in b.column("text")], float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+        pa.default_memory_pool().release_unused()  # texts of the batches; the worker lives on
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
