@@ -504,3 +504,61 @@ def test_scores_of_the_public_table():
     assert len(set(logs.tolist())) > 30_000
     for t in ("a \u2581b", "\u2581", "naïve  café\n\n東京 🙂", " lead"):
         assert u.decode(u.encode([t])[0]) == t
+
+
+def plain_search(docs, items, k):
+    """Ranked documents by the rule, without an index."""
+    import math
+    import re
+    from collections import Counter
+
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    counted = [(d, low(t)) for d, t in docs]
+    n, total = sum(bool(w) for _, w in counted), sum(len(w) for _, w in counted)
+    df = Counter(t for _, w in counted for t in set(w))
+    out = []
+    for item, text in dict.fromkeys(items):
+        found = []
+        for d, w in counted:
+            tf, m = Counter(w), 75 + 25 * len(w) * n // total if total else 0
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * tf[t] // (1000 * tf[t] + 12 * m)) for t in low(text) if tf[t])
+            found += [(-s, d is None, d or 0)] if s > 0 else []
+        out += [(item, i + 1, None if null else d, -s) for i, (s, null, d) in enumerate(sorted(found)[:k])]
+    return sorted(out, key=str)
+
+
+def test_tiered_search_equals_plain_ranking(spark):
+    from gradeloom.llm import ranking
+
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{int(rng.zipf(1.3)) % 60}"
+    docs = [(int(i // 2) if i % 9 else None, " ".join(word() for _ in range(int(rng.integers(0, 40))))) for i in range(300)]
+    docs += [(900, None), (901, ""), (902, "Übung ÜBUNG, naïve-Straße 7\x007"), (903, "only " * 5000), (904, " ,;")]
+    items = [(i % 12, " ".join(word().upper() for _ in range(8)) + " übung STRASSE") for i in range(15)] + [(50, None), (51, ""), (52, "unheard of"), (53, "w1 w1 W1 only"), (53, "w1 w1 W1 only")]
+    d = spark.createDataFrame([(*x, "de", 1) for x in docs], "doc_id long, text string, item_id string, score int").repartition(5)
+    q = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, rank int")
+    for shard, block, vocabulary, tiers in ((7, 10**6, 10**6, (0.2, 0.3)), (1000, 20, 10, (0.05, 0.1, 0.2)), (50, 10**6, 10**6, ())):
+        got = ranking.search(d, q, 5, tiers, shard, block, vocabulary).collect()
+        assert sorted(map(tuple, got), key=str) == plain_search(docs, items, 5)
+    for a, b in ((d.limit(0), q), (d, q.limit(0)), (d.where("text = ''"), q)):
+        assert ranking.search(a, b).collect() == []
+    same = spark.createDataFrame([(i, "just the same") for i in range(40)], "doc_id long, text string")
+    assert ranking.search(same, q).collect() == []  # terms of every document weigh nothing
+
+
+def test_tiers_prove_and_fall_through(spark):
+    from gradeloom.llm import ranking
+
+    shard = ranking.Shard(None)
+    for i in range(200):
+        shard.add(i, b"common " * (1 + i % 7) + (b"rare" if i < 3 else b"other"))
+    row = shard.row().to_pylist()[0]
+    t = ranking.Tiers(row, {b"common": 50, b"rare": 4000, b"other": 30}, 200, sum(row["lengths"]))
+    assert sum(len(docs) for _, docs, _ in t.tiers) == 400 and not t.below[-1].any()
+    scores, whole = np.zeros(200, np.int64), np.zeros(200, np.int64)
+    known = t.known([(b"common", 2), (b"rare", 1), (b"new", 1)])
+    for i in range(len(t.tiers)):
+        t.add_tier(i, known, whole)
+    left = t.add_tier(0, known, scores)
+    assert (scores + left >= whole).all() and (scores <= whole).all() and left > 0
+    assert set(np.argsort(-scores)[:3].tolist()) == {0, 1, 2} and np.sort(scores)[-4] + left < np.sort(scores)[-3]  # proven from the first tier
