@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from gradeloom.llm import blocks, chat, hnsw, mixing, pstable, ranking, repeats, revisits, simhash, toxicity, unigram
+from gradeloom.llm import blocks, chat, collocations, hnsw, mixing, pstable, ranking, repeats, revisits, simhash, toxicity, unigram
 from gradeloom.llm.common import table
 
 #: The piece table; a path on the driver, from where the pieces are broadcast.
@@ -93,3 +93,8 @@ def op3(spark, sf_dir):
 @llm_query("op11_tiered_search", ranking.SEARCH_SQL)
 def op11(spark, sf_dir):
     return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@llm_query("op12_collocations", collocations.COLLOCATION_SQL)
+def op12(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -562,3 +562,49 @@ def test_tiers_prove_and_fall_through(spark):
     left = t.add_tier(0, known, scores)
     assert (scores + left >= whole).all() and (scores <= whole).all() and left > 0
     assert set(np.argsort(-scores)[:3].tolist()) == {0, 1, 2} and np.sort(scores)[-4] + left < np.sort(scores)[-3]  # proven from the first tier
+
+
+def plain_collocations(docs, least, inside, most, depth):
+    """The rule on whole lists."""
+    import re
+    from collections import Counter, defaultdict
+
+    n, f = Counter(), defaultdict(Counter)
+    for text, lang in docs:
+        low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang or "und"] += len(w)
+            for k in range(1, depth + 1):
+                f[lang or "und"].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, c in f.items():
+        wanted = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
+        dropped = {p[i:j] for p, a in wanted.items() for i in range(len(p)) for j in range(i + 2, len(p) + 1) if j - i < len(p) and 100 * a >= inside * c[p[i:j]]}
+        rows = []
+        for p, a in wanted.items():
+            if p not in dropped:
+                s, k = min((2_000_000 * a // (c[p[:k]] + c[p[k:]]), k) for k in range(1, len(p)))
+                rows.append((-s, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(rows)[:most])]
+    return sorted(out)
+
+
+def test_collocations_equal_plain_counts(spark):
+    from gradeloom.llm import collocations
+
+    rng = np.random.default_rng(12)
+    odd = ["a", "a\x01", "a\x00", "a\x00b", "ß", "B", "z\x1f", "\x01", "日本", "the", "the", "the"]
+    word = lambda: odd[int(rng.integers(len(odd)))] if rng.random() < 0.5 else f"W{int(rng.zipf(1.5)) % 30}"
+    docs = [("".join(word() + [" ", " ", " ", "\t ", ". ", "\n", ";"][int(rng.integers(7))] for _ in range(int(rng.integers(0, 60)))), ["en", "de", None, "und"][int(rng.integers(4))]) for _ in range(250)]
+    docs += [("New York city hall. " * 40, "en"), (None, "en"), ("", "fr"), (" ,; ", "es"), ("one two three four five six " * 30, "x\x00y"), ("one two three four five six " * 30, "x")]
+    d = spark.createDataFrame([(*x, 1, "x") for x in docs], "text string, lang string, n long, phrase string").repartition(7)
+    for least, inside, most, depth, words, size in ((5, 80, 50, 4, 200, 300), (12, 50, 10**6, 3, 10**6, 10**6), (3, 100, 7, 4, 1, 60)):
+        got = collocations.collocations(d, least, inside, most, depth, words, size)
+        assert sorted(map(tuple, got.collect())) == plain_collocations(docs, least, inside, most, depth)
+    assert collocations.collocations(d.limit(0)).collect() == [] and collocations.collocations(d.where("lang = 'es'")).collect() == []
+    assert collocations.words_of(collocations.key_of(odd := [w.encode() for w in odd])) == odd
+    whole, collocations.READ_BYTES = collocations.READ_BYTES, 10
+    text = b"some words. and more, words without end or so\nx"
+    assert b"".join(p := list(collocations.parts(text))) == text and len(p) == 3
+    collocations.READ_BYTES = whole
