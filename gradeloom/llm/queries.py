@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from gradeloom.llm import blocks, chat, collocations, hnsw, mixing, pstable, ranking, repeats, revisits, simhash, toxicity, unigram
+from gradeloom.llm import blocks, chat, collocations, hnsw, mixing, pstable, quality, ranking, repeats, revisits, simhash, toxicity, unigram
 from gradeloom.llm.common import table
 
 #: The piece table; a path on the driver, from where the pieces are broadcast.
@@ -98,3 +98,10 @@ def op11(spark, sf_dir):
 @llm_query("op12_collocations", collocations.COLLOCATION_SQL)
 def op12(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@llm_query("op13_quality")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

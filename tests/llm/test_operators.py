@@ -608,3 +608,64 @@ def test_collocations_equal_plain_counts(spark):
     text = b"some words. and more, words without end or so\nx"
     assert b"".join(p := list(collocations.parts(text))) == text and len(p) == 3
     collocations.READ_BYTES = whole
+
+
+def test_dual_descent_reaches_the_least_loss():
+    from gradeloom.llm import quality
+
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=(60, 5)), np.where(rng.random(60) < 0.3, 1.0, -1.0)
+    x[y > 0] += 0.7
+    bounds = np.where(y > 0, 2.0, 0.8)
+    w = quality.dual_descent([(np.arange(5), row) for row in x], y, bounds, 5, rounds=20_000, close=1e-7)
+    primal = lambda w: 0.5 * w @ w + (bounds * np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))).sum()
+    best = primal(w)
+    for _ in range(3000):  # no nearby weights have a smaller loss
+        assert primal(w + rng.normal(size=6) * 10.0 ** rng.uniform(-4, 0)) > best - 1e-6
+    good, bad = np.array([8.0, 1.0, 3.0]), np.array([1.0, 8.0, 3.0])
+    r = quality.ratios(good, bad)
+    assert r[0] > 0 > r[1] and abs(r[2]) < 1e-12 and abs(r[0] - np.log(9 / 2)) < 1e-12
+
+
+def test_indicators_of_texts():
+    from gradeloom.llm import quality
+
+    codes = lambda t: set(quality.indicators(t.encode()).tolist())
+    assert quality.indicators(None).size == quality.indicators(b"").size == 0
+    assert codes("one two three") != codes("one two three |")
+    plain = lambda t, most, base, first: quality.grams(np.array(t), most, base, first)
+    got = {(int(c) >> 4) // 8 for c in plain([1, 2, 1, 2], 2, 10, 0) if int(c) % 16 == 2}
+    assert got == {12, 21}
+    shares = sorted((int(c) >> 4) % 8 for c in plain([1] * 99 + [2], 1, 10, 0) if (int(c) >> 4) // 8 == 2)
+    assert shares == [0]  # a hundredth: present, below all other shares
+    assert quality.distances(np.array([1, 1, 2, 1, 3, 4, 5, 6, 1])).tolist() == [0, 1, 0, 2, 0, 0, 0, 0, 0]
+    kinds = quality.KIND[np.frombuffer("Ab!!!! 12 $".encode(), np.uint8)]
+    assert quality.runs(kinds).tolist() == [9, 4, (7 + 0) * 4 + 3, 16, 12, 16, (7 + 3) * 4 + 1]
+    long = "word | " * 400_000
+    assert codes(long) == codes("word | " * 200_000)  # whole texts, read in blocks
+
+
+def test_quality_learns_and_handles_odd_rows(spark):
+    from gradeloom.llm import quality
+
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 8))))
+    def text(good):
+        w = [word() for _ in range(int(rng.integers(10, 60)))]
+        return " ".join(w) + "." if good else [" | ".join(w), " ".join(x.upper() + "!!" for x in w), " ".join(x for x in w for _ in range(3))][int(rng.integers(3))]
+    rows = [(i, text(i % 4 > 0), int(i % 4 > 0)) for i in range(800)]
+    docs = spark.createDataFrame([(i, t, 0.5, "c") for i, t, _ in rows] + [(None, "no id at all", 0.1, "c"), (900, None, 0.1, "c"), (901, "", 0.1, "c"), (5, rows[5][1], 0.5, "c"), (902, "x" * 300_000, 0.0, "c")], "doc_id long, text string, score double, codes string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows] + [(None, 1, 0), (3, None, 0), (5, 7, 0), (4000, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.score(docs.withColumn("held", quality.held_out(docs["doc_id"])), model).collect()}
+    assert docs.count() == quality.score(docs, model).count() and got[1]["codes"] == "c"
+    unseen = [(got[i]["predicted"], q) for i, _, q in rows if got[i]["held"]]
+    assert len(unseen) > 150 and np.mean([p == q for p, q in unseen]) > 0.97
+    assert got[900]["score"] == got[901]["score"] and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+    small = quality.fit(docs, labels, most_labelled=200)  # a bounded sample
+    assert np.mean([r["predicted"] == q for r, q in zip(sorted((r for r in quality.score(docs.where("doc_id < 800").dropDuplicates(["doc_id"]), small).collect()), key=lambda r: r["doc_id"]), [q for _, _, q in rows])]) > 0.9
+    again = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs.repartition(5), labels.repartition(3))).collect()}
+    assert all(abs(again[k] - r["score"]) < 1e-9 for k, r in got.items())  # however rows are dealt
+    assert {r["score"] for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
+    assert {r["predicted"] for r in quality.score(docs, quality.fit(docs, labels.where("quality = 1"))).collect()} == {1}
+    assert quality.score(docs.limit(0), model).collect() == []
