@@ -32,19 +32,17 @@ LEAST_DOCS = 3
 #: weight in every weight (naive Bayes) against the fitted one.
 SMOOTH, LOSS, BAYES = 1.0, 1.0, 0.25
 THRESHOLD = 0.7
-#: Signs that are read at once.
-BLOCK = 1 << 20
 
 #: What a byte becomes: 1 small letters and all beyond ASCII, 2 capitals, 3 digits, 4 blanks, 5 line ends, 6 control signs, from 7 on each sign of its own.
-KIND = np.array([1 if c >= 128 or 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in (9, 32) else 5 if 10 <= c <= 13 else 6 if c < 32 or c == 127 else 7 + c - 33 for c in range(256)], np.int64)
+KIND = np.array([1 if c >= 128 or 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in (9, 32) else 5 if 10 <= c <= 13 else 6 if c < 32 or c == 127 else 7 + c - 33 for c in range(256)], np.uint8)
 
 
 def runs(kinds: np.ndarray) -> np.ndarray:
     """Runs of one kind as one member: kind * 4 + length up to 3; letters, digits and blanks have no length, capitals one or more."""
     if not len(kinds):
-        return kinds
+        return np.zeros(0, np.int64)
     at = np.flatnonzero(np.concatenate(([True], kinds[1:] != kinds[:-1])))
-    kind, length = kinds[at], np.minimum(np.diff(np.append(at, len(kinds))), 3)
+    kind, length = kinds[at].astype(np.int64), np.minimum(np.diff(np.append(at, len(kinds))), 3)
     length = np.where(kind == 2, np.minimum(length, 2), np.where((kind == 1) | (kind == 3) | (kind == 4), 0, length))
     return kind * 4 + length
 
@@ -80,8 +78,7 @@ def indicators(text: bytes | None) -> np.ndarray:
     """Different codes of a whole text's indicators, in order."""
     if not text:
         return np.zeros(0, np.int64)
-    kinds = np.frombuffer(text, np.uint8)
-    signs = np.concatenate([runs(KIND[kinds[at : at + BLOCK]]) for at in range(0, len(kinds), BLOCK)])
+    signs = runs(KIND[np.frombuffer(text, np.uint8)])
     words = words_of(text)
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
