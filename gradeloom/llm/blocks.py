@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,15 @@ from pyspark.sql import DataFrame
 
 from gradeloom.llm.common import Shipped
 
-TAG = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea)\b" + TAG + r".*?(?:</\1\s*>|\Z)|</?[a-zA-Z]" + TAG + r"|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
-# Elements whose content is no text of the page, if they are closed; without an end tag their tag alone is dropped.
-HIDDEN = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("noscript", "template", "svg", "iframe", "object", "select", "button")}
-NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Weights of the labeller, written by ``python -m gradeloom.llm.block_training``.
+WEIGHTS = Path(__file__).with_name("block_weights.npz")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+BETWEEN = re.compile(r"[\s/]*")
+#: One attribute of a tag, as HTML reads it: a quote opens a value only right after the equals sign.
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
+# Elements whose content is no markup but runs to their end tag, and elements whose content is no text of the page.
+RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "title", "textarea")}
+HIDDEN = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("template", "svg", "select")}
 # Elements of HTML that have no end tag, that stand within a line, and whose start ends an open p.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -27,17 +31,71 @@ DIGIT = re.compile(r"\d")
 ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Widths of the hashed tag path and of the hashed words, plain numbers, units of each direction.
-PATH, WORDS, PLAIN, UNITS = 96, 32, 8, 24
+PATH, WORDS, PLAIN, UNITS = 384, 96, 8, 24
 #: Blocks, padding included, that are labelled at once; longer pages are read in parts that hand on their state.
 CELLS = 1 << 14
-#: Made-up pages that the labeller is trained on, and rounds over them.
-TRAIN_PAGES, EPOCHS = 1500, 9
 
 
 def bucket(word: str, width: int) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % width
 
 
+def attributes(page: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """Of a tag from behind its name: names and values, whether it closes itself, and where it ends (-1: never)."""
+    found = []
+    while True:
+        m = BETWEEN.match(page, at)
+        at = m.end()
+        if at >= len(page):
+            return found, False, -1
+        if page[at] == ">":
+            return found, m.group().endswith("/"), at + 1
+        m = ATTRIBUTE.match(page, at)
+        found.append((m[1].lower(), m[2] or m[3] or m[4] or ""))
+        at = m.end()
+
+
+def tokens(page: str):
+    """('text', text, [], False), ('start', name, attributes, closes itself) and ('end', name, [], False) of a page, in one pass forward."""
+    at, n, gone = 0, len(page), set()
+    while at < n:
+        lt = page.find("<", at)
+        if lt != at:
+            yield "text", page[at : n if lt < 0 else lt], [], False
+            if lt < 0:
+                return
+        after = page[lt + 1 : lt + 3]
+        if page.startswith("<!--", lt):
+            if page.startswith((">", "->"), lt + 4):  # an empty comment
+                at = page.index(">", lt) + 1
+                continue
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+        elif after[:1] in ("!", "?") or (after[:1] == "/" and len(after) == 2 and not (after[1].isascii() and after[1].isalpha())):
+            end = page.find(">", lt)
+            at = n if end < 0 else end + 1
+        elif m := NAME.match(page, lt + 1 + (after[:1] == "/")):
+            name = m.group().lower()
+            given, itself, at = attributes(page, m.end())
+            if at < 0:
+                return  # the page ends within the tag
+            if after[0] == "/":
+                yield "end", name, [], False
+            elif name in RAW:
+                end = RAW[name].search(page, at)
+                at = n if end is None else end.start()
+            else:
+                yield "start", name, given, itself
+                if name in HIDDEN and not itself and name not in gone:
+                    if end := HIDDEN[name].search(page, at):
+                        at = end.end()
+                    else:
+                        gone.add(name)  # none closes any more; the tag alone is dropped
+        else:
+            yield "text", "<", [], False
+            at = lt + 1
+
+
 def leaf_blocks(page: str | None) -> list[tuple[str, int, int, float]]:
     """The page's text in order: (text, bits of its hashed tag path, depth, share of its characters within links).
 
@@ -63,29 +121,15 @@ def leaf_blocks(page: str | None) -> list[tuple[str, int, int, float]]:
     def innermost(name):
         return next(i for i in range(len(path) - 1, -1, -1) if path[i][0] == name) if opened[name] else None
 
-    at, gone = 0, set()
-    while at < len(page):
-        m = TOKEN.match(page, at)
-        at = m.end()
-        t = m.group()
-        if t[0] != "<" or t == "<":
-            buf.append(t)
+    for kind, name, given, itself in tokens(page):
+        if kind == "text":
+            buf.append(name)
             if links:
-                linked += len(t.strip())
+                linked += len(name.strip())
             continue
-        if m.group(1) or t[1] in "!?":
-            continue
-        if not (name := NAME.match(t)):
-            continue
-        name = name[1].lower()
         if name in HIDDEN:
-            if t[1] != "/" and not t.endswith("/>") and name not in gone:
-                if z := HIDDEN[name].search(page, at):
-                    at = z.end()
-                else:
-                    gone.add(name)  # none closes any more
             continue
-        if t[1] == "/":
+        if kind == "end":
             if name in INLINE:
                 if name == "a" and links:
                     links -= 1
@@ -110,10 +154,10 @@ def leaf_blocks(page: str | None) -> list[tuple[str, int, int, float]]:
                 if path[i][0] == name:
                     end(i)
                     break
-        if name not in VOID and not t.endswith("/>"):
+        if name not in VOID and not itself:
             links = 0
             bits = path[-1][1] if path else 0
-            for p in (name, *(f"{a[0].lower()}={w}" for a in ATTRIBUTE.findall(t) for w in re.split(r"[\s_-]+", (a[1] or a[2] or a[3]).lower()) if w)):
+            for p in (name, *(f"{a}={w}" for a, value in given if a in ("class", "id", "role") for w in re.split(r"[\s_-]+", value.lower()) if w)):
                 bits |= 1 << bucket(p, PATH)
             path.append((name, bits))
             opened[name] += 1
@@ -123,7 +167,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, int, int, float]]:
 
 def block_vectors(blocks: list[tuple[str, int, int, float]], first: int = 0, of: int | None = None) -> np.ndarray:
     """One row a block: hashed tag path, all its hashed words, and plain numbers. ``first``: its place among the page's ``of`` blocks."""
-    x, of, k = np.zeros((len(blocks), PATH + WORDS + PLAIN)), len(blocks) if of is None else of, PATH + WORDS
+    x, of, k = np.zeros((len(blocks), PATH + WORDS + PLAIN), np.float32), len(blocks) if of is None else of, PATH + WORDS
     if blocks:
         bits = np.frombuffer(b"".join(b[1].to_bytes(PATH // 8, "little") for b in blocks), np.uint8).reshape(len(blocks), -1)
         x[:, :PATH] = np.unpackbits(bits, axis=1, bitorder="little")
@@ -139,25 +183,18 @@ def _sigmoid(z):
 
 
 class Labeller:
-    """A bidirectional LSTM with one sigmoid output a block; trained by gradients through time, in numpy."""
-
-    def __init__(self, seed: int = 1):
-        r, d = np.random.default_rng(seed), PATH + WORDS + PLAIN
-        self.p = {}
-        for side in "fb":
-            self.p["w" + side] = r.normal(0, 1 / np.sqrt(d), (d, 4 * UNITS)) * 0.7
-            self.p["u" + side] = r.normal(0, 1 / np.sqrt(UNITS), (UNITS, 4 * UNITS)) * 0.7
-            self.p["c" + side] = np.zeros(4 * UNITS)
-            self.p["c" + side][UNITS : 2 * UNITS] = 1  # to remember at first
-        self.p["o"], self.p["oc"] = r.normal(0, 0.2, 2 * UNITS), np.zeros(1)
+    """A bidirectional LSTM with one sigmoid output a block, in numpy."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p = p
 
     def run(self, x: np.ndarray, side: str, mask: np.ndarray, state=None, keep: bool = False):
         """x: (steps, pages, inputs), already in this direction's order; ``state``: what came before. (outputs, state, what training needs)"""
         steps, n, _ = x.shape
-        h, c = state or (np.zeros((n, UNITS)), np.zeros((n, UNITS)))
+        h, c = state or (np.zeros((n, UNITS), np.float32), np.zeros((n, UNITS), np.float32))
         kept = []
         z_in = (x.reshape(steps * n, -1) @ self.p["w" + side] + self.p["c" + side]).reshape(steps, n, -1)
-        out = np.empty((steps, n, UNITS))
+        out = np.empty((steps, n, UNITS), np.float32)
         for t in range(steps):
             z = z_in[t] + h @ self.p["u" + side]
             g = _sigmoid(z[:, : 3 * UNITS])
@@ -171,52 +208,6 @@ class Labeller:
             out[t] = h
         return out, (h, c), kept
 
-    def forward(self, x: np.ndarray, mask: np.ndarray):
-        hf, _, kf = self.run(x, "f", mask, keep=True)
-        hb, _, kb = self.run(x[::-1], "b", mask[::-1], keep=True)
-        h = np.concatenate((hf, hb[::-1]), axis=2)
-        return _sigmoid(h @ self.p["o"] + self.p["oc"]), (h, kf, kb)
-
-    def back(self, x, mask, dh, kept, side, grad):
-        steps, n, d = x.shape
-        u = self.p["u" + side]
-        dh_next, dc_next, dz_all = np.zeros((n, UNITS)), np.zeros((n, UNITS)), np.zeros((steps, n, 4 * UNITS))
-        for t in range(steps - 1, -1, -1):
-            h, c, i, f, o, a, tc, m = kept[t]
-            dht = dh[t] + dh_next
-            live, pass_h, pass_c = dht * m, dht * ~m, dc_next * ~m
-            dc = dc_next * m + live * o * (1 - tc * tc)
-            dz = np.concatenate((dc * a * i * (1 - i), dc * c * f * (1 - f), live * tc * o * (1 - o), dc * i * (1 - a * a)), axis=1)
-            dz_all[t] = dz
-            grad["u" + side] += h.T @ dz
-            dh_next, dc_next = dz @ u.T + pass_h, dc * f + pass_c
-        grad["w" + side] += x.reshape(steps * n, d).T @ dz_all.reshape(steps * n, -1)
-        grad["c" + side] += dz_all.sum(axis=(0, 1))
-
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, seed: int = 2, rate: float = 0.01) -> Labeller:
-        r, m1, m2, step = np.random.default_rng(seed), {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        for _ in range(epochs):
-            order = r.permutation(len(pages))
-            for at in range(0, len(order), 16):
-                group = [pages[i] for i in order[at : at + 16]]
-                x, mask = padded([g[0] for g in group])
-                y = np.zeros(mask.shape)
-                for j, g in enumerate(group):
-                    y[: len(g[1]), j] = g[1]
-                prob, (h, kf, kb) = self.forward(x, mask)
-                e = (prob - y) * mask / mask.sum()
-                grad = {k: np.zeros_like(v) for k, v in self.p.items()}
-                grad["o"], grad["oc"] = np.einsum("tn,tnk->k", e, h), np.array([e.sum()])
-                dh = e[:, :, None] * self.p["o"]
-                self.back(x, mask, dh[:, :, :UNITS], kf, "f", grad)
-                self.back(x[::-1], mask[::-1], dh[::-1, :, UNITS:], kb, "b", grad)
-                step += 1
-                for k in self.p:
-                    m1[k] = 0.9 * m1[k] + 0.1 * grad[k]
-                    m2[k] = 0.999 * m2[k] + 0.001 * grad[k] ** 2
-                    self.p[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-        return self
-
     def label(self, pages: list[list[tuple[str, int, int, float]]]) -> list[np.ndarray]:
         """For each page's leaf blocks: True for those of the main text. Pages of like length run together, ``CELLS`` blocks
         at a time; a longer page is read part by part in both directions, each part starting from the state before it."""
@@ -246,148 +237,17 @@ class Labeller:
 
 def padded(rows: list[np.ndarray], steps: int = 0) -> tuple[np.ndarray, np.ndarray]:
     steps = max(steps, *(len(r) for r in rows))
-    x, mask = np.zeros((steps, len(rows), PATH + WORDS + PLAIN)), np.zeros((steps, len(rows)), bool)
+    x, mask = np.zeros((steps, len(rows), PATH + WORDS + PLAIN), np.float32), np.zeros((steps, len(rows)), bool)
     for j, r in enumerate(rows):
         x[: len(r), j], mask[: len(r), j] = r, True
     return x, mask
 
 
-# Words that menus, notices, adverts and comments tend to hold, in four languages.
-AROUND = "cookie cookies accept akzeptieren accepter aceptar privacy datenschutz login anmelden connexion subscribe abonnieren newsletter advert anzeige publicité anuncio sponsored sale angebot offre oferta share teilen partager compartir reply antworten répondre responder comment kommentar commentaire comentario copyright impressum menu home search suche related".split()
-
-
-def made_up_page(r: np.random.Generator) -> tuple[str, list[bool]]:
-    """A page of random layout and invented words, and for each leaf block whether it is main text."""
-    parts, truth = ["<!DOCTYPE html><html><head><title>x</title></head><body>"], []
-    pick = lambda *a: a[r.integers(len(a))]
-    syllables = ("th er on an re he in ed nd ha at en es or ti it sch ung ver ein qu el ou ment ción ado que mi").split()
-
-    def word(own=()):
-        if own and r.random() < 0.4:
-            return own[r.integers(len(own))]
-        w = "".join(syllables[r.integers(len(syllables))] for _ in range(r.integers(1, 4)))
-        return w.upper() if r.random() < 0.02 else w
-
-    def text(least, most, own=()):
-        own = own if r.random() < 0.5 else ()  # half of what surrounds a text is told by place alone
-        s = " ".join(word(own) for _ in range(r.integers(least, most)))
-        return s.capitalize() + pick(".", ".", ".", "!", "?", "")
-
-    def put(open_, s, close, main):
-        parts.append(open_ + s + close)
-        truth.append(main)
-
-    def link():
-        return f'<a href="/{word()}">{word()}</a>'
-
-    def menu(tag):
-        parts.append(tag)
-        if r.random() < 0.8:
-            parts.append("<ul>")
-            for _ in range(r.integers(2, 9)):
-                put("<li>", link(), "</li>", False)
-            parts.append("</ul>")
-        else:
-            put("<div>", " | ".join(link() for _ in range(r.integers(2, 7))), "</div>", False)
-        parts.append("</" + re.match(r"<(\w+)", tag)[1] + ">")
-
-    def noise(tag, least=1, most=25, own=AROUND):
-        name = re.match(r"<(\w+)", tag)[1]
-        parts.append(tag)
-        for _ in range(r.integers(1, 4)):
-            inner = pick("p", "div", "h3", "")
-            if inner:
-                put(f"<{inner}>", link() if r.random() < 0.3 else text(least, most, own), f"</{inner}>", False)
-            else:
-                parts.append("<div>")
-                put("", text(least, most, own), "</div>", False)
-        parts.append(f"</{name}>")
-
-    side = lambda: pick('<aside>', '<aside class="sidebar">', '<div class="sidebar">', '<div id="sidebar">', '<div class="related">', '<section class="related-posts">', '<div class="widget">', '<aside class="widget-area">')
-    advert = lambda: pick('<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="advertisement">', '<div class="sponsored">', '<div class="promo">', '<div class="banner">', '<aside class="ad">', '<section class="promo">')
-    notice = lambda: pick('<div class="cookie-notice">', '<div class="notice">', '<div id="cookie-banner">', '<div class="newsletter">', '<div class="popup">', '<div class="share">', '<div class="breadcrumb">', '<div class="consent">', '<div role="alert">', '<div class="social">', '<section class="notice">')
-    comments = lambda: pick('<div class="comments">', '<section class="comments">', '<section id="comments">', '<div id="comments">', '<ol class="comment-list">', '<div class="comment">', '<div class="discussion">')
-
-    def form():
-        parts.append(pick('<form action="/s">', '<form class="search">', '<form id="signup">'))
-        put(pick("<p>", "<div>", "<label>"), text(1, 8), "</p>", False)
-        parts.append('<input name="q"></form>')
-
-    def bare(tag):
-        name = re.match(r"<(\w+)", tag)[1]
-        put(tag, link() if r.random() < 0.2 else text(1, 30, AROUND), f"</{name}>", False)
-
-    def before():
-        for kind in r.permutation(6):
-            if r.random() < 0.45:
-                [lambda: menu(pick("<nav>", '<nav class="menu">', '<div class="nav">', '<div id="menu">', '<ul class="menu">')), lambda: bare(advert()), lambda: bare(notice()), lambda: noise(pick("<header>", '<header class="site-header">', '<div class="header">', '<div id="header">')), form, lambda: bare(side())][kind]()
-                if r.random() < 0.3:
-                    parts.append(f"<!-- {word()} -->")
-
-    def after():
-        for kind in r.permutation(6):
-            if r.random() < 0.45:
-                [lambda: noise(side()), lambda: noise(comments()), lambda: bare(advert()), lambda: noise(notice()), form, lambda: menu("<nav>")][kind]()
-        if r.random() < 0.85:
-            tag = pick("<footer>", "<footer>", '<div class="footer">', '<div id="footer">', '<footer class="site-footer">')
-            (bare if r.random() < 0.7 else noise)(tag)
-
-    def inside():
-        kind = r.integers(6)
-        [lambda: bare(advert()), lambda: bare(side()), lambda: noise(comments()), form, lambda: menu("<nav>"), lambda: bare(notice())][kind]()
-
-    if r.random() < 0.02:  # no markup at all
-        parts[:] = []
-        put("", text(3, 60), "", True)
-        return parts[0] + "", truth
-    before()
-    box = pick("", "<div>", "<section>", "<table><tr><td>") if r.random() < 0.12 else pick("<article>", "<article>", "<article>", "<main>", "<main><article>", '<div class="content">', '<div id="content">', '<div class="post">', '<div class="article-body">', '<div class="entry-content">', '<article class="post">', '<div id="main">')
-    parts.append(box)
-    if r.random() < 0.8:
-        put(pick("<h1>", '<h1 class="title">', "<h2>"), text(2, 12) if r.random() < 0.9 else word(), "</h1>", True)
-    for _ in range(int(r.integers(1, 5)) if r.random() < 0.5 else int(r.integers(5, 25))):
-        kind, length = r.random(), (1, 4) if r.random() < 0.25 else (4, 60)
-        s = text(*length)
-        if r.random() < 0.15:
-            s += f" {link()} " + text(2, 20)
-        if kind < 0.66:
-            put(pick("<p>", "<p>", "<p><b>", '<p class="lead">'), s, pick("</p>", "</p>", "<br>") if r.random() < 0.5 else "</p>", True)
-            if not parts[-1].endswith("</p>"):
-                parts.append("</p>" if r.random() < 0.3 else "<p>")
-        elif kind < 0.74:
-            put(pick("<h2>", "<h3>"), text(1, 8), "</h2></h3>", True)
-        elif kind < 0.82:
-            parts.append("<ul>")
-            for _ in range(r.integers(1, 5)):
-                put("<li>", text(1, 20), "</li>", True)
-            parts.append("</ul>")
-        elif kind < 0.9:
-            put(pick("<blockquote>", "<pre>", "<blockquote><p>", "<div>", "<figcaption>"), s, "</p></blockquote></pre></div></figcaption>", True) if box != '<div class="content">' else put("<blockquote>", s, "</blockquote>", True)
-        elif kind < 0.95:
-            parts.append("<table><tr>")
-            for _ in range(r.integers(1, 4)):
-                put("<td>", text(1, 6), "</td>", True)
-            parts.append("</tr></table>")
-        elif r.random() < 0.7:
-            inside()
-    if r.random() < 0.2:
-        inside()
-    parts.append("".join(f"</{n}>" for n in re.findall(r"<(\w+)", box)[::-1]))
-    after()
-    parts.append("</body></html>")
-    return "".join(parts), truth
-
-
 @cache
-def trained(pages: int = TRAIN_PAGES) -> Labeller:
-    """The labeller, trained on ``pages`` made-up pages; the same on every call."""
-    r, rows = np.random.default_rng(11), []
-    while len(rows) < pages:
-        page, truth = made_up_page(r)
-        blocks = leaf_blocks(page)
-        if len(blocks) == len(truth):
-            rows.append((block_vectors(blocks), np.array(truth, float)))
-    return Labeller().train(rows)
+def trained() -> Labeller:
+    """The labeller with the weights that ``block_training`` has written; the same on every machine."""
+    with np.load(WEIGHTS) as f:
+        return Labeller({k: f[k].astype(np.float32) for k in f.files})
 
 
 def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
