@@ -193,21 +193,23 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
 
     sample = cut(texts.mapInArrow(run, "id long, quality int, codes array<long>"))
     counts = sample.select("quality", F.explode("codes").alias("code")).groupBy("code").agg(F.sum("quality").alias("good"), F.count("*").alias("n"))
-    counts = sorted(tuple(r) for r in counts.where(F.col("n") >= LEAST_DOCS).collect())
-    codes = np.array([c[0] for c in counts], np.int64)
-    rows = sample.select("id", "quality", "codes").orderBy("id").collect()
-    y = np.array([1.0 if r["quality"] else -1.0 for r in rows])
+    counted = counts.where(F.col("n") >= LEAST_DOCS).toArrow().sort_by("code")
+    codes, good, n = (counted[c].to_numpy() for c in ("code", "good", "n"))
+    good, bad = good.astype(float), (n - good).astype(float)
+    kept = Shipped(docs.sparkSession, codes)  # of the bounded sample
+
+    def numbered(batches):
+        codes = kept.get()
+        for b in batches:
+            found = [np.flatnonzero(np.isin(codes, c.values.to_numpy(), assume_unique=True)).astype(np.int32).tobytes() for c in b.column("codes")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("quality"), pa.array(found, pa.binary())], ["id", "quality", "places"])
+
+    rows = sample.mapInArrow(numbered, "id long, quality int, places binary").toArrow().sort_by("id")
+    y = np.where(rows["quality"].to_numpy() > 0, 1.0, -1.0)
     if not len(y) or (y > 0).all() or (y < 0).all():
         share = float((y > 0).mean()) if len(y) else 0.5
         return Model(codes[:0], np.zeros(0), 0.0, (1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6)))))
-    places = []
-    for r in rows:
-        found = np.array(r["codes"], np.int64)
-        at = np.searchsorted(codes, found)
-        inside = at < len(codes)
-        places.append(at[inside][codes[at[inside]] == found[inside]])
-    good = np.array([c[1] for c in counts], float)
-    bad = np.array([c[2] for c in counts], float) - good
+    places = [np.frombuffer(p.as_py(), np.int32) for p in rows["places"]]
     weights, constant = fit_rows(places, y, good, bad)
     # margins of rows that the model has not seen: three folds
     margins, fold = np.zeros(len(y)), np.arange(len(y)) % 3
