@@ -13,6 +13,7 @@ suffix links, a phrase without its first word, as a join level by level.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from gradeloom.llm.ranking import best_rows
 DEPTH = 4
 LEAST, INSIDE, MOST_A_LANG = 30, 80, 2000
 #: A shard ends at so many words, a piece of text that is read at once at so many bytes (at the end of a piece).
-SHARD_WORDS, READ_BYTES = 1 << 21, 1 << 24
+SHARD_WORDS, READ_BYTES = 1 << 20, 1 << 24
 #: Bits a frequent pair, and most bits of the set that tasks read (128 MB; beyond it the set rules out less, the result is the same).
 PAIR_BITS, MOST_BITS = 16, 1 << 30
 #: Text bytes a range, and most ranges.
@@ -90,7 +91,7 @@ class Texts:
     def numbered(self):
         """(lang, words in order, word numbers by that order) of each language."""
         for lang, (seen, arrays) in sorted(self.langs.items()):
-            words = sorted((w for w in seen if w != BREAK), key=lambda w: key_of([w]))
+            words = sorted(w for w in seen if w != BREAK)  # as their keys
             order = np.empty(len(seen), np.int64)
             order[0] = -1
             order[[seen[w] for w in words]] = np.arange(len(words))
@@ -233,17 +234,19 @@ def _first(n: int, holds) -> int:
     return low
 
 
-NODES = "range int, lang string, key binary, c long"
+def ordered(where: int, lang: str) -> bytes:
+    """What a range's phrases of a language begin with in the order of the merge; a key follows."""
+    return where.to_bytes(4, "big") + key_of([lang.encode("utf-8", "surrogatepass")]) + b"\0"
 
 
 def node_rows(texts: DataFrame, pairs: Shipped, bounds: Shipped, depth: int, shard_words: int) -> DataFrame:
-    """(range int, lang string, key binary, c long): the shards' tries, written out in order, with the paths to the ranges' first phrases.
+    """(node binary, c long): the shards' tries, written out in order, with the paths to the ranges' first phrases.
 
-    The empty key counts all words.
+    A node is its range, language and key in one; the empty key counts all words.
     """
 
-    def batch(ranges, lang, keys, counts):
-        return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array([lang] * len(keys), pa.string()), keys, pa.array(counts, pa.int64())], ["range", "lang", "key", "c"])
+    def batch(nodes, counts):
+        return pa.RecordBatch.from_arrays([nodes, pa.array(counts, pa.int64())], ["node", "c"])
 
     def run(batches):
         kept, limits = pairs.get(), bounds.get()
@@ -254,33 +257,35 @@ def node_rows(texts: DataFrame, pairs: Shipped, bounds: Shipped, depth: int, sha
                 trie = Trie(words, x, lambda codes, words=words, lang=lang: kept.has(pair_hashes(lang, words, codes)), depth)
                 first, last = _first(len(langs), lambda i: langs[i] >= lang), _first(len(langs), lambda i: langs[i] > lang)
                 own = [b[1] for b in limits[first:last]]
+                begins = [ordered(first + i, lang) for i in range(len(own) + 1)]
                 numbers = {w: i for i, w in enumerate(words)}
-                paths = [(first, b"", int((x >= 0).sum()))]
-                for i, b in enumerate(own):
+                paths = [(begins[0], int((x >= 0).sum()))]
+                for i, b in enumerate(own, 1):
                     path = words_of(b)
-                    paths += [(first + i + 1, key_of(path[:k]), c) for k in range(1, len(path)) if (c := trie.count(path[:k], numbers))]
-                yield batch([p[0] for p in paths], lang, pa.array([p[1] for p in paths], pa.binary()), [p[2] for p in paths])
-                escaped = pa.array([key_of([w]) for w in words], pa.binary())
-                for level, keys in enumerate(trie.keys(escaped), 1):
-                    ranges = trie.ranges(level, own) + first
+                    paths += [(begins[i] + key_of(path[:k]), c) for k in range(1, len(path)) if (c := trie.count(path[:k], numbers))]
+                yield batch(pa.array([p[0] for p in paths], pa.binary()), [p[1] for p in paths])
+                begins = pa.array(begins, pa.binary())
+                for level, keys in enumerate(trie.keys(pa.array([key_of([w]) for w in words], pa.binary())), 1):
+                    ranges = trie.ranges(level, own)
                     for at in range(0, len(keys), 100_000):
-                        yield batch(ranges[at : at + 100_000], lang, keys.slice(at, 100_000), trie.counts[level - 1][at : at + 100_000])
+                        nodes = pc.binary_join_element_wise(begins.take(pa.array(ranges[at : at + 100_000])), keys.slice(at, 100_000), b"")
+                        yield batch(nodes, trie.counts[level - 1][at : at + 100_000])
 
         yield from shards(batches, make, shard_words)
         pa.default_memory_pool().release_unused()
 
-    return texts.mapInArrow(run, NODES)
+    return texts.mapInArrow(run, "node binary, c long")
 
 
 def merged(batches, least: int, bounds: list):
-    """The merged tries of a task's ranges, from rows sorted by (range, lang, key): nodes that reach ``least``.
+    """The merged tries of a task's ranges, from rows sorted by node: those that reach ``least``.
 
-    Yields (lang, key, phrase, depth, f, lefts, link, inside): counts of the left parts, the phrase without its first
-    word, and the shorter phrases inside. The path to a range's first phrase only serves its descendants.
+    Yields (lang, key, phrase, depth, f, lefts, link, inside): counts of the left parts, the phrase without its
+    first word, and the shorter phrases inside. The path to a range's first phrase only serves its descendants.
     """
     path: list[tuple[bytes, int]] = []
     here = held = None
-    for b in [*batches, None]:
+    for b in chain(batches, [None]):
         if b is not None and not b.num_rows:
             continue
         t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
@@ -289,33 +294,34 @@ def merged(batches, least: int, bounds: list):
         t = t.combine_chunks()
         new = np.ones(t.num_rows, bool)
         if t.num_rows > 1:
-            same = [pc.equal(t[c].chunk(0)[1:], t[c].chunk(0)[:-1]) for c in ("range", "lang", "key")]
-            new[1:] = ~np.asarray(pc.and_(pc.and_(*same[:2]), same[2]))
+            node = t["node"].chunk(0)
+            new[1:] = np.asarray(pc.not_equal(node[1:], node[:-1]))
         starts = np.flatnonzero(new)
         if b is not None:  # the last group may go on
             held, t, starts = t.slice(starts[-1]), t.slice(0, starts[-1]), starts[:-1]
         if not len(starts):
             continue
         sums = np.add.reduceat(t["c"].to_numpy(), starts)
-        keys = t["key"].take(pa.array(starts))
-        wanted = np.flatnonzero((sums >= least) | np.asarray(pc.equal(pc.binary_length(keys), 0)))
-        few = t.take(pa.array(starts[wanted]))
+        nodes = t["node"].take(pa.array(starts))
+        wanted = np.flatnonzero((sums >= least) | np.asarray(pc.ends_with(nodes, b"\0")))  # no key ends so: all words
         out = []
-        for where, lang, key, f in zip(few["range"].to_pylist(), few["lang"].to_pylist(), few["key"].to_pylist(), sums[wanted].tolist()):
-            if (where, lang) != here:
-                here, path = (where, lang), []
+        for node, f in zip(nodes.take(pa.array(wanted)).to_pylist(), sums[wanted].tolist()):
+            lang, _, key = node[4:].partition(b"\0")
+            if (node[:4], lang) != here:
+                here, path = (node[:4], lang), []
+                where, lang_name = int.from_bytes(node[:4], "big"), words_of(lang)[0].decode("utf-8", "surrogatepass") if lang else ""
             if not key:
-                out.append((lang, key, b"", 0, f, [], None, []))
+                out.append((lang_name, key, b"", 0, f, [], None, []))
                 continue
             while path and not key.startswith(path[-1][0] + b"\0"):
                 path.pop()
             lefts = [n for _, n in path]
             path.append((key, f))
-            if where > 0 and bounds[where - 1][0] == lang and key < bounds[where - 1][1]:
+            if where > 0 and bounds[where - 1][0] == lang_name and key < bounds[where - 1][1]:
                 continue
             w = key.split(b"\0")
             inside = [b"\0".join(w[i : i + k]) for k in range(2, len(w)) for i in range(len(w) - k + 1)]
-            out.append((lang, key, b" ".join(words_of(key)), len(w), f, lefts, b"\0".join(w[1:]) if len(w) > 1 else None, inside))
+            out.append((lang_name, key, b" ".join(words_of(key)), len(w), f, lefts, b"\0".join(w[1:]) if len(w) > 1 else None, inside))
         if out:
             kinds = [pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["lang", "key", "phrase", "depth", "f", "lefts", "link", "inside"])
@@ -364,7 +370,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, shard
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     limits = range_bounds(texts, depth, range_bytes)
     bounds, pairs = Shipped(spark, limits), Shipped(spark, frequent_pairs(texts, least, shard_words))
-    rows = node_rows(texts, pairs, bounds, depth, shard_words).repartition(max(partitions(spark), len(limits) + 1), "range").sortWithinPartitions("range", "lang", "key")
+    rows = node_rows(texts, pairs, bounds, depth, shard_words).repartition(max(partitions(spark), len(limits) + 1), F.substring("node", 1, 4)).sortWithinPartitions("node")
     return cut(rows.mapInArrow(lambda batches: merged(batches, least, bounds.get()), MERGED))
 
 

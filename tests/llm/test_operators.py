@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm import blocks, chat, hnsw, mixing, pstable, repeats, revisits, similar, simhash, toxicity, unigram
+from gradeloom.llm import block_training, blocks, chat, hnsw, mixing, pstable, repeats, revisits, similar, simhash, toxicity, unigram
 from gradeloom.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -334,7 +334,7 @@ def test_blocks(spark):
     assert got == [(1, want, len(want)), (1, want, len(want)), (2, "", 0), (3, "", 0)]
     r, right, n = np.random.default_rng(77), 0, 0
     for _ in range(150):
-        made, truth = blocks.made_up_page(r)
+        made, truth = block_training.made_up_page(r)
         marks = blocks.trained().label([blocks.leaf_blocks(made)])[0]
         right, n = right + int((marks == np.array(truth)).sum()), n + len(truth)
     assert right >= 0.98 * n
@@ -347,15 +347,33 @@ def test_blocks_of_odd_pages(spark):
     long = " ".join(f"w{i}" for i in range(60))
     a, b = blocks.block_vectors(blocks.leaf_blocks(f"<p>{long} end</p>")), blocks.block_vectors(blocks.leaf_blocks(f"<p>{long} cookies</p>"))
     assert (a != b).any()  # words after the first forty count
-    pages = [(1, "u", "<div>Text without any container that goes on for a while.</div>"), (2, "u", "plain text only, no markup at all")]
-    got = {r.page_id: r.text for r in blocks.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got == {1: "Text without any container that goes on for a while.", 2: "plain text only, no markup at all"}
+    pages = ["<div>Text without any container that goes on for a while.</div>", "plain text only, no markup at all", "<html><body><div>First paragraph of some length here.</div><div>Second paragraph, also long enough to read.</div></body></html>"]
+    pages += ["<p>One short text.</p><p>Two short texts are here.</p>", "<body><p>Hello</p></body>", "<article><h1>T</h1><p title=don't>One's own.</p><noscript><p>Two.</p></noscript><p>Three isn't.</p></article>", "<a " * 350_000]
+    pages += ['<header><h1>Site name</h1></header><div id="wrapper"><div class="story"><h2>Title of it</h2><p>The first paragraph is about things that matter.</p><p>The second paragraph goes on, with <a href=x>a link</a> inside.</p></div><div class="sidebar"><p>Related stories</p></div></div><footer><p>All rights reserved</p></footer>']
+    want = ["Text without any container that goes on for a while.", "plain text only, no markup at all", "First paragraph of some length here.\n\nSecond paragraph, also long enough to read.", "One short text.\n\nTwo short texts are here.", "Hello", "T\n\nOne's own.\n\nTwo.\n\nThree isn't.", "", "Title of it\n\nThe first paragraph is about things that matter.\n\nThe second paragraph goes on, with a link inside."]
+    got = {r.page_id: r.text for r in blocks.extract(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(pages))] == want
     assert blocks.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_malformed_pages_are_read_in_one_pass():
+    import time
+
+    texts = lambda page: [b[0] for b in blocks.leaf_blocks(page)]
+    start = time.time()
+    for page in ("<a " * 350_000, "<!-" * 300_000, "</ " * 300_000, '<a b="' * 150_000, "<svg>" * 50_000, "<textarea>" * 100_000, "<a b='" * 150_000 + "x", "<" * 300_000, "<script>" * 100_000, "<a" + " /" * 300_000, "<a b" + " " * 500_000 + "c"):
+        blocks.leaf_blocks(page)
+    assert time.time() - start < 15
+    assert texts("<p title=don't>one<p>it's two") == ["one", "it's two"]
+    assert texts("<script>x</scripty><p>no</script >after") == ["after"]
+    assert texts("a < b <c>d</c>") == ["a < b", "d"] and texts("<!-->x<!-- y -->z</3>") == ["xz"]
+    assert texts("<p/>q</p ><br/>r<p a = 'x>y' b=>s</p><p c=\"x>\">t") == ["q", "r", "s", "t"]
+    assert texts("kept <p class='never closed>lost</p>") == ["kept"]  # as HTML reads it: the page ends within the tag
+
+
 def test_long_pages_are_labelled_in_parts(monkeypatch):
     r = np.random.default_rng(5)
-    pages = [blocks.leaf_blocks(blocks.made_up_page(r)[0]) for _ in range(30)]
+    pages = [blocks.leaf_blocks(block_training.made_up_page(r)[0]) for _ in range(30)]
     pages.append(sum(pages, []))
     whole = blocks.trained().label(pages)
     monkeypatch.setattr(blocks, "CELLS", 37)
