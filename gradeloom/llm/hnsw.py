@@ -15,7 +15,7 @@ from gradeloom.llm.mixing import hashed_unit
 
 #: Distinct vectors of a shard, links of a node (twice as many on the ground level), beam widths.
 SHARD, LINKS, BUILD_BEAM, SEARCH_BEAM = 8000, 12, 40, 160
-#: Vectors that the cells are fitted on, at most (in expectation: chosen by a hash); the most cells before shards grow.
+#: Vectors that the cells are fitted on, at most (in expectation: chosen by a hash); the most cells.
 SAMPLE, MOST_CELLS = 20_000, 2000
 #: Cells that a query is searched in, nearest first.
 PROBES = 16
@@ -229,7 +229,7 @@ def _width(df: DataFrame):
 
 
 def fit_cells(vectors: DataFrame, shard: int) -> Cells:
-    """Cells of about ``shard`` vectors, fitted on ``SAMPLE`` of them (by a hash of vec_id); shards grow beyond ``MOST_CELLS`` cells."""
+    """Cells of about ``shard`` vectors, fitted on ``SAMPLE`` of them (by a hash of vec_id), ``MOST_CELLS`` at most."""
     v = _plain(vectors, "vec_id")
     n = v.count()
     take = v if n <= SAMPLE else v.where(hashed_unit(F.lit("cells"), "vec_id") < F.lit(SAMPLE / n))
@@ -242,18 +242,17 @@ def fit_cells(vectors: DataFrame, shard: int) -> Cells:
 def build_index(vectors: DataFrame, cells: Cells, k: int = 10, shard: int = SHARD) -> DataFrame:
     """One row a shard: the graph's flat neighbour arrays, its distinct vectors, and the ids of each of them. Written once.
 
-    A shard is a cell of near vectors, or a part of one by hash where the cell holds more than twice its
-    share. Equal vectors meet in one shard; they are one node with at most k + 1 ids, the smallest ones (k
+    A shard is a cell of near vectors, or a part of one by hash where the cell holds more than twice ``shard``
+    of them, so no shard grows with the input. Equal vectors meet in one shard; they are one node with at most k + 1 ids, the smallest ones (k
     results, the query's own id aside, can't reach beyond these).
     """
     spark, dtype = vectors.sparkSession, _width(vectors)
     one = _plain(vectors, "vec_id").mapInPandas(_collapse(k + 1, Shipped(spark, cells), dtype), "raw binary, ids array<long>, cell int")
     one = cut(one.withColumn("dim", (F.octet_length("raw") / np.dtype(dtype).itemsize).cast("int")))
     n = one.count()
-    share = max(shard, math.ceil(n / MOST_CELLS))
-    parts = one.groupBy(F.col("cell").alias("__c"), F.col("dim").alias("__d")).agg(F.ceil(F.count("*") / F.lit(2 * share)).cast("int").alias("subs"))
+    parts = one.groupBy(F.col("cell").alias("__c"), F.col("dim").alias("__d")).agg(F.ceil(F.count("*") / F.lit(2 * shard)).cast("int").alias("subs"))
     dealt = one.join(parts, (F.col("cell") == F.col("__c")) & (F.col("dim") == F.col("__d"))).withColumn("sub", F.pmod(F.xxhash64("raw"), F.col("subs")).cast("int"))
-    dealt = dealt.select(*SHARD_KEY, "raw", "ids").repartition(max(partitions(spark), min(2 * math.ceil(n / share), 100_000)), *SHARD_KEY)
+    dealt = dealt.select(*SHARD_KEY, "raw", "ids").repartition(max(partitions(spark), min(2 * math.ceil(n / shard), 100_000)), *SHARD_KEY)
     return cut(dealt.groupBy(*SHARD_KEY).applyInPandas(_index(k + 1, dtype), INDEX))
 
 
@@ -266,13 +265,21 @@ def _search(k, beam, dtype):
         n_ids = np.frombuffer(r["n_ids"], np.int32)
         ids, ends = np.frombuffer(r["ids"], np.int64), np.cumsum(n_ids)
         seen, mark, out = np.zeros(len(g.x), np.int64), 0, []
+
+        def by_id(q, nodes):
+            d, near = np.sqrt(((g.x[nodes] - q) ** 2).sum(axis=1)), {}
+            for s, node in sorted(zip(d.tolist(), nodes.tolist())):
+                for i in ids[ends[node] - n_ids[node] : ends[node]].tolist():
+                    near.setdefault(i, s)
+            return near
+
         for raw in queries["raw"]:
             q = np.frombuffer(raw, dtype).astype(np.float64)
             at, mark = g.search(q, max(beam, k + 1), seen, mark)
-            nodes = np.array([i for _, i in at])
-            d = np.sqrt(((g.x[nodes] - q) ** 2).sum(axis=1))
-            near = [(float(s), int(i)) for s, node in zip(d, nodes) for i in ids[ends[node] - n_ids[node] : ends[node]]]
-            out += [(raw, i, s) for s, i in heapq.nsmallest(k + 1, near)]  # one more, for the query's own id
+            near = by_id(q, np.array([i for _, i in at]))
+            if len(near) <= k and len(at) < len(g.x):  # many vectors of few ids are nearest: all nodes are compared
+                near = by_id(q, np.arange(len(g.x)))
+            out += [(raw, i, s) for s, i in heapq.nsmallest(k + 1, ((s, i) for i, s in near.items()))]  # one more, for the query's own id
         return pd.DataFrame(out, columns=["raw", "vec_id", "score"])
 
     return run
@@ -285,7 +292,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEA
     vectors in double precision; ties go to the smaller vec_id. Every usable row is indexed: vectors are
     dealt to cells by the nearest centroid, each cell is a graph (or some, if it is large), and every
     distinct query vector is searched in its ``probes`` nearest cells, whose results are merged. So a query
-    costs the same at every size. The index is written once, and a shard's row is read again only for each
+    costs the same up to ``MOST_CELLS`` cells; beyond, a cell is several graphs, all of which are searched. The index is written once, and a shard's row is read again only for each
     ``QUERY_BLOCK`` queries that are sent to it.
 
     A row with the query's own id is no result. Rows that repeat an id with an equal vector count once; a
