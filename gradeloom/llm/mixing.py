@@ -9,6 +9,8 @@ from gradeloom.llm.common import cut, partitions
 
 #: Distribution tables up to this number of doubles in all (32 MB) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_DOUBLES = 4_000_000
+#: Repeated (doc_id, text) pairs up to this number are broadcast (48 bytes each); more are joined by a shuffle.
+BROADCAST_REPEATS = 200_000
 
 
 def hashed_unit(*parts):
@@ -75,29 +77,41 @@ def poisson_mix(docs: DataFrame, weights: dict | None = None, temperature_half:
     """Repeat or drop documents so that sources take their target shares, and shuffle the result globally.
 
     ``docs`` needs doc_id, text and source; other columns stay. Each row gets a Poisson count with its
-    source's mean repetition rate, by inverting the distribution function at a number hashed from ``seed``
-    and doc_id, and is exploded into that many rows. Added columns: copy (1..n_copies), n_copies,
+    source's mean repetition rate, by inverting the distribution function at a number hashed from ``seed``,
+    doc_id and text, and is exploded into that many rows. Rows that repeat a (doc_id, text) also hash their
+    place in the input, so each has a draw of its own; only these draws depend on how the input is laid out. Added columns: copy (1..n_copies), n_copies,
     shuffle_key; columns of these names in the input are replaced. Rows are dealt to partitions by
-    shuffle_key, a hash of seed, doc_id and copy, and sorted by it there: a global shuffle in one exchange.
+    shuffle_key, a hash of what the count is drawn from and of copy, and sorted by it there: a global shuffle in one exchange.
 
     Nulls: a null source is a source of its own, a null text has no characters, a null doc_id hashes as the
-    empty string. Repeated rows get the same count each. An empty table gives an empty result.
+    empty string. An empty table gives an empty result.
     """
     docs = docs.drop("copy", "n_copies", "shuffle_key")
     rates = cut(with_poisson_table(repetition_rates(docs, weights, temperature_half)).selectExpr("source AS __mix_source", "rate AS __mix_rate", "first AS __mix_first", "cdf AS __mix_cdf"))
     few = (rates.agg(F.sum(F.size("__mix_cdf"))).first()[0] or 0) <= BROADCAST_DOUBLES
-    joined = docs.join(F.broadcast(rates) if few else rates, docs["source"].eqNullSafe(F.col("__mix_source")))
-    u = hashed_unit(F.lit(str(seed)), "doc_id")
+    marked = docs.withColumn("__mix_text", F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    key = F.struct(F.col("doc_id"), F.col("__mix_text"))
+    repeats = cut(marked.select("doc_id", "__mix_text").groupBy(key.alias("__mix_key")).agg(F.count("*").alias("n")).where("n > 1").select("__mix_key"))
+    n_repeats = repeats.count()
+    if n_repeats:
+        repeats = repeats.withColumn("__mix_again", F.lit(True))
+        marked = marked.join(F.broadcast(repeats) if n_repeats <= BROADCAST_REPEATS else repeats, key.eqNullSafe(F.col("__mix_key")), "left")
+        marked = marked.withColumn("__mix_place", F.monotonically_increasing_id()).withColumn("__mix_place", F.when(F.col("__mix_again"), F.col("__mix_place")))
+    else:
+        marked = marked.withColumn("__mix_place", F.lit(None).cast("long"))
+    drawn = ["doc_id", "__mix_text", "__mix_place"]
+    joined = marked.join(F.broadcast(rates) if few else rates, marked["source"].eqNullSafe(F.col("__mix_source")))
+    u = hashed_unit(F.lit(str(seed)), *drawn)
     n = (F.col("__mix_first") + F.size(F.filter("__mix_cdf", lambda c: c < F.col("__mix_u")))).cast("int")
     out = (
         joined.withColumn("__mix_u", u)
         .withColumn("n_copies", n)
         .where("n_copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-        .withColumn("shuffle_key", hashed_long(F.lit(f"{seed}:order"), "doc_id", "copy"))
+        .withColumn("shuffle_key", hashed_long(F.lit(f"{seed}:order"), *drawn, "copy"))
     )
     return (
-        out.select(*[docs[c] for c in docs.columns], "copy", "n_copies", "shuffle_key")
+        out.select(*docs.columns, "copy", "n_copies", "shuffle_key")
         .repartition(partitions(docs.sparkSession), "shuffle_key")
         .sortWithinPartitions("shuffle_key", "doc_id", "copy")
     )
@@ -111,10 +125,10 @@ r AS (SELECT source, CASE WHEN size = 0 OR all_w = 0 THEN 1.0 ELSE (CAST(w AS DO
 k AS (SELECT source, rate, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT))) AS k FROM r),
 p AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
 c AS (SELECT source, list(cdf) AS cdf FROM p GROUP BY source),
-u AS (SELECT d.*, (CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents d),
+u AS (SELECT d.*, (CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':'), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents d),
 n AS (SELECT u.*, CAST(len(list_filter(c.cdf, lambda x: x < u.u)) AS INTEGER) AS n_copies FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source),
 e AS (SELECT n.*, unnest(generate_series(1, n_copies)) AS copy FROM n WHERE n_copies > 0)
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, n_copies,
-  CAST(('0x' || substr(md5('17:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy AS VARCHAR)), 1, 15)) AS BIGINT) AS shuffle_key
+  CAST(('0x' || substr(md5('17:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || '::' || CAST(copy AS VARCHAR)), 1, 15)) AS BIGINT) AS shuffle_key
 FROM e
 """

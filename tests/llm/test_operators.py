@@ -35,8 +35,15 @@ def test_mixing(spark):
     for s in ("s0", "s1", "s2"):
         n = sum(r.source == s for r in out)
         assert abs(n - 1000 * rates[s]) < 5 * math.sqrt(1000 * rates[s]) + 3
-    assert all(len(v) % v[0][1] == 0 for v in by.values())
+    assert all(len(v) == v[0][1] for k, v in by.items() if k != (7, "s1", "x"))
     assert mixing.poisson_mix(docs.limit(0)).count() == 0
+    # null and repeated ids have draws of their own, equal rows too
+    odd = [(None, f"text {i:04}", "s0", "c") for i in range(2000)] + [(5, f"text {i:04}", "s1", "c") for i in range(2000)] + [(6, "text same", "s2", "c")] * 2000
+    counted = spark.createDataFrame(odd, DOCS).repartition(5)
+    drawn = mixing.poisson_mix(counted).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("shuffle_key").alias("keys"), F.max("n_copies").alias("most")).collect()
+    rates = {r.source: r.rate for r in mixing.repetition_rates(counted).collect()}
+    assert {r.source for r in drawn} == {"s0", "s1", "s2"}
+    assert all(abs(r.n - 2000 * rates[r.source]) < 5 * math.sqrt(2000 * rates[r.source]) and r["keys"] == r.n and r.most > 1 for r in drawn)
     sizes = {r.source: r.size for r in mixing.repetition_rates(docs).collect()}
     share = lambda w: {r.source: r.rate * r.size / sum(sizes.values()) for r in mixing.repetition_rates(docs, w).collect() if r.size}
     assert abs(share({"s0": 0.5})["s0"] - 0.5) < 1e-9 and abs(sum(share({"s0": 0.5}).values()) - 1) < 1e-6
@@ -206,6 +213,13 @@ def test_nearest_of_repeated_ids(spark):
         assert got == [(1, 1, 3), (1, 2, 2), (2, 1, 1), (2, 2, 3), (3, 1, 1), (3, 2, 2)]  # of id 1's vectors [9, 9] is first in byte order
 
 
+def test_nearest_beside_many_vectors_of_one_id(spark):
+    rows = [(1, [1.0 + i * 1e-4, 1.0]) for i in range(400)] + [(i, [2.0 + i, 1.0]) for i in range(2, 20)] + [(100, [1.0, 1.0001])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id) for r in hnsw.nearest(v, v.where("vec_id = 100")).orderBy("rank").collect()]
+    assert got == [(k, k) for k in range(1, 11)]
+
+
 def test_nearest_by_cells(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((40, 16))[r.integers(0, 40, 3000)] + 0.2 * r.standard_normal((3000, 16))

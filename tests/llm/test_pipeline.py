@@ -72,7 +72,7 @@ def mixed(rows, seed=17):
     for row in rows:
         s = row[3]
         rate = 1.0 if not sizes[s] else w[s] / sum(w.values()) * (sum(sizes.values()) / sizes[s])
-        u = (int(hashlib.md5(f"{seed}:{row[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        u = (int(hashlib.md5(f"{seed}:{row[0]}:{hashlib.md5((row[1] or '').encode()).hexdigest()}:".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         n, p, c = 0, math.exp(-rate), math.exp(-rate)
         while c < u:
             n += 1
