@@ -8,6 +8,7 @@ from gradeloom.functions import documents as doc
 from gradeloom.functions.grading import grade
 from gradeloom.operators import analytics as an
 from gradeloom.operators import authoring as au
+from gradeloom.operators import drafts as dr
 from gradeloom.operators import filters as fi
 from gradeloom.operators import geometry as ge
 from gradeloom.operators import reports as re
@@ -311,7 +312,23 @@ plan("has_stem", lambda t: page_blocks(t).select("job_id", "page", ge.has_stem(c
 plan("complete_block", lambda t: page_blocks(t).select("job_id", "page", ge.complete(c("ws"), c("q")).alias("complete")))
 plan("option_markers", lambda t: page_blocks(t).select("job_id", "page", F.size(ge.option_labels(c("ws"), c("q"))).alias("labels"), ge.option_count(c("ws")).alias("options")))
 plan("region_confidence", lambda t: page_words(t).select("job_id", "page", "word_id", an.rounded(ge.region_confidence(c("y0"), c("y1") + 8, (c("word_id") % 9), (c("word_id") % 4), c("word_id") % 2 == 0, H), 2).alias("confidence")))
-plan("draft_assemble", lambda t: ge.drafts_of_pages(page_words(t), W, H).select("job_id", "page", "col", "position", "question_number", "kind", "options", an.rounded(c("confidence"), 2).alias("confidence"), "goes_on"))
+plan("draft_assemble", lambda t: dr.drafts_of_pages(page_words(t), W, H).select("job_id", "page", "col", "position", "question_number", "kind", "options", an.rounded(c("confidence"), 2).alias("confidence"), "invalid_crop", "needs_review", "span_page_end"))
+
+
+def stitched(t):
+    """Drafts of the plain regions of pages, stitched over the pages of a job."""
+    words, marks = written(page_words(t)), marks_of(t)
+    return written(dr.drafts_of_regions(words, boxes(t), marks, W, H))
+
+
+def marks_of(t):
+    return written(ge.valid_sequence(ge.in_columns(written(ge.question_markers(page_words(t))), W)))
+
+
+plan("draft_stitch", lambda t: stitched(t).select("job_id", "page", "col", "position", "question_number", "kind", "options", an.rounded(c("confidence"), 2).alias("confidence"), "invalid_crop", "needs_review", "words", "span_page_end", "header_x0", "header_x1", "header_y1"))
+plan("missing_trace", lambda t: dr.missing_trace(stitched(t), dr.numbers_read(page_words(t)), ge.question_markers(page_words(t)), marks_of(t), 62))
+plan("crowded_crops", lambda t: dr.crowded_crops(stitched(t)).select("job_id", "position", F.array_join("numbers", ",").alias("numbers")))
+plan("review_counts", lambda t: dr.review_counts(stitched(t)).select("job_id", F.array_join("numberless", ",").alias("numberless"), "needs_review"))
 plan("quality_report", lambda t: ge.quality_report(t.drafts.select("job_id", "question_number", (c("id") % 11 == 0).alias("invalid_crop"))).select("job_id", "detected", "invalid", "lo", "hi", F.array_join("missing", ",").alias("missing"), F.array_join("duplicates", ",").alias("duplicates"), "coverage_pct"))
 
 

@@ -249,7 +249,7 @@ ts AS (SELECT job_id, page, y0, y1, row_number() OVER (PARTITION BY job_id, page
 spans AS (SELECT d.job_id, d.page, d.place, d.i, CASE WHEN any_value(z.t) IS NULL THEN 0 ELSE coalesce(min(t.y0), 0) END AS lo, CASE WHEN any_value(z.t) IS NULL THEN 9007199254740991.0 ELSE coalesce(max(t.y1), 0) END AS hi FROM ds d LEFT JOIN (SELECT DISTINCT job_id, page, t FROM ts) z ON z.job_id = d.job_id AND z.page = d.page LEFT JOIN ts t ON t.job_id = d.job_id AND t.page = d.page AND t.j >= d.i * t.t // d.n AND t.j < greatest(d.i * t.t // d.n + 1, (d.i + 1) * t.t // d.n) GROUP BY 1, 2, 3, 4)
 SELECT f.job_id, f.page, f.word_id AS figure_id, arg_min(s.place, (-greatest(0, least(f.y1, s.hi) - greatest(f.y0, s.lo)), abs((s.lo + s.hi) / 2 - (f.y0 + f.y1) / 2), s.i)) AS place FROM words f JOIN spans s ON s.job_id = f.job_id AND s.page = f.page WHERE f.k = 6 GROUP BY 1, 2, 3""")
 on_words("figure_attach_stripe", """, ds AS (SELECT job_id, page, list_sort(list(word_id)) AS l FROM words WHERE text LIKE '%.' AND y0 < 400 GROUP BY 1, 2) SELECT f.job_id, f.page, f.word_id AS figure_id, l[CAST(least(len(l) - 1, floor(least(1, f.cy / 820.0::DOUBLE) * len(l))) AS BIGINT) + 1] AS place FROM words f JOIN ds ON ds.job_id = f.job_id AND ds.page = f.page WHERE f.k = 6""")
-on_words("region_quality", f"SELECT job_id, page, {r('avg(conf) * (0.7 + 0.3 * least(1, sum(CASE k WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN length(text) WHEN 5 THEN 4 WHEN 6 THEN 7 ELSE 0 END)::DOUBLE / sum(length(text)) * 1.25))', 4)} AS quality FROM words GROUP BY 1, 2")
+on_words("region_quality", f"SELECT job_id, page, {r('(sum(CAST(round(conf * 1000000) AS BIGINT)) / 1000000::DOUBLE / count(*)) * (0.7 + 0.3 * least(1, sum(CASE k WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN length(text) WHEN 5 THEN 4 WHEN 6 THEN 7 ELSE 0 END)::DOUBLE / sum(length(text)) * 1.25))', 4)} AS quality FROM words GROUP BY 1, 2")
 on_words("noise_token", "SELECT job_id, page, word_id, k = 7 AS noise FROM words")
 on_words("bbox_distance", "SELECT job_id, page, word_id, greatest(0, greatest(x0, 100) - least(x1, 150), greatest(y0, 200) - least(y1, 260)) AS away FROM words WHERE conf = 0.1")
 on_words("words_inside", "SELECT job_id, page, word_id FROM words WHERE cx <= 200 AND cy <= 400")
@@ -331,3 +331,38 @@ expect("bulk_result", "SELECT id, error IS NULL AS ok, error FROM (SELECT id, CA
 expect("json_ingest", "SELECT event_id AS id, CAST(props->>'k' AS INTEGER) AS k FROM events WHERE props->>'k' IS NOT NULL AND event_id NOT IN (SELECT id FROM drafts WHERE status = 'APPROVED')")
 expect("rows_sink", f"SELECT exam_id, count(*) AS n FROM (SELECT exam_id, student_id FROM attempts UNION ALL (SELECT exam_id, student_id FROM {ASSIGNED} EXCEPT SELECT exam_id, student_id FROM attempts)) GROUP BY 1")
 expect("upsert_sink", "SELECT if(p_partkey % 4 = 0, 'NEW', p_brand) AS topic, count(*) AS n FROM part GROUP BY 1")
+
+# --- drafts of regions, stitched over pages; every page of a job has words, so the page before is the one read before
+STITCHED = f""", many AS (SELECT job_id, page, CAST(count(DISTINCT col) AS INTEGER) AS n_cols, min(col) AS first_col FROM kept GROUP BY 1, 2),
+regs AS (SELECT job_id, page, CAST(col AS INTEGER) AS col, place, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, n_cols FROM boxes JOIN many USING (job_id, page) WHERE y1 - y0 >= 12 AND x1 - x0 >= 12
+  UNION ALL SELECT DISTINCT job_id, page, 0, 0, 0, 0, 600, 820, 0 FROM words WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.job_id = words.job_id AND k.page = words.page)),
+ends AS (SELECT *, row_number() OVER (PARTITION BY job_id, page ORDER BY col DESC, y0 DESC, place DESC) = 1 AS last FROM regs),
+inw AS (SELECT e.job_id, e.page, e.col, e.place, e.n_cols, w.word_id, w.text, w.k, w.x0, w.x1, w.y0, w.k IN (2, 3, 4) OR (w.k = 1 AND e.n_cols = 0) AS label FROM ends e JOIN words w ON w.job_id = e.job_id AND w.page = e.page AND w.cx >= e.x0 AND w.cx < e.x1 AND w.cy >= e.y0 AND w.cy < e.y1),
+tops_in AS (SELECT *, min(y0) FILTER (label) OVER (PARTITION BY job_id, page, col, place) AS top FROM inw),
+told AS (SELECT job_id, page, col, place, any_value(n_cols) AS n_cols, CAST(count(*) AS INTEGER) AS words, string_agg(text, ' ' ORDER BY word_id) AS text,
+    count(*) FILTER (k IN (5, 6) AND (top IS NULL OR y0 < top - 1)) >= 2 OR coalesce(sum(length(text)) FILTER (k IN (5, 6) AND (top IS NULL OR y0 < top - 1)), 0) >= 8 AS stem,
+    CASE WHEN {TF} THEN 'TRUE_FALSE' WHEN count(DISTINCT text) FILTER (k = 2) + count(DISTINCT text) FILTER (k = 3) + count(DISTINCT text) FILTER (k = 1 AND n_cols = 0) >= 2 THEN 'MCQ' WHEN bool_or(k = 6) THEN 'DIAGRAM_BASED' ELSE 'UNKNOWN' END AS kind,
+    count(DISTINCT lower(regexp_replace(text, '[().]', '', 'g'))) FILTER (k IN (2, 3)) AS found FROM tops_in GROUP BY ALL),
+firsts AS (SELECT job_id, page, col, place, min_by(CAST(replace(text, '.', '') AS INTEGER), (y0, x0, word_id)) AS num FROM inw w WHERE k = 1 AND n_cols > 0 AND NOT EXISTS (SELECT 1 FROM inw o WHERE o.job_id = w.job_id AND o.page = w.page AND o.col = w.col AND o.place = w.place AND o.y0 = w.y0 AND o.word_id <> w.word_id AND o.x1 <= w.x0 AND w.x0 - o.x1 < 24) GROUP BY 1, 2, 3, 4),
+sure0 AS (SELECT e.*, t.words, t.text, t.stem, t.kind, f.num, if(found BETWEEN 2 AND 6, found, 4)::INTEGER AS options, e.n_cols > 0 AND f.num IS NULL AND NOT t.stem AS invalid,
+    1::DOUBLE - if(t.words < 5, 0.25, 0)::DOUBLE - if(e.y0 > 697, 0.2, 0)::DOUBLE - if(last AND e.y1 >= 818, 0.2, 0)::DOUBLE AS c FROM ends e JOIN told t USING (job_id, page, col, place) LEFT JOIN firsts f USING (job_id, page, col, place)),
+sure AS (SELECT * REPLACE (if(invalid, least(c, 0.3), c)::DOUBLE AS c) FROM (SELECT * REPLACE (if(kind = 'MCQ' AND NOT stem, greatest(0.1, c - 0.3::DOUBLE), c)::DOUBLE AS c) FROM (SELECT * REPLACE (if(kind = 'UNKNOWN', greatest(0.1, c - 0.2::DOUBLE), c)::DOUBLE AS c) FROM sure0))),
+placed_in AS (SELECT *, row_number() OVER (PARTITION BY job_id, page ORDER BY col, y0, place) - 1 AS idx, row_number() OVER (PARTITION BY job_id ORDER BY page, col, y0, place) - 1 AS position FROM sure),
+tips AS (SELECT job_id, page, min(k.y0) AS top, any_value(lft) AS lft, any_value(rgt) AS rgt FROM kept k JOIN many USING (job_id, page) JOIN lefts l USING (job_id, page, col) WHERE k.col = first_col GROUP BY 1, 2),
+steps AS (SELECT job_id, page, lag(open_idx) OVER j AS open_in, lag(page) OVER j AS from_page, floor(top - 4.8 + 0.5)::DOUBLE AS hy, greatest(0, floor(lft - 4.8 + 0.5))::DOUBLE AS hx0, least(600, floor(rgt + 0.5))::DOUBLE AS hx1
+  FROM (SELECT DISTINCT job_id, page FROM words) LEFT JOIN (SELECT job_id, page, max(idx) FILTER (last AND y1 >= 818 AND n_cols > 0) AS open_idx FROM placed_in GROUP BY 1, 2) USING (job_id, page) LEFT JOIN tips USING (job_id, page) WINDOW j AS (PARTITION BY job_id ORDER BY page)),
+stitched AS (SELECT p.job_id, p.page, p.col, p.n_cols, CAST(p.position AS INTEGER) AS position, p.num AS question_number, p.kind, p.options, if(s.page IS NULL, p.c, least(p.c, 0.55))::DOUBLE AS c, p.invalid AS invalid_crop, s.page IS NOT NULL OR p.c < 0.6 OR p.invalid AS needs_review, p.text, p.words, p.x0, p.y0, p.x1, p.y1,
+    s.page AS span_page_end, s.hx0 AS header_x0, s.hx1 AS header_x1, s.hy AS header_y1
+  FROM placed_in p LEFT JOIN steps s ON s.job_id = p.job_id AND s.from_page = p.page AND s.open_in = p.idx AND s.hy >= 12)"""
+on_words("draft_stitch", f"{STITCHED} SELECT job_id, page, col, position, question_number, kind, options, {r('c', 2)} AS confidence, invalid_crop, needs_review, words, span_page_end, header_x0, header_x1, header_y1 FROM stitched")
+on_words("missing_trace", f"""{STITCHED}, have AS (SELECT DISTINCT job_id, question_number AS n FROM stitched WHERE NOT invalid_crop AND question_number IS NOT NULL),
+lost AS (SELECT j.job_id, CAST(g AS INTEGER) AS num, (SELECT max(n) FROM have h WHERE h.job_id = j.job_id AND n < g) AS previous, (SELECT min(n) FROM have h WHERE h.job_id = j.job_id AND n > g) AS next FROM (SELECT DISTINCT job_id FROM stitched) j CROSS JOIN range(1, 63) t(g) WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.job_id = j.job_id AND h.n = g)),
+seen AS (SELECT l.job_id, l.num, min_by({{'page': w.page, 'x': w.x0, 'y': w.y0}}, (w.page, w.word_id)) AS a FROM lost l JOIN words w ON w.job_id = l.job_id AND w.k = 1 AND w.text = l.num || '.' GROUP BY 1, 2),
+hosts AS (SELECT s.job_id, s.num, min_by({{'num': d.question_number, 'col': d.col, 'n': d.n_cols}}, d.position) AS d FROM seen s JOIN stitched d ON d.job_id = s.job_id AND d.page = s.a.page AND s.a.x >= d.x0 - 2 AND s.a.x < d.x1 + 2 AND s.a.y >= d.y0 - 2 AND s.a.y < d.y1 + 2 GROUP BY 1, 2),
+near AS (SELECT job_id, question_number AS n, min_by({{'page': page, 'col': col, 'n': n_cols}}, position) AS d FROM stitched WHERE NOT invalid_crop AND question_number IS NOT NULL GROUP BY 1, 2),
+labelled AS (SELECT l.job_id, l.num AS expected, l.previous, l.next, coalesce(s.a.page, r.d.page) AS page, if(h.d IS NULL, r.d.col, h.d.col) AS col, if(h.d IS NULL, r.d.n, h.d.n) AS n, s.a IS NOT NULL AS ocr_detected, EXISTS (SELECT 1 FROM numbers x WHERE x.job_id = l.job_id AND x.num = l.num) AS marker_detected, EXISTS (SELECT 1 FROM kept x WHERE x.job_id = l.job_id AND x.num = l.num) AS stays, h.d.num AS merged_into
+  FROM lost l LEFT JOIN seen s USING (job_id, num) LEFT JOIN hosts h USING (job_id, num) LEFT JOIN near r ON r.job_id = l.job_id AND r.n = coalesce(l.previous, l.next))
+SELECT job_id, expected, previous, next, page, CASE WHEN col IS NULL THEN NULL WHEN n <= 1 THEN 'Single' WHEN col = 0 THEN 'Left' WHEN col = 1 AND n = 2 THEN 'Right' ELSE 'Col ' || (col + 1) END AS column, ocr_detected, marker_detected, marker_detected AND NOT stays AS removed_in_sequence, merged_into,
+  CASE WHEN NOT ocr_detected THEN 'OCR_MISS' WHEN NOT marker_detected THEN 'MARKER_MISS' WHEN NOT stays THEN 'SEQUENCE_REMOVED' WHEN merged_into IS NOT NULL THEN 'NOT_SPLIT' ELSE 'UNKNOWN' END AS stage FROM labelled""")
+on_words("crowded_crops", f"""{STITCHED} SELECT job_id, position, array_to_string(ns, ',') AS numbers FROM (SELECT job_id, position, list_sort(list_distinct(list_transform(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[0-9]+[.]$')), lambda w: CAST(replace(w, '.', '') AS INTEGER)))) AS ns FROM stitched WHERE NOT invalid_crop) WHERE len(ns) >= 2""")
+on_words("review_counts", f"{STITCHED} SELECT job_id, coalesce(string_agg(position, ',' ORDER BY position) FILTER (NOT invalid_crop AND question_number IS NULL), '') AS numberless, count(*) FILTER (needs_review) AS needs_review FROM stitched GROUP BY 1")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.operators import drafts as dr
 from gradeloom.operators import geometry as ge
 
 SCHEMA = "job_id int, page int, word_id long, text string, x0 double, y0 double, x1 double, y1 double, conf double"
@@ -21,9 +22,10 @@ def question(n, x, y, stem="stem words here", options="ABCD", mark="."):
 
 def test_drafts_of_two_columns(spark):
     words = question(1, 10, 20) + question(2, 10, 200) + question(3, 320, 20) + question(4, 320, 200)
-    got = ge.drafts_of_pages(page(spark, words), 620.0, 800.0).orderBy("position").collect()
+    got = dr.drafts_of_pages(page(spark, words), 620.0, 800.0).orderBy("position").collect()
     assert [(r.col, r.question_number, r.kind, r.options) for r in got] == [(0, 1, "MCQ", 4), (0, 2, "MCQ", 4), (1, 3, "MCQ", 4), (1, 4, "MCQ", 4)]
-    assert [r.goes_on for r in got] == [False, True, False, True]
+    assert [(r.page, r.n_cols, r.span_page_end) for r in got] == [(1, 2, None)] * 4
+    assert [round(r.confidence, 2) for r in got] == [1.0, 1.0, 1.0, 0.8]
 
 
 def test_incomplete_regions_merge(spark):
@@ -97,4 +99,63 @@ def test_garbage_clusters(spark):
 
 def test_empty_pages(spark):
     w = page(spark, [("x", 0, 0)]).limit(0)
-    assert ge.drafts_of_pages(w, 600.0, 800.0).count() == 0 and ge.reading_order(w).count() == 0 and ge.garbage_clusters(w).count() == 0
+    assert dr.drafts_of_pages(w, 600.0, 800.0).count() == 0 and ge.reading_order(w).count() == 0 and ge.garbage_clusters(w).count() == 0
+
+
+def test_questions_go_on_over_pages(spark):
+    def page_of(number, words):
+        return page(spark, words, number=number).withColumn("word_id", F.col("word_id") + 1000 * number)
+
+    one, tail = question(1, 10, 20) + question(2, 10, 400), [("rest", 30, 20), ("of", 80, 20), ("it", 120, 20), ("(d)", 30, 60)]
+    with_tail = tail + question(3, 10, 200)
+    parts = {1: one, 2: with_tail, 3: question(4, 10, 12), 5: with_tail, 6: [("figure", 50, 50), ("alone", 120, 50)], 7: with_tail}
+    words = None
+    for number, w in parts.items():
+        words = page_of(number, w) if words is None else words.unionByName(page_of(number, w))
+    got = dr.drafts_of_pages(words, 620.0, 800.0).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(got)))
+    ends = {(r.page, r.question_number): r.span_page_end for r in got}
+    # 2 goes on on page 2; 3 does not on page 3, which begins with its marker; page 3 hands 4 on to page 5, the next that was read
+    assert ends[1, 2] == 2 and ends[2, 3] is None and ends[3, 4] == 5
+    assert ends[5, 3] is None and ends[6, None] is None and ends[7, 3] is None  # a page without markers closes what is open
+    stitched = next(r for r in got if r.span_page_end == 2)
+    assert (stitched.header_x0, stitched.header_x1, stitched.header_y1) == (5.0, 620.0, 195.0) and stitched.needs_review and stitched.confidence == 0.55
+    whole = next(r for r in got if r.page == 6)
+    assert (whole.n_cols, whole.x0, whole.y1, whole.invalid_crop) == (0, 0.0, 800.0, False)
+    # page 4 was read and is blank: it closes question 4
+    read = words.select("job_id", "page").distinct().union(spark.createDataFrame([(1, 4)], "job_id int, page int"))
+    got = dr.drafts_of_pages(words, 620.0, 800.0, read).collect()
+    assert {(r.page, r.question_number): r.span_page_end for r in got}[3, 4] is None and sum(r.page == 4 for r in got) == 1
+    assert dr.drafts_of_pages(words.limit(0), 620.0, 800.0).count() == 0
+
+
+def test_scan_over_blocks_equals_one_pass(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(g, i, r.choice([None, None, r.randint(0, 99)]), r.randint(0, 5)) for g in (1, 2, 3) for i in r.sample(range(300), 120)]
+    df = spark.createDataFrame(rows, "g int, at int, v int, n int")
+    got = {(x.g, x["at"]): (x.before, x.sum) for x in dr.carried(df, ["g"], "at", {"before": "v"}, {"sum": "n"}, block=7).collect()}
+    assert len(got) == len(rows)
+    for g in (1, 2, 3):
+        last, total = None, 0
+        for _, i, v, n in sorted((x for x in rows if x[0] == g), key=lambda x: x[1]):
+            assert got[g, i] == (last, total)
+            last, total = v if v is not None else last, total + n
+
+
+def test_missing_numbers_are_traced(spark):
+    drafts = [(1, 1, 0, 1, 0, 1, 0.0, 0.0, 100.0, 100.0, False, "1. a"), (1, 1, 1, 3, 0, 1, 0.0, 100.0, 100.0, 300.0, False, "3. b 4. c"), (1, 2, 2, 8, 1, 2, 0.0, 0.0, 100.0, 300.0, False, "8. d 2.5"), (1, 2, 3, None, 1, 2, 0.0, 300.0, 100.0, 400.0, False, None), (1, 2, 4, 9, 1, 2, 0.0, 500.0, 100.0, 600.0, True, "x")]
+    d = spark.createDataFrame([(*x, False) for x in drafts], "job_id int, page int, position int, question_number int, col int, n_cols int, x0 double, y0 double, x1 double, y1 double, invalid_crop boolean, text string, needs_review boolean")
+    read = spark.createDataFrame([(1, 1, 5, 4, 10.0, 150.0), (1, 1, 6, 5, 500.0, 10.0), (1, 2, 7, 6, 500.0, 10.0), (1, 2, 8, 7, 500.0, 10.0)], "job_id int, page int, word_id long, num int, x double, y double")
+    markers, kept = spark.createDataFrame([(1, 4), (1, 6), (1, 7), (1, None)], "job_id int, num int"), spark.createDataFrame([(1, 4), (1, 7)], "job_id int, num int")
+    got = {r.expected: r for r in dr.missing_trace(d, read, markers, kept).collect()}
+    assert {n: r.stage for n, r in got.items()} == {2: "OCR_MISS", 4: "NOT_SPLIT", 5: "MARKER_MISS", 6: "SEQUENCE_REMOVED", 7: "UNKNOWN"}
+    assert [(r.previous, r.next, r.page, r.column, r.merged_into) for r in (got[2], got[4], got[6])] == [(1, 3, 1, "Single", None), (3, 8, 1, "Single", 3), (3, 8, 2, "Single", None)]
+    more = {r.expected: (r.previous, r.next, r.stage) for r in dr.missing_trace(d, read, markers, kept, 10).collect()}
+    assert more[9] == more[10] == (8, None, "OCR_MISS") and set(more) == {2, 4, 5, 6, 7, 9, 10}
+    none = spark.createDataFrame([(2, 1, 0, None, 0, 1, 0.0, 0.0, 1.0, 1.0, False, "x", True)], d.schema)
+    assert [(r.expected, r.previous, r.next, r.page) for r in dr.missing_trace(none, read, markers, kept, 2).orderBy("expected").collect()] == [(1, None, None, None), (2, None, None, None)]
+    assert dr.missing_trace(none, read, markers, kept).count() == 0
+    assert [(r.position, r.numbers) for r in dr.crowded_crops(d).collect()] == [(1, [3, 4])]
+    assert [(r.numberless, r.needs_review) for r in dr.review_counts(d).collect()] == [([3], 0)]
