@@ -366,3 +366,7 @@ SELECT job_id, expected, previous, next, page, CASE WHEN col IS NULL THEN NULL W
   CASE WHEN NOT ocr_detected THEN 'OCR_MISS' WHEN NOT marker_detected THEN 'MARKER_MISS' WHEN NOT stays THEN 'SEQUENCE_REMOVED' WHEN merged_into IS NOT NULL THEN 'NOT_SPLIT' ELSE 'UNKNOWN' END AS stage FROM labelled""")
 on_words("crowded_crops", f"""{STITCHED} SELECT job_id, position, array_to_string(ns, ',') AS numbers FROM (SELECT job_id, position, list_sort(list_distinct(list_transform(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[0-9]+[.]$')), lambda w: CAST(replace(w, '.', '') AS INTEGER)))) AS ns FROM stitched WHERE NOT invalid_crop) WHERE len(ns) >= 2""")
 on_words("review_counts", f"{STITCHED} SELECT job_id, coalesce(string_agg(position, ',' ORDER BY position) FILTER (NOT invalid_crop AND question_number IS NULL), '') AS numberless, count(*) FILTER (needs_review) AS needs_review FROM stitched GROUP BY 1")
+on_words("garbage_clusters", """, bad AS (SELECT job_id, page, word_id, x0, y0, x1, y1 FROM words WHERE conf < 0.15 OR k = 7),
+reach AS (SELECT * FROM (WITH RECURSIVE r AS (SELECT job_id, page, word_id, word_id AS other FROM bad
+  UNION SELECT r.job_id, r.page, r.word_id, o.word_id FROM r JOIN bad b ON b.job_id = r.job_id AND b.page = r.page AND b.word_id = r.other JOIN bad o ON o.job_id = r.job_id AND o.page = r.page AND greatest(b.x0, o.x0) - least(b.x1, o.x1) <= 20 AND greatest(b.y0, o.y0) - least(b.y1, o.y1) <= 20) SELECT * FROM r))
+SELECT job_id, page, cluster, count(*) AS n, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, max(y1)::DOUBLE AS y1 FROM bad JOIN (SELECT job_id, page, word_id, min(other) AS cluster FROM reach GROUP BY 1, 2, 3) USING (job_id, page, word_id) GROUP BY 1, 2, 3 HAVING count(*) >= 2""")

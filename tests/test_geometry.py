@@ -159,3 +159,53 @@ def test_missing_numbers_are_traced(spark):
     assert dr.missing_trace(none, read, markers, kept).count() == 0
     assert [(r.position, r.numbers) for r in dr.crowded_crops(d).collect()] == [(1, [3, 4])]
     assert [(r.numberless, r.needs_review) for r in dr.review_counts(d).collect()] == [([3], 0)]
+
+
+@pytest.mark.parametrize("px", [7.0, 30.0])
+def test_clusters_equal_pairwise_ones(spark, px):
+    import random
+
+    from gradeloom.operators.grid import clusters, points_in_boxes
+
+    r = random.Random(int(px))
+    rows = []
+    for job in (1, 2):
+        for i in range(90):
+            x, y = r.uniform(-100, 300), r.uniform(-100, 300)
+            rows.append((job, i, x, y, x + r.choice([0, 2, 9, 80]), y + r.choice([0, 2, 9, 60])))
+    rows += [(3, i, 10.0, 10.0, 12.0, 12.0) for i in range(300)] + [(3, 400, 12.0 + px, 12.0 + px, 90.0, 90.0), (3, 401, 91.0 + px, 0.0, 92.0 + px, 91.0)]
+    df = spark.createDataFrame(rows, "job int, id long, x0 double, y0 double, x1 double, y1 double")
+    got = {(x.job, x.id): x.cluster for x in clusters(df, ["job"], "id", px).collect()}
+    for job in (1, 2, 3):
+        boxes = {i: b for j, i, *b in rows if j == job}
+        label = {i: i for i in boxes}
+        near = lambda a, b: max(a[0], b[0]) - min(a[2], b[2]) <= px and max(a[1], b[1]) - min(a[3], b[3]) <= px
+        changed = True
+        while changed:
+            changed = False
+            for i in boxes:
+                least = min(label[k] for k in boxes if near(boxes[i], boxes[k]))
+                if least < label[i]:
+                    label[i], changed = least, True
+        assert {i: got[job, i] for i in boxes} == label
+    p = df.select("job", "id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("y0").alias("y"))
+    b = df.where("id % 9 = 0").select("job", F.col("id").alias("box"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")]).union(spark.createDataFrame([(1, 1000, -1e9, -1e9, 1e9, 1e300)], "job int, box long, b_x0 double, b_y0 double, b_x1 double, b_y1 double"))
+    holds = F.col("x").between(F.col("b_x0"), F.col("b_x1")) & F.col("y").between(F.col("b_y0"), F.col("b_y1"))
+    assert sorted((x.job, x.id, x.box) for x in points_in_boxes(p, b, ["job"], F.col("x"), F.col("y"), holds).collect()) == sorted((x.job, x.id, x.box) for x in p.join(b, "job").where(holds).collect())
+
+
+def test_figures_go_to_parts_by_overlap_then_nearness(spark):
+    import random
+
+    r = random.Random(9)
+    rows = lambda n, f: [(1, p, i, *f()) for p in (1, 2, 3) for i in range(n)]
+    span = lambda: (y := float(r.randint(0, 900)), y + r.choice([0.0, 5.0, 40.0, 300.0]))
+    figures = spark.createDataFrame(rows(30, span), "job_id int, page int, figure_id long, y0 double, y1 double")
+    drafts = spark.createDataFrame([(1, p, 10 + i) for p in (1, 2) for i in range(5)], "job_id int, page int, place int")
+    texts = spark.createDataFrame([(1, 1, i, float(60 * i), float(60 * i + 20)) for i in range(11)], "job_id int, page int, reading_order int, y0 double, y1 double")
+    spans = {(x.page, x.i): x for x in ge.draft_spans(drafts, texts).collect()}
+    want = {}
+    for f in figures.where("page < 3").collect():
+        best = min((-max(0.0, min(f.y1, s.y_max) - max(f.y0, s.y_min)), abs((s.y_min + s.y_max) / 2 - (f.y0 + f.y1) / 2), s.i, s.place) for (p, _), s in spans.items() if p == f.page)
+        want[f.page, f.figure_id] = best[-1]
+    assert {(x.page, x.figure_id): x.place for x in ge.attach_by_region(figures, drafts, texts).collect()} == want
