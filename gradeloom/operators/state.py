@@ -71,11 +71,15 @@ def touched(answers: DataFrame, attempts: DataFrame, graded: DataFrame) -> tuple
     return questions, students
 
 
+def due_mail(notifications: DataFrame, attempts: int = 5) -> DataFrame:
+    """E-mails that are neither sent nor given up."""
+    return notifications.where((F.col("channel") == "EMAIL") & F.col("sent_at").isNull() & F.col("failed_at").isNull() & (F.col("attempt_count") < attempts))
+
+
 def outbox(notifications: DataFrame, delivered: Column, most: int = 100, attempts: int = 5) -> DataFrame:
     """(id, attempt_count, sent, failed): one sweep over the oldest unsent e-mails: those delivered are sent, others count an attempt
     and have failed at the fifth."""
-    due = notifications.where((F.col("channel") == "EMAIL") & F.col("sent_at").isNull() & F.col("failed_at").isNull() & (F.col("attempt_count") < attempts))
-    batch = due.orderBy("created_at", "id").limit(most).withColumn("sent", delivered)
+    batch = due_mail(notifications, attempts).orderBy("created_at", "id").limit(most).withColumn("sent", delivered)
     count = F.col("attempt_count") + F.when(F.col("sent"), 0).otherwise(1)
     return batch.select("id", count.cast("int").alias("attempt_count"), "sent", (~F.col("sent") & (count >= attempts)).alias("failed"))
 

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-
-from gradeloom.operators.analytics import question_stats
-from gradeloom.operators.state import outbox, touched
 
 
 def answer_states(writes: DataFrame) -> DataFrame:
@@ -31,21 +25,3 @@ def progress_states(patches: DataFrame, by: str = "job_id") -> DataFrame:
     """A stream of progress patches (job_id, ts, fields) -> each field's last given value, and when a job was last heard of."""
     fields = [c for c in patches.columns if c not in (by, "ts")]
     return patches.groupBy(by).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in fields], F.max("ts").alias("heard_at"))
-
-
-def recompute_touched(graded: DataFrame, answers: DataFrame, attempts: DataFrame, write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
-    """For each batch of graded attempts (id): the figures of the questions that they answer, and only these, go to ``write``.
-
-    ``write`` has to be idempotent by batch id: a batch may come again after a failure.
-    """
-
-    def one(batch: DataFrame, batch_id: int) -> None:
-        questions, _ = touched(answers, attempts, batch)
-        write(question_stats(answers.join(questions, "question_id", "left_semi")), batch_id)
-
-    return graded.writeStream.foreachBatch(one)
-
-
-def dispatch_outbox(ticks: DataFrame, read: Callable[[], DataFrame], delivered, write: Callable[[DataFrame, int], None], most: int = 100) -> DataStreamWriter:
-    """For each tick: one sweep over the outbox that ``read`` gives; its outcomes go to ``write``. ``delivered`` says what was sent."""
-    return ticks.writeStream.foreachBatch(lambda batch, batch_id: write(outbox(read(), delivered, most), batch_id) if not batch.isEmpty() else None)

@@ -9,7 +9,6 @@ from gradeloom.functions.grading import grade
 from gradeloom.operators.sequences import seeded_shuffle
 from gradeloom.plans.registry import QUERIES, SQL
 from gradeloom.sources.adapter import TABLES
-from gradeloom.streaming.violations import violation_totals
 
 DATA = "/root/testdata/sf0.001"
 CASES = [  # type, key, answer, is_correct, marks (4 for right, -1 for wrong)
@@ -72,15 +71,6 @@ def test_key_assignment(spark):
     assert out == {("a", 1): ("1", "assigned"), ("b", 2): (None, "out_of_range"), ("c", 2): ("4", "assigned"), ("d", None): (None, "unmatched"), ("e", 3): ("2", "assigned"), (None, 9): ("3", "unused")}
 
 
-def test_violation_stream_equals_batch(spark, tmp_path):
-    rows = [(i % 3, "TAB_SWITCH" if i % 7 == 0 else "WINDOW_BLUR") for i in range(25)]
-    df = spark.createDataFrame(rows, "attempt_id int, type string")
-    df.repartition(3).write.parquet(str(tmp_path / "in"))
-    q = violation_totals(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("totals").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(spark.table("totals").collect()) == sorted(violation_totals(df).collect())
-
-
 def same(v):
     return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__name__ == "Decimal" else str(v)
 

@@ -2,10 +2,9 @@
 
 import datetime as dt
 
-from gradeloom.operators.analytics import question_stats
 from gradeloom.sources import readers
 from gradeloom.streaming import jobs
-from gradeloom.streaming.violations import tick_dedupe
+from gradeloom.streaming.ticks import tick_dedupe
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -36,15 +35,6 @@ def test_requests_and_ticks(spark, tmp_path):
     assert len(spark.table("ticks").collect()) == 3  # 0, 30 and 390 s
 
 
-def test_only_touched_questions_are_recomputed(spark, tmp_path):
-    answers = spark.createDataFrame([(1, 10, True, 5), (2, 10, False, 7), (2, 11, True, 1), (3, 12, True, 2)], "attempt_id int, question_id int, is_correct boolean, time_spent int")
-    attempts = spark.createDataFrame([(1, 7), (2, 8), (3, 9)], "id int, student_id int")
-    graded, got = spark.createDataFrame([(2,)], "id int"), []
-    q = jobs.recompute_touched(stream_of(spark, graded, str(tmp_path / "g"), 1), answers, attempts, lambda df, i: got.extend(df.collect())).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(got) == sorted(question_stats(answers.where("question_id IN (10, 11)")).collect())
-
-
 def test_readers(spark, tmp_path):
     (tmp_path / "keys").mkdir()
     (tmp_path / "keys" / "a.txt").write_text("1-A\n2-B")
