@@ -69,17 +69,33 @@ def until_marker(df: DataFrame, by: str, marker: Column, *order: Column, name: s
 
 
 def draw(questions: DataFrame, rules: list[tuple[Column, int]], seed: int) -> DataFrame:
-    """Questions drawn at random for each rule (condition, count) in turn, without replacement.
+    """Questions drawn at random for each rule (condition, count) in turn, without replacement: the columns of ``questions``,
+    and rule and place (from 0).
 
-    The order is a hash of seed and id. A question that an earlier rule has drawn is out for later ones; rules
-    are few, so each is a top-n over what is left.
+    The order is a hash of seed and id. Earlier rules can take no more questions from a rule than they draw in all, so
+    one pass keeps for each rule as many of its first as all rules up to it draw; tasks keep so many before they are
+    merged. The draw itself, rule after rule, then runs over these few alone. A null id takes no part, a null
+    condition is false, rows that repeat an id count once.
     """
-    left, parts = questions.withColumn("__h", F.xxhash64(F.lit(seed), "id")), []
-    for i, (condition, n) in enumerate(rules):
-        got = left.where(condition).orderBy("__h", "id").limit(n).withColumn("rule", F.lit(i))
-        parts.append(got)
-        left = left.join(got.select(F.col("id").alias("__d")), F.col("id") == F.col("__d"), "left_anti")
-    return reduce(DataFrame.unionByName, parts).drop("__h")
+    wanted = [(i, c, n) for i, (c, n) in enumerate(rules) if n >= 1]
+    if not wanted:
+        return questions.limit(0).withColumns({"rule": F.lit(0), "place": F.lit(0)})
+    up_to = {i: sum(n for k, _, n in wanted if k <= i) for i, _, _ in wanted}
+    item = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))).alias("h"), F.col("id").alias("id"), F.struct(*questions.columns).alias("row"))
+    fits = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c, _ in wanted]))
+    hits = questions.where("id IS NOT NULL").select(item.alias("q"), fits.alias("rules")).select("q", F.explode("rules").alias("rule"))
+    first = Window.partitionBy("rule").orderBy("q.h", "q.id")
+    # rank, not row_number: rows that repeat an id stand together and are made one before they are counted
+    few = hits.withColumn("__k", F.dense_rank().over(first)).where(reduce(lambda a, b: a | b, [(F.col("rule") == i) & (F.col("__k") <= n) for i, n in up_to.items()]) & (F.col("__k") <= max(up_to.values())))
+    few = few.groupBy("rule", "q.h", "q.id").agg(F.min("q.row").alias("row"))
+    lists = few.groupBy().agg(*[F.array_sort(F.collect_list(F.when(F.col("rule") == i, F.struct("h", "id", "row")))).alias(f"r{i}") for i, _, _ in wanted])
+    placed = lambda i: lambda q, k: F.struct(F.lit(i).alias("rule"), k.alias("place"), q["row"].alias("row"))
+    taken, drawn = F.array().cast(f"array<{questions.schema['id'].dataType.simpleString()}>"), []
+    for i, _, n in wanted:
+        lists = lists.withColumn("taken", taken).withColumn(f"d{i}", F.slice(F.filter(f"r{i}", lambda q: ~F.array_contains("taken", q["id"])), 1, n))
+        taken = F.concat("taken", F.transform(f"d{i}", lambda q: q["id"]))
+        drawn.append(F.transform(f"d{i}", placed(i)))
+    return lists.select(F.explode(F.concat(*drawn)).alias("d")).select("d.row.*", "d.rule", "d.place")
 
 
 def seeded_order(df: DataFrame, by: str, seed: Column, item: str, name: str = "place") -> DataFrame:

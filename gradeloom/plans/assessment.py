@@ -11,6 +11,7 @@ from gradeloom.operators import authoring as au
 from gradeloom.operators import drafts as dr
 from gradeloom.operators import filters as fi
 from gradeloom.operators import geometry as ge
+from gradeloom.operators import locale as lo
 from gradeloom.operators import reports as re
 from gradeloom.operators import routing as ro
 from gradeloom.operators import sequences as sq
@@ -149,7 +150,7 @@ plan("top1_latest_published", lambda t: t.exams.where("status = 'LIVE'").agg(F.m
 plan("offset_pagination", lambda t: fi.page_of(t.uploads.select("id", "status", "created_at"), F.desc("created_at"), c("id"), limit=500, offset=100).select("id", "status", "total"))
 plan("sweep_cap", lambda t: st.expired_attempts(t.attempts, t.exams, NOW, most=100).select("id", "status"))
 plan("topk_figure_pages", lambda t: re.top(page_words(t).groupBy("job_id", "page").agg(F.count_if(c("text") == "diagram").alias("figures")), 5, F.desc("figures"), c("job_id"), c("page")))
-plan("random_draw", lambda t: sq.draw(t.questions.where("is_active"), [(c("subject") == "ECONOMY", 5), (c("difficulty") == "HARD", 7), (lit(True), 3)], 11).groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")))
+plan("random_draw", lambda t: sq.draw(t.questions.where("is_active"), [(c("subject") == "ECONOMY", 5), (c("difficulty") == "HARD", 7), (lit(True), 3)], 11).select("rule", "place", "id"))
 plan("seeded_order", lambda t: sq.seeded_order(t.exam_questions.where("exam_id < 5"), "exam_id", c("exam_id"), "question_id").select("exam_id", "question_id", "place"))
 plan("seeded_shuffle", lambda t: sq.seeded_shuffle(t.exams.select("id", F.sequence(lit(1), lit(6)).alias("items"), (c("id") * 7919).alias("seed")), "items", "seed").select("id", F.array_join("shuffled", ",").alias("shuffled")))
 plan("unseeded_shuffle", lambda t: sq.unseeded_shuffle(t.exams.select("id", F.sequence(lit(1), lit(6)).alias("items")), "items").select("id", F.array_join(F.array_sort("shuffled"), ",").alias("sorted")))
@@ -173,7 +174,16 @@ plan("fn_arrays", lambda t: t.questions.select("id", F.split("name", " ").alias(
 plan("fn_maps", lambda t: t.questions.select("id", F.map_from_arrays(F.array(lit("a"), lit("b")), F.array(c("size"), c("size") + 1)).alias("m")).select("id", F.size("m").alias("n"), F.element_at("m", "b").alias("b"), F.array_join(F.map_keys("m"), ",").alias("keys")))
 plan("fn_json", lambda t: t.raw("events").select(c("event_id").alias("id"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.none").alias("none")))
 plan("fn_types", lambda t: t.raw("events").select(c("event_id").alias("id"), F.schema_of_variant(F.try_variant_get(F.try_parse_json("props"), "$.k", "variant")).isin("BIGINT", "DECIMAL(2,0)").alias("is_number"), F.try_variant_get(F.try_parse_json("props"), "$.k", "string").isNotNull().alias("present")))
-plan("fn_locale", lambda t: t.questions.select("id", (F.lower("name") == F.lower(F.upper("name"))).alias("folds"), F.collation(F.collate("name", "UNICODE")).isNotNull().alias("collated")))
+
+
+def first_words(t):
+    """Different first words of documents, with accents and in either case."""
+    word = F.regexp_extract("text", r"^([\p{L}]+)", 1)
+    return t.raw("documents").select(word.alias("word")).where("word <> ''").distinct()
+
+
+plan("fn_locale", lambda t: lo.sort_groups(first_words(t), "word").select("word", "letters", "folded", "same"))
+plan("locale_equal", lambda t: lo.equal_words(first_words(t).select("word"), t.questions.select(F.explode(F.split("name", " ")).alias("name")).unionByName(first_words(t).select(F.lower("word").alias("name"))).distinct(), "word", "name").groupBy("word").agg(F.count("*").alias("n")))
 plan("fn_hash", lambda t: t.questions.select("id", F.sha2("name", 256).alias("sha"), F.md5("topic").alias("md5")))
 
 # --- grading

@@ -138,7 +138,11 @@ expect("topk_todays_exams", "SELECT id, status FROM exams WHERE TIMESTAMP '1997-
 expect("top1_latest_published", "SELECT max(o_orderdate) AS latest FROM (SELECT min(o_orderdate) AS o_orderdate FROM orders WHERE o_orderkey % 50 % 4 = 2 GROUP BY o_orderkey % 50)")
 expect("offset_pagination", "SELECT id, status, (SELECT count(*) FROM documents) AS total FROM uploads ORDER BY created_at DESC, id LIMIT 200 OFFSET 100")
 expect("sweep_cap", f"SELECT id, 'SUBMITTED' AS status FROM ({EXPIRED.format('1997-01-01')}) ORDER BY started_at, id LIMIT 100")
-expect("random_draw", "SELECT * FROM (VALUES (0, 5::BIGINT, 5::BIGINT), (1, 7, 7), (2, 3, 3)) v(rule, n, ids)")
+expect("random_draw", """, open AS (SELECT id, subject, difficulty, md5('11:' || id) AS h FROM questions WHERE is_active),
+  a AS (SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS place FROM open WHERE subject = 'ECONOMY' QUALIFY place < 5),
+  b AS (SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS place FROM open WHERE difficulty = 'HARD' AND id NOT IN (SELECT id FROM a) QUALIFY place < 7),
+  d AS (SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS place FROM open WHERE id NOT IN (SELECT id FROM a) AND id NOT IN (SELECT id FROM b) QUALIFY place < 3)
+  SELECT 0 AS rule, CAST(place AS INTEGER) AS place, id FROM a UNION ALL SELECT 1, CAST(place AS INTEGER), id FROM b UNION ALL SELECT 2, CAST(place AS INTEGER), id FROM d""")
 expect("seeded_order", "SELECT exam_id, question_id, CAST(row_number() OVER (PARTITION BY exam_id ORDER BY md5(exam_id || ':' || question_id), question_id) - 1 AS INTEGER) AS place FROM exam_questions WHERE exam_id < 5")
 expect("unseeded_shuffle", "SELECT id, '1,2,3,4,5,6' AS sorted FROM exams")
 expect("assignment_expand", f"SELECT exam_id, student_id FROM {ASSIGNED}")
@@ -161,7 +165,9 @@ expect("fn_arrays", "SELECT p_partkey AS id, CAST(len(string_split(p_name, ' '))
 expect("fn_maps", "SELECT p_partkey AS id, 2 AS n, p_size + 1 AS b, 'a,b' AS keys FROM part")
 expect("fn_json", "SELECT event_id AS id, CAST(props->>'k' AS INTEGER) AS k, props->>'none' AS none FROM events")
 expect("fn_types", "SELECT event_id AS id, coalesce(json_type(props, '$.k') IN ('UBIGINT', 'BIGINT'), false) AS is_number, json_exists(props, '$.k') AS present FROM events")
-expect("fn_locale", "SELECT p_partkey AS id, true AS folds, true AS collated FROM part")
+FIRST_WORDS = ", firsts AS (SELECT DISTINCT regexp_extract(text, '^[\\p{L}]+') AS word FROM documents WHERE regexp_matches(text, '^\\p{L}'))"
+expect("fn_locale", f"""{FIRST_WORDS} SELECT word, min(word) OVER (PARTITION BY lower(strip_accents(word))) AS letters, min(word) OVER (PARTITION BY lower(word)) AS folded, count(*) OVER (PARTITION BY lower(strip_accents(word))) AS same FROM firsts""")
+expect("locale_equal", f"""{FIRST_WORDS}, names AS (SELECT unnest(string_split(name, ' ')) AS name FROM questions UNION SELECT lower(word) FROM firsts) SELECT word, count(*) AS n FROM firsts JOIN names ON lower(names.name) = lower(word) GROUP BY word""")
 expect("fn_hash", "SELECT p_partkey AS id, sha256(p_name) AS sha, md5(p_brand) AS md5 FROM part")
 
 # --- grading
