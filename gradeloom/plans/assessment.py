@@ -18,6 +18,7 @@ from gradeloom.operators import sequences as sq
 from gradeloom.operators import state as st
 from gradeloom.plans.registry import plan
 from gradeloom.sources import adapter
+from gradeloom.sources import callbacks as cb
 from gradeloom.sources.store import written
 
 c, lit = F.col, F.lit
@@ -463,5 +464,26 @@ plan("soft_delete", lambda t: au.soft_deleted(t.branches, c("id") < 8, "2025-05-
 plan("bulk_patch", lambda t: au.patched(t.drafts.select("id", "status", "assigned_subject"), t.drafts.where("id % 10 = 0").select("id", F.when(c("id") % 20 == 0, "EDITED").alias("status"), F.when(c("id") % 30 == 0, "S9").alias("assigned_subject"))))
 plan("bulk_result", lambda t: au.approvals(t.drafts))
 plan("json_ingest", lambda t: t.raw("events").select(c("event_id").alias("id"), F.from_json("props", "k int").alias("p")).select("id", c("p.k").alias("k")).where("k IS NOT NULL").join(t.drafts.where("status = 'APPROVED'").select("id"), "id", "left_anti"))
+SECRET = b"a shared secret"
+
+
+def callback_calls(t):
+    """Signed bodies, a call a document, in words of its text; some are unsigned, forged, broken, of unknown jobs or say that reading failed."""
+    i, word = c("doc_id"), F.regexp_extract("text", r"^([\p{L}]*)", 1)
+    draft = F.concat(lit('{"position":0,"text":"'), word, lit('","optionCount":4,"options":[{"label":"'), word, lit('"},{"label":"x","isCorrect":true}],"figures":[{"storageKey":"f/'), i.cast("string"), lit('","kind":"DIAGRAM","boundingBox":{"x0":1,"y0":2,"x1":3,"y1":4}}]},{"position":1,"text":"next"}'))
+    body = F.concat(lit('{"ocrJobId":'), (i % 400).cast("string"), lit(',"overallConfidence":0.5,"drafts":['), draft, lit("]"), F.when(i % 13 == 0, ',"errorMessage":"unreadable"').otherwise(""), F.when(i % 17 == 0, "").otherwise("}"))
+    sign = cb.hmac_sha256(SECRET, body)
+    return t.raw("documents").select(i.alias("call_id"), body.alias("body"), F.when(i % 11 == 0, None).when(i % 7 == 0, F.reverse(sign)).otherwise(sign).alias("signature"))
+
+
+def callback_results(t):
+    jobs = t.uploads.where("id < 300").select(c("id").alias("job_id"), (c("status") == "READY").alias("finished"), F.when(c("id") % 9 == 0, 2).otherwise(0).alias("drafts"))
+    return cb.checked(callback_calls(t), jobs, SECRET)
+
+
+plan("callback_outcomes", lambda t: callback_results(t).select("call_id", "signature", "outcome"))
+plan("callback_drafts", lambda t: cb.drafts_of_calls(callback_results(t)).select("job_id", "position", "text", "option_count", F.size("options").alias("options"), F.exists("options", lambda o: o["is_correct"]).alias("keyed"), "figures"))
+plan("callback_figures", lambda t: cb.figures_of_calls(callback_results(t)).select("job_id", "position", "figure_index", "storage_key", "kind", "caption", c("box.y1").alias("y1")))
+plan("callback_jobs", lambda t: cb.job_outcomes(callback_results(t)))
 plan("rows_sink", lambda t: au.appended_rows(t.attempts.select("exam_id", "student_id"), re.expand_assignments(t.assignments, t.memberships).select(c("exam_id").cast("long"), "student_id"), "exam_id", "student_id").groupBy("exam_id").agg(F.count("*").alias("n")))
 plan("upsert_sink", lambda t: au.upserted_rows(t.questions.select("id", "topic", "difficulty"), t.questions.where("id % 4 = 0").select("id", lit("NEW").alias("topic"), "difficulty"), "id").groupBy("topic").agg(F.count("*").alias("n")))

@@ -376,3 +376,15 @@ on_words("garbage_clusters", """, bad AS (SELECT job_id, page, word_id, x0, y0,
 reach AS (SELECT * FROM (WITH RECURSIVE r AS (SELECT job_id, page, word_id, word_id AS other FROM bad
   UNION SELECT r.job_id, r.page, r.word_id, o.word_id FROM r JOIN bad b ON b.job_id = r.job_id AND b.page = r.page AND b.word_id = r.other JOIN bad o ON o.job_id = r.job_id AND o.page = r.page AND greatest(b.x0, o.x0) - least(b.x1, o.x1) <= 20 AND greatest(b.y0, o.y0) - least(b.y1, o.y1) <= 20) SELECT * FROM r))
 SELECT job_id, page, cluster, count(*) AS n, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, max(y1)::DOUBLE AS y1 FROM bad JOIN (SELECT job_id, page, word_id, min(other) AS cluster FROM reach GROUP BY 1, 2, 3) USING (job_id, page, word_id) GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+
+# --- signed callbacks; the padded keys are those of the shared secret
+INNER, OUTER = (bytes(k ^ x for k in b"a shared secret".ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+CALLS = """, calls AS (SELECT doc_id AS call_id, doc_id % 400 AS job, regexp_extract(text, '^[\\p{L}]*') AS word,
+    '{"ocrJobId":' || (doc_id % 400) || ',"overallConfidence":0.5,"drafts":[{"position":0,"text":"' || word || '","optionCount":4,"options":[{"label":"' || word || '"},{"label":"x","isCorrect":true}],"figures":[{"storageKey":"f/' || doc_id || '","kind":"DIAGRAM","boundingBox":{"x0":1,"y0":2,"x1":3,"y1":4}}]},{"position":1,"text":"next"}]' || if(doc_id % 13 = 0, ',"errorMessage":"unreadable"', '') || if(doc_id % 17 = 0, '', '}') AS body FROM documents),
+signed AS (SELECT *, sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode(body)))) AS sign FROM calls),
+told AS (SELECT *, CASE WHEN call_id % 11 = 0 THEN 'unsigned' WHEN call_id % 7 = 0 THEN 'forged' WHEN call_id % 17 = 0 THEN 'malformed' WHEN job >= 300 THEN 'unknown' WHEN call_id % 13 = 0 THEN 'failed' WHEN job % 5 = 3 OR job % 9 = 0 THEN 'done' ELSE 'written' END AS first_outcome FROM signed),
+ended AS (SELECT *, if(first_outcome = 'written' AND call_id > min(call_id) FILTER (first_outcome = 'written') OVER (PARTITION BY job), 'done', first_outcome) AS outcome FROM told)""".replace("{OUTER}", OUTER).replace("{INNER}", INNER)
+expect("callback_outcomes", f"{CALLS} SELECT call_id, if(call_id % 11 = 0, NULL, if(call_id % 7 = 0, reverse(sign), sign)) AS signature, outcome FROM ended")
+expect("callback_drafts", f"{CALLS} SELECT job AS job_id, 0 AS position, word AS text, 4 AS option_count, 2 AS options, true AS keyed, 1 AS figures FROM ended WHERE outcome = 'written' UNION ALL SELECT job, 1, 'next', NULL, NULL, NULL, 0 FROM ended WHERE outcome = 'written'")
+expect("callback_figures", f"{CALLS} SELECT job AS job_id, 0 AS position, 0 AS figure_index, 'f/' || call_id AS storage_key, 'DIAGRAM' AS kind, CAST(NULL AS VARCHAR) AS caption, 4::DOUBLE AS y1 FROM ended WHERE outcome = 'written'")
+expect("callback_jobs", f"{CALLS} SELECT job AS job_id, if(o = 'written', 'COMPLETED', 'FAILED') AS stage, if(o = 'written', 'READY_FOR_REVIEW', 'FAILED') AS status, if(o = 'written', NULL, 'unreadable') AS error, if(o = 'written', 2, 0) AS drafts, if(o = 'written', 0.5::DOUBLE, NULL) AS confidence FROM (SELECT job, max_by(outcome, call_id) AS o FROM ended WHERE outcome IN ('written', 'failed') GROUP BY 1)")
