@@ -89,7 +89,7 @@ def exam_histogram(attempts: DataFrame, exams: DataFrame) -> DataFrame:
     marks = F.when(F.col("total_marks") == 0, F.lit(1.0)).otherwise(F.col("total_marks").cast("double"))
     p = F.coalesce("score", F.lit(0)).cast("double") * F.lit(100.0) / marks
     bucket = reduce(lambda c, i: c.when(p < BUCKETS[i], i), range(1, len(BUCKETS)), F.when(p < BUCKETS[0], 0)).otherwise(len(BUCKETS))
-    counts = attempts.where(F.col("status").isin(GRADED)).join(F.broadcast(e), "exam_id").groupBy("exam_id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    counts = attempts.where(F.col("status").isin(GRADED)).join(e, "exam_id").groupBy("exam_id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
     frame = e.select("exam_id", F.explode(F.sequence(F.lit(0), F.lit(len(BUCKETS)))).alias("bucket"))
     return frame.join(counts, ["exam_id", "bucket"], "left").select("exam_id", "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -110,7 +110,7 @@ def student_summary(students: DataFrame, attempts: DataFrame, exams: DataFrame,
     graded = F.col("status").isin(GRADED)
     # percentages are added as whole billionths, so that their order doesn't matter
     pct = F.when(graded, F.floor(score_percent(F.col("score"), F.col("total_marks")) * F.lit(1e9) + F.lit(0.5)))
-    a = attempts.join(F.broadcast(e), "exam_id").groupBy(F.col("student_id").alias("__a")).agg(F.count("*").alias("n"), F.count_if(graded).alias("g"), F.sum(pct.cast("decimal(30,0)")).alias("p"))
+    a = attempts.join(e, "exam_id").groupBy(F.col("student_id").alias("__a")).agg(F.count("*").alias("n"), F.count_if(graded).alias("g"), F.sum(pct.cast("decimal(30,0)")).alias("p"))
     w = topics.groupBy(F.col("student_id").alias("__w")).agg(F.count_if("is_weak").alias("weak"))
     zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
     mean = rounded(share(F.col("p"), F.col("g")) / F.lit(1e9), 6)

@@ -69,7 +69,7 @@ def overview(exams: DataFrame, attempts: DataFrame, topics: DataFrame, stats: Da
     """Nine figures in one row: each table is counted once, and the one-row results are set side by side."""
     e = exams.agg(F.count("*").alias("exams"), F.count_if(F.col("status") == "LIVE").alias("live_exams"))
     marks = exams.select(F.col("id").alias("exam_id"), "total_marks")
-    a = attempts.join(F.broadcast(marks), "exam_id").agg(F.count("*").alias("attempts"), _mean_score().alias("avg_score_percent"))
+    a = attempts.join(marks, "exam_id").agg(F.count("*").alias("attempts"), _mean_score().alias("avg_score_percent"))
     t = topics.agg(F.count_if("is_weak").alias("weak_topics"))
     s = stats.agg(F.count("*").alias("tracked_questions"), _pct(F.sum("correct"), F.sum("total")).alias("avg_accuracy_percent"))
     return e.crossJoin(a).crossJoin(t).crossJoin(s).crossJoin(students.agg(F.count("*").alias("students"))).crossJoin(classrooms.agg(F.count("*").alias("classes")))
@@ -80,7 +80,7 @@ def exam_list(exams: DataFrame, attempts: DataFrame, assigned: DataFrame, answer
     kept = filters.search(filters.equal(filters.dates(exams, "opens_at"), branch="branch_id"), "title")
     marks = kept.select(F.col("id").alias("exam_id"), "total_marks")
     spent = answers.groupBy("attempt_id").agg(F.sum("time_spent").alias("spent"))
-    taken = attempts.join(F.broadcast(marks), "exam_id").join(spent, F.col("id") == F.col("attempt_id"), "left")
+    taken = attempts.join(marks, "exam_id").join(spent, F.col("id") == F.col("attempt_id"), "left")
     g = taken.groupBy("exam_id").agg(
         F.count("*").alias("attempts"), F.count_if(F.col("status").isin(HANDED_IN)).alias("submitted"), F.count_if(F.col("status").isin(GRADED)).alias("graded"), _mean_score().alias("avg_score_percent"), rounded(share(F.sum("spent"), F.count("spent")), 1).alias("avg_time_seconds")
     )
@@ -93,7 +93,7 @@ def exam_list(exams: DataFrame, attempts: DataFrame, assigned: DataFrame, answer
 def student_list(students: DataFrame, attempts: DataFrame, exams: DataFrame, topics: DataFrame, filters: ReportFilters = NONE) -> DataFrame:
     kept = filters.search(filters.equal(students, branch="branch_id"), "name", "roll_no")
     marks = exams.select(F.col("id").alias("exam_id"), "total_marks")
-    a = attempts.join(F.broadcast(marks), "exam_id").groupBy("student_id").agg(F.count("*").alias("attempts"), F.count_if(F.col("status").isin(HANDED_IN)).alias("submitted"), F.count_if(F.col("status").isin(GRADED)).alias("graded"), _mean_score().alias("avg_percent"))
+    a = attempts.join(marks, "exam_id").groupBy("student_id").agg(F.count("*").alias("attempts"), F.count_if(F.col("status").isin(HANDED_IN)).alias("submitted"), F.count_if(F.col("status").isin(GRADED)).alias("graded"), _mean_score().alias("avg_percent"))
     t = topics.groupBy("student_id").agg(F.sum("total").alias("answered"), _pct(F.sum("correct"), F.sum("total")).alias("accuracy_percent"), F.count_if("is_weak").alias("weak_topics"))
     out = kept.select(F.col("id").alias("student_id"), "name").join(a, "student_id", "left").join(t, "student_id", "left")
     return out.select("student_id", "name", *[_zero(c) for c in ("attempts", "submitted", "graded", "answered", "weak_topics")], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg_percent", "accuracy_percent")])
@@ -103,7 +103,7 @@ def student_trend(attempts: DataFrame, exams: DataFrame, answers: DataFrame) ->
     """Graded attempts of each student in order of time: percentage, total and average time, accuracy."""
     e = exams.select(F.col("id").alias("exam_id"), "title", "total_marks")
     a = answers.groupBy("attempt_id").agg(F.sum("time_spent").alias("t"), F.count("*").alias("n"), F.count_if("is_correct").alias("c"), F.count("is_correct").alias("k"))
-    rows = attempts.where(F.col("status").isin(GRADED)).join(F.broadcast(e), "exam_id").join(a, F.col("id") == F.col("attempt_id"), "left")
+    rows = attempts.where(F.col("status").isin(GRADED)).join(e, "exam_id").join(a, F.col("id") == F.col("attempt_id"), "left")
     step = F.row_number().over(Window.partitionBy("student_id").orderBy("started_at", "id"))
     return rows.select(
         "student_id", F.col("id").alias("attempt_id"), "title", step.alias("step"), rounded(score_percent(F.col("score"), F.col("total_marks")), 1).alias("score_percent"),
@@ -131,7 +131,7 @@ def class_list(classrooms: DataFrame, memberships: DataFrame, assignments: DataF
     members = memberships.select("classroom_id", "student_id").distinct()
     rooms = assignments.where("classroom_id IS NOT NULL").select("classroom_id", "exam_id").distinct()
     marks = exams.select(F.col("id").alias("exam_id"), "total_marks")
-    tried = attempts.join(F.broadcast(marks), "exam_id").join(F.broadcast(rooms), "exam_id").join(members, ["classroom_id", "student_id"], "left_semi")
+    tried = attempts.join(marks, "exam_id").join(rooms, "exam_id").join(members, ["classroom_id", "student_id"], "left_semi")
     a = tried.groupBy("classroom_id").agg(F.count("*").alias("attempts"), F.count_if(F.col("status").isin(HANDED_IN)).alias("submitted"), _mean_score().alias("avg_percent"))
     m, r = members.groupBy("classroom_id").agg(F.count("*").alias("students")), rooms.groupBy("classroom_id").agg(F.count("*").alias("exams_assigned"))
     out = classrooms.select(F.col("id").alias("classroom_id"), "name").join(m, "classroom_id", "left").join(r, "classroom_id", "left").join(a, "classroom_id", "left")

@@ -50,9 +50,9 @@ def noise_ratio(text: Column) -> Column:
 
 def nondict_ratio(text: Column) -> Column:
     """Share of words of two letters or more that have no vowel or a letter three times running; 0 without any."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
-    bad = F.filter(tokens, lambda t: ~t.rlike("[aeiou]") | t.rlike(r"(.)\1\1"))
-    return F.when(F.size(tokens) > 0, F.size(bad).cast("double") / F.size(tokens)).otherwise(0.0)
+    low = F.lower(text)
+    tokens, bad = F.regexp_count(low, F.lit("[a-z]{2,}")), F.regexp_count(low, F.lit(r"(?<![a-z])(?:[b-df-hj-np-tv-z]{2,}(?![a-z])|[a-z]*?([a-z])\1\1[a-z]*)"))
+    return F.when(tokens > 0, bad.cast("double") / tokens).otherwise(0.0)
 
 
 def pre_route(df: DataFrame, r: Routing = DEFAULT) -> DataFrame:
@@ -131,11 +131,15 @@ def predicted(threshold: Column) -> Column:
 def sweep(records: DataFrame, labels: DataFrame, steps: int = 20) -> DataFrame:
     """Confusion, precision, recall, F1 and accuracy at steps + 1 thresholds from 0 to 1; records without a label (key, handwritten) don't count.
 
-    Each record is turned into its counts for all thresholds at once, so records are read once.
+    A record is routed at all thresholds up to some one, so records are counted by how many these are and only this
+    histogram, of at most 2 (steps + 2) rows, is added up for each threshold.
     """
-    r = records.join(labels, "key").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    said, true = predicted(F.col("k") / steps), F.col("handwritten")
-    g = r.groupBy("k").agg(F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & ~true).alias("tn"), F.count_if(~said & true).alias("fn"))
+    routed = F.size(F.filter(F.sequence(F.lit(0), F.lit(steps)), lambda k: predicted(k / steps)))
+    bins = records.join(labels, "key").groupBy(routed.alias("routed"), F.col("handwritten").alias("h")).agg(F.count("*").alias("n"))
+    r = bins.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    said, true = F.col("routed") > F.col("k"), F.col("h")
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    g = r.groupBy("k").agg(of(said & true).alias("tp"), of(said & ~true).alias("fp"), of(~said & ~true).alias("tn"), of(~said & true).alias("fn"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     p, c = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     g = g.withColumns({"p": p, "c": c})

@@ -15,7 +15,7 @@ def at(now: str) -> Column:
 def expired_attempts(attempts: DataFrame, exams: DataFrame, now: str, most: int | None = None) -> DataFrame:
     """Running attempts whose exam's duration is over, with the state they pass to; ``most``: the oldest first, as one sweep takes."""
     e = exams.select(F.col("id").alias("exam_id"), "duration_seconds")
-    rows = attempts.where("status = 'IN_PROGRESS'").join(F.broadcast(e), "exam_id").where(F.col("started_at") + seconds(F.col("duration_seconds")) < at(now))
+    rows = attempts.where("status = 'IN_PROGRESS'").join(e, "exam_id").where(F.col("started_at") + seconds(F.col("duration_seconds")) < at(now))
     rows = rows.select("id", "exam_id", F.lit("SUBMITTED").alias("status"), F.lit(True).alias("auto_submitted"), "started_at")
     return rows if most is None else rows.orderBy("started_at", "id").limit(most)
 
@@ -59,7 +59,7 @@ def heartbeats(attempts: DataFrame, exams: DataFrame, client_left: Column, now:
     e = exams.select(F.col("id").alias("exam_id"), "duration_seconds")
     elapsed = F.floor((F.unix_micros(at(now).cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1_000_000)
     left = F.greatest(F.lit(0), F.col("duration_seconds") - elapsed).cast("long")
-    rows = attempts.where("status = 'IN_PROGRESS'").join(F.broadcast(e), "exam_id").withColumn("server_left", left).withColumn("client_left", client_left.cast("long"))
+    rows = attempts.where("status = 'IN_PROGRESS'").join(e, "exam_id").withColumn("server_left", left).withColumn("client_left", client_left.cast("long"))
     return rows.select("id", "server_left", F.least("server_left", F.coalesce("client_left", "server_left")).alias("stored"), (F.col("server_left") <= 0).alias("auto_submit"))
 
 

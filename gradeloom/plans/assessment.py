@@ -50,7 +50,7 @@ plan("f_nested_bool", lambda t: t.students.where(((c("branch_id") < 5) | (c("bra
 plan("f_not_or", lambda t: t.uploads.where(c("batch_id").isNull() & ~((c("status") == "READY") | (c("branch_id") == 4) | c("storage_key").startswith("web/"))).select("id", "status"))
 plan("f_exists_none", lambda t: fi.with_presence(t.students, t.attempts, "student_id", "id", "has_attempts").select("id", "has_attempts"))
 plan("f_col_arith", lambda t: st.expired_attempts(t.attempts, t.exams, NOW).select("id"))
-plan("p_denorm", lambda t: t.attempts.where("exam_id = 5").join(F.broadcast(t.exams.select(c("id").alias("exam_id"), "title", "total_marks")), "exam_id").join(t.students.select(c("id").alias("student_id"), c("name").alias("student"), "class_label"), "student_id").select("id", "status", "title", "total_marks", "student", "class_label"))
+plan("p_denorm", lambda t: t.attempts.where("exam_id = 5").join(t.exams.select(c("id").alias("exam_id"), "title", "total_marks"), "exam_id").join(t.students.select(c("id").alias("student_id"), c("name").alias("student"), "class_label"), "student_id").select("id", "status", "title", "total_marks", "student", "class_label"))
 plan("p_coalesce_default", lambda t: t.attempts.join(t.students.where("branch_id < 20").select(c("id").alias("student_id"), "name"), "student_id", "left").select("id", F.coalesce("score", lit(0)).cast("decimal(12,2)").alias("score"), F.coalesce("name", lit("(missing)")).alias("name")))
 plan("p_case_state", lambda t: t.uploads.select("id", au.upload_state(c("status")).alias("state")))
 plan("p_sanitize", lambda t: t.graded_input.select("attempt_id", "question_id", "line_no", "time_spent", "type", fi.sanitized(c("type"), c("key")).alias("payload")))
@@ -61,14 +61,13 @@ plan("p_recommend", lambda t: topics(t).where("is_weak").select("student_id", "s
 # --- joins
 plan("j_inner_expired", lambda t: st.expired_attempts(t.attempts, t.exams, NOW).select("id", "exam_id"))
 plan("j_answers_questions", lambda t: t.answers.join(t.attempts.where("exam_id = 9").select(c("id").alias("attempt_id")), "attempt_id").join(t.questions.select(c("id").alias("question_id"), "subject", "topic"), "question_id").select("attempt_id", "line_no", "subject", "topic", "time_spent"))
-plan("j_left_map_default", lambda t: t.attempts.join(F.broadcast(t.exams.where("id % 5 <> 0").select(c("id").alias("exam_id"), "title", "duration_seconds")), "exam_id", "left").select("id", F.coalesce("title", lit("(missing)")).alias("title"), F.coalesce("duration_seconds", lit(0)).cast("long").alias("duration_seconds")))
+plan("j_left_map_default", lambda t: t.attempts.join(t.exams.where("id % 5 <> 0").select(c("id").alias("exam_id"), "title", "duration_seconds"), "exam_id", "left").select("id", F.coalesce("title", lit("(missing)")).alias("title"), F.coalesce("duration_seconds", lit(0)).cast("long").alias("duration_seconds")))
 plan("j_left_meta", lambda t: an.question_stats(t.answers).join(t.questions.where("is_active").select(c("id").alias("question_id"), "topic"), "question_id", "left").select("question_id", "total", F.coalesce("topic", lit("")).alias("topic")))
 plan("j_left_result", lambda t: t.answers.join(t.exam_questions.where("exam_id = 3").select("question_id", "position").distinct(), "question_id", "left").select("attempt_id", "question_id", "line_no", "time_spent", F.coalesce(c("position").cast("string"), lit("")).alias("position")))
 
 
 def graded(t):
-    last = sq.latest(t.graded_input, ["attempt_id", "question_id"], F.desc("saved_at"), F.desc("line_no"), F.desc("time_spent"))
-    return grade(last)
+    return grade(t.last_graded_input)
 
 
 def grades_of_exam(t, exam):
@@ -76,7 +75,7 @@ def grades_of_exam(t, exam):
     q = t.questions.select(c("id").alias("question_id"), "type", "marks", "negative_marks")
     asked = t.exam_questions.where(c("exam_id") == exam).join(q, "question_id")
     taken = t.attempts.where(c("exam_id") == exam).select(c("id").alias("attempt_id"), "exam_id")
-    frame = taken.join(F.broadcast(asked), "exam_id").select("attempt_id", "question_id", "type", "marks", "negative_marks")
+    frame = taken.join(asked, "exam_id").select("attempt_id", "question_id", "type", "marks", "negative_marks")
     given = t.graded_input.join(taken.select("attempt_id"), "attempt_id", "left_semi")
     given = sq.latest(given, ["attempt_id", "question_id"], F.desc("saved_at"), F.desc("line_no"), F.desc("time_spent")).select("attempt_id", "question_id", "key", "answer_payload")
     return grade(frame.join(given, ["attempt_id", "question_id"], "left"))
@@ -144,7 +143,15 @@ plan("w_gap_neighbours", lambda t: sq.gaps(t.drafts, "job_id", "question_number"
 plan("w_monotone_run", lambda t: sq.rising(t.drafts, "job_id", "question_number", c("position"), c("id")).select("id", "job_id", "question_number"))
 plan("w_latest_per_key", lambda t: sq.latest(t.memberships, ["student_id"], F.desc("joined_at"), F.desc("classroom_id")).select("student_id", "classroom_id", "joined_at"))
 plan("w_after_marker", lambda t: sq.until_marker(t.drafts, "job_id", c("status") == "DISCARDED", c("position"), c("id")).select("id", "after_marker"))
-plan("sort_enum_nulls", lambda t: t.exams.withColumn("place", F.row_number().over(Window.orderBy(re.ordinal("status", adapter.EXAM_STATES), c("opens_at").asc_nulls_last(), "id"))).select("id", "place"))
+
+
+def placed_exams(t):
+    """Exams numbered by state, opening time (none last) and id; numbered in ranges of a month, so no task sorts them all."""
+    at = re.ordinal("status", adapter.EXAM_STATES).cast("long") * 10**11 + F.coalesce(F.unix_seconds(c("opens_at").cast("timestamp")), lit(10**11 - 1))
+    return sq.numbered_in_ranges(t.exams.withColumns({"all": lit(0), "at": at}), ["all"], "at", 30 * 86_400, c("at"), c("opens_at").asc_nulls_last(), c("id"), name="place")
+
+
+plan("sort_enum_nulls", lambda t: placed_exams(t).select("id", c("place").cast("int").alias("place")))
 plan("topk_review_queue", lambda t: re.top(t.drafts.where("status IN ('PENDING', 'EDITED')"), 6, F.desc("position"), F.desc("id")).select("id", "job_id"))
 plan("topk_todays_exams", lambda t: re.top(t.exams.where((c("opens_at") <= ts(NOW)) & (c("closes_at") >= ts(NOW))), 6, re.ordinal("status", adapter.EXAM_STATES), c("opens_at"), c("id")).select("id", "status"))
 plan("top1_latest_published", lambda t: t.exams.where("status = 'LIVE'").agg(F.max("opens_at").alias("latest")))

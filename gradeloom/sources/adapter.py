@@ -154,6 +154,15 @@ class Tables:
     @cached_property
     def graded_input(self) -> DataFrame:
         """Answers with a JSON payload, and their questions' type, key and marks: what grading reads."""
+        return self._payloads(self.answers)
+
+    @cached_property
+    def last_graded_input(self) -> DataFrame:
+        """The same of each answer's last write; found before payloads are made, and dealt out by attempt once for all that follows."""
+        last = self.answers.repartition("attempt_id").groupBy("attempt_id", "question_id").agg(F.max(F.struct("saved_at", "line_no", "time_spent")).alias("w"))
+        return self._payloads(last.select("attempt_id", "question_id", "w.*"))
+
+    def _payloads(self, answers: DataFrame) -> DataFrame:
         q, k, n = F.col("question_id"), F.col("time_spent"), F.col("line_no")
         text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
         t = F.col("type")
@@ -181,5 +190,5 @@ class Tables:
             .when(t == "MATRIX_MATCH", text('{"selections": ', matrix, "}"))
             .otherwise(F.lit('{"text": "an essay"}'))
         )
-        rows = self.answers.join(self.questions.select(F.col("id").alias("question_id"), "type", "marks", "negative_marks"), "question_id")
+        rows = answers.join(self.questions.select(F.col("id").alias("question_id"), "type", "marks", "negative_marks"), "question_id")
         return rows.select("attempt_id", "question_id", "line_no", "time_spent", "saved_at", "type", "marks", "negative_marks", key.alias("key"), F.when(n != 7, given).alias("answer_payload"))
