@@ -312,11 +312,53 @@ def boxes(t):
 
 plan("build_regions", lambda t: boxes(t).select("job_id", "page", "col", "place", "x0", "y0", "x1", "y1"))
 plan("words_in_region", lambda t: ge.words_in(page_words(t), boxes(t), "col", "place").groupBy("job_id", "page", "col", "place").agg(F.count("*").alias("n")))
-plan("merge_incomplete", lambda t: ge.merged_regions(boxes(t), page_words(t)).select("job_id", "page", "col", "place", "y0", "y1", F.size("ws").alias("words")))
-plan("split_internal", lambda t: ge.split_regions(written(ge.merged_regions(boxes(t), page_words(t)).drop("ws")), page_words(t)).select("job_id", "page", "col", "place", "y0", "y1"))
-plan("recover_gaps", lambda t: ge.gap_splits(boxes(t), page_words(t)).select("job_id", "page", "col", "place", "y0", "y1"))
-plan("recover_truncated", lambda t: ge.truncated_numbers(ge.in_columns(ge.question_markers(page_words(t), None), W)))
-plan("recover_century", lambda t: ge.century_numbers(ge.in_columns(ge.question_markers(page_words(t), None), W)))
+
+
+# --- pages of one column, a numbered question every forty units, from questions: forty a page
+
+
+def numbered_pages(t, text, *more):
+    """The number word of each question (``text`` of num and idx) and further words (text, x, down, condition) beside and below it."""
+    idx = c("id") % 40
+    q = t.questions.select(c("id").alias("of"), F.floor(c("id") / 40).cast("long").alias("job_id"), idx.cast("int").alias("idx"), (101 + idx).cast("int").alias("num"))
+    words = [F.struct(text.alias("text"), lit(10.0).alias("x0"), lit(0.0).alias("dy"), lit(0).alias("k"))]
+    words += [F.when(when, F.struct(lit(w).alias("text"), lit(float(x)).alias("x0"), lit(float(dy)).alias("dy"), lit(k).alias("k"))) for k, (w, x, dy, when) in enumerate(more, 1)]
+    w = q.select("*", F.explode(F.array_compact(F.array(*words))).alias("w")).where("w.text IS NOT NULL")
+    y0 = c("idx") * 40.0 + c("w.dy")
+    return w.select("job_id", lit(1).alias("page"), (c("of") * 10 + c("w.k")).alias("word_id"), "w.text", "w.x0", y0.alias("y0"), (c("w.x0") + 24.0).alias("x1"), (y0 + 12.0).alias("y1"), lit(0.9).alias("conf"), "idx")
+
+
+def misread(t):
+    """Even pages have numbers cut to their last digit, odd ones numbers with a wrong first digit."""
+    even, n = c("job_id") % 2 == 0, c("num")
+    text = F.when(even & (c("idx") % 10 == 3), n % 10).when(~even & (c("idx") % 10 == 7), n + 100).otherwise(n)
+    return ge.in_columns(written(ge.question_markers(numbered_pages(t, F.concat(text.cast("string"), lit("."))), None)), W)
+
+
+def whole_pages(words):
+    box = {"col": 0, "h": 12.0, "q_punct": ".", "place": 0, "x0": 5.0, "y0": 0.0, "x1": 600.0, "y1": 2000.0}
+    return words.select("job_id", "page").distinct().select("job_id", "page", *[lit(v).alias(k) for k, v in box.items()])
+
+
+def gappy(t):
+    """Only a page's first number has its mark; one in seven is missing."""
+    n = c("num").cast("string")
+    return numbered_pages(t, F.when((c("idx") == 0) | (c("of") == 1), F.concat(n, lit("."))).when(c("idx") % 7 != 3, n))
+
+
+def unfinished(t):
+    """Questions of a page, each with a stem; only every third has options."""
+    last = c("idx") % 3 == 2
+    words = numbered_pages(t, F.concat(c("num").cast("string"), lit(".")), ("stem", 60, 0, lit(True)), ("words", 120, 0, lit(True)), ("(a)", 30, 15, last), ("(b)", 80, 15, last))
+    rows = words.select("job_id", "page", "idx").distinct()
+    return words, rows.select("job_id", "page", lit(0).alias("col"), lit(12.0).alias("h"), lit(".").alias("q_punct"), c("idx").alias("place"), lit(0.0).alias("x0"), (c("idx") * 40.0 - 5).alias("y0"), lit(600.0).alias("x1"), (c("idx") * 40.0 + 35).alias("y1"))
+
+
+plan("recover_truncated", lambda t: ge.truncated_numbers(misread(t)))
+plan("recover_century", lambda t: ge.century_numbers(misread(t).where("job_id % 2 = 1")))  # cut numbers are set right before
+plan("split_internal", lambda t: ge.split_regions(whole_pages(w := numbered_pages(t, F.concat(c("num").cast("string"), lit(".")))), w).select("job_id", "page", "place", "y0", "y1"))
+plan("recover_gaps", lambda t: ge.gap_splits(whole_pages(w := gappy(t)), w).select("job_id", "page", "place", "y0", "y1"))
+plan("merge_incomplete", lambda t: ge.merged_regions(*reversed(unfinished(t))).select("job_id", "page", "place", "y0", "y1", F.size("ws").alias("words")))
 
 
 def page_blocks(t):

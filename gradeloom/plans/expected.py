@@ -388,3 +388,12 @@ expect("callback_outcomes", f"{CALLS} SELECT call_id, if(call_id % 11 = 0, NULL,
 expect("callback_drafts", f"{CALLS} SELECT job AS job_id, 0 AS position, word AS text, 4 AS option_count, 2 AS options, true AS keyed, 1 AS figures FROM ended WHERE outcome = 'written' UNION ALL SELECT job, 1, 'next', NULL, NULL, NULL, 0 FROM ended WHERE outcome = 'written'")
 expect("callback_figures", f"{CALLS} SELECT job AS job_id, 0 AS position, 0 AS figure_index, 'f/' || call_id AS storage_key, 'DIAGRAM' AS kind, CAST(NULL AS VARCHAR) AS caption, 4::DOUBLE AS y1 FROM ended WHERE outcome = 'written'")
 expect("callback_jobs", f"{CALLS} SELECT job AS job_id, if(o = 'written', 'COMPLETED', 'FAILED') AS stage, if(o = 'written', 'READY_FOR_REVIEW', 'FAILED') AS status, if(o = 'written', NULL, 'unreadable') AS error, if(o = 'written', 2, 0) AS drafts, if(o = 'written', 0.5::DOUBLE, NULL) AS confidence FROM (SELECT job, max_by(outcome, call_id) AS o FROM ended WHERE outcome IN ('written', 'failed') GROUP BY 1)")
+
+# --- pages of one column, forty numbered questions a page
+NUMBERED = ", numbered AS (SELECT p_partkey AS id, p_partkey // 40 AS job_id, 1 AS page, p_partkey % 40 AS idx, 101 + p_partkey % 40 AS num FROM part), around AS (SELECT *, lag(idx) OVER j IS NOT NULL AND lead(idx) OVER j IS NOT NULL AS between FROM numbered WINDOW j AS (PARTITION BY job_id ORDER BY idx))"
+expect("recover_truncated", f"{NUMBERED} SELECT job_id, page, id * 10 AS word_id, CAST(num AS INTEGER) AS num FROM around WHERE job_id % 2 = 0 AND idx % 10 = 3 AND between")
+expect("recover_century", f"{NUMBERED} SELECT job_id, page, id * 10 AS word_id, CAST(num AS INTEGER) AS num FROM numbered n WHERE job_id % 2 = 1 AND idx % 10 = 7 AND EXISTS (SELECT 1 FROM numbered m WHERE m.job_id = n.job_id AND m.idx > n.idx)")
+PIECES = "SELECT job_id, page, CAST(row_number() OVER j - 1 AS INTEGER) AS place, if(row_number() OVER j = 1, 0, idx * 40 - 5)::DOUBLE AS y0, coalesce(lead(idx) OVER j * 40 - 5, 2000)::DOUBLE AS y1 FROM numbered"
+expect("split_internal", f"{NUMBERED} {PIECES} WINDOW j AS (PARTITION BY job_id ORDER BY idx)")
+expect("recover_gaps", f"{NUMBERED} {PIECES} WHERE idx % 7 <> 3 OR idx = 0 OR id = 1 WINDOW j AS (PARTITION BY job_id ORDER BY idx)")
+expect("merge_incomplete", f"{NUMBERED} SELECT job_id, page, CAST(dense_rank() OVER (PARTITION BY job_id ORDER BY idx // 3) - 1 AS INTEGER) AS place, min(idx) * 40 - 5::DOUBLE AS y0, max(idx) * 40 + 35::DOUBLE AS y1, CAST(3 * count(*) + 2 * count(*) FILTER (idx % 3 = 2) AS INTEGER) AS words FROM numbered GROUP BY job_id, page, idx // 3")
