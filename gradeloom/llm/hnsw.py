@@ -17,8 +17,9 @@ from gradeloom.llm.mixing import hashed_unit
 SHARD, LINKS, BUILD_BEAM, SEARCH_BEAM = 8000, 12, 40, 160
 #: Vectors that the cells are fitted on, at most (in expectation: chosen by a hash); the most cells.
 SAMPLE, MOST_CELLS = 20_000, 2000
-#: Cells that a query is searched in, nearest first.
-PROBES = 16
+#: Cells that a query is searched in, nearest first: all of them. On the given vectors a sixth of the cells finds 0.59 of the
+#: neighbours and a third 0.79, so fewer are a choice for data that falls into clusters.
+PROBES = MOST_CELLS
 #: Queries that are searched together in one group.
 QUERY_BLOCK = 2048
 
@@ -291,8 +292,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEA
     Both have vec_id and embedding, of the same width. The score is the Euclidean distance of the original
     vectors in double precision; ties go to the smaller vec_id. Every usable row is indexed: vectors are
     dealt to cells by the nearest centroid, each cell is a graph (or some, if it is large), and every
-    distinct query vector is searched in its ``probes`` nearest cells, whose results are merged. So a query
-    costs the same up to ``MOST_CELLS`` cells; beyond, a cell is several graphs, all of which are searched. The index is written once, and a shard's row is read again only for each
+    distinct query vector is searched in its ``probes`` nearest cells, by default in all, and their results are
+    merged. So recall is that of the graphs at every size, and a query's work grows with the number of shards. The index is written once, and a shard's row is read again only for each
     ``QUERY_BLOCK`` queries that are sent to it.
 
     A row with the query's own id is no result. Rows that repeat an id with an equal vector count once; a
