@@ -51,7 +51,7 @@ def op4(spark, sf_dir):
     return hnsw.nearest(v, v.where("vec_id % 100 = 0"))
 
 
-@llm_query("op5_pstable_links")
+@llm_query("op5_pstable_links", pstable.LINK_SQL)
 def op5(spark, sf_dir):
     return pstable.vector_links(table(spark, sf_dir, "embeddings"))
 
