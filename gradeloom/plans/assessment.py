@@ -71,17 +71,23 @@ def graded(t):
 
 
 def grades_of_exam(t, exam):
-    """Every question of the exam for every attempt, graded; unanswered ones are blank."""
+    """For every attempt of the exam: its questions, the right ones and the marks.
+
+    A question without an answer is blank, which is not right and gives no marks. So only answers are graded, and
+    questions that an attempt leaves out are counted: attempts are never multiplied by questions.
+    """
     q = t.questions.select(c("id").alias("question_id"), "type", "marks", "negative_marks")
     asked = t.exam_questions.where(c("exam_id") == exam).join(q, "question_id")
-    taken = t.attempts.where(c("exam_id") == exam).select(c("id").alias("attempt_id"), "exam_id")
-    frame = taken.join(asked, "exam_id").select("attempt_id", "question_id", "type", "marks", "negative_marks")
+    taken = t.attempts.where(c("exam_id") == exam).groupBy(c("id").alias("attempt_id")).agg(F.count("*").alias("times"))
     given = t.graded_input.join(taken.select("attempt_id"), "attempt_id", "left_semi")
     given = sq.latest(given, ["attempt_id", "question_id"], F.desc("saved_at"), F.desc("line_no"), F.desc("time_spent")).select("attempt_id", "question_id", "key", "answer_payload")
-    return grade(frame.join(given, ["attempt_id", "question_id"], "left"))
+    marked = grade(given.join(asked, "question_id")).groupBy("attempt_id").agg(F.count_if("is_correct").alias("correct"), F.sum("marks_awarded").alias("marks"))
+    every = taken.crossJoin(F.broadcast(asked.agg(F.count("*").alias("questions")))).where("questions > 0").join(marked, "attempt_id", "left")  # one row is broadcast
+    of = lambda n: F.coalesce(n, lit(0)) * c("times")
+    return every.select("attempt_id", of(c("questions")).alias("asked"), of(c("correct")).alias("correct"), of(c("marks")).cast("decimal(18,2)").alias("marks"))
 
 
-plan("j_left_grade", lambda t: grades_of_exam(t, 2).groupBy("attempt_id").agg(F.count("*").alias("asked"), F.count_if("is_correct").alias("correct"), F.sum("marks_awarded").cast("decimal(18,2)").alias("marks")))
+plan("j_left_grade", lambda t: grades_of_exam(t, 2))
 plan("j_semi_some", lambda t: fi.with_related(t.branches, t.students.join(t.attempts.where("status = 'FLAGGED'").select("student_id"), c("id") == c("student_id"), "left_semi"), "branch_id").select("id"))
 plan("j_anti_none", lambda t: fi.without_related(t.attempts, t.answers, "attempt_id").select("id"))
 plan("j_anti_present", lambda t: t.questions.where("subject = 'ECONOMY'").join(t.paper_questions.where("paper_id < 15").select("question_id"), c("id") == c("question_id"), "left_anti").select("id"))

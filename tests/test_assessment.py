@@ -129,3 +129,18 @@ def test_parse_drafts(spark):
     assert got[1] == {0: ("What is the capital of France today?", "SINGLE_CHOICE", ["Paris", "Rome", "Oslo"], None, False), 1: ("Which of these is a metal of note?", "SINGLE_CHOICE", ["Gold", "Salt"], "Gold is. more", False)}
     assert got[2] == {0: ("Name it", "DESCRIPTIVE", None, None, False), 1: ("Pick all that apply to this", "MULTIPLE_CHOICE", ["a", "b", "c"], None, False)}
     assert 3 not in got and got[4][0][0] == "" and got[4][1] == ("fresh one here tail", "DESCRIPTIVE", None, None, True)
+
+
+def test_grades_of_an_exam_count_unanswered_questions_without_a_frame(spark, tmp_path):
+    """Ten thousand attempts of one exam with four thousand questions: too many for a row each."""
+    from gradeloom.plans.assessment import grades_of_exam
+    from gradeloom.sources.adapter import Tables
+
+    n, f = 10_000, str(tmp_path)
+    spark.range(n).selectExpr("id * 50 + 2 AS o_orderkey", "id % 7 AS o_custkey", "'F' AS o_orderstatus", "1.0D AS o_totalprice", "timestamp_ntz '1995-01-01' AS o_orderdate", "'2-HIGH' AS o_orderpriority").write.parquet(f"{f}/orders.parquet")
+    spark.range(4000).selectExpr("id AS p_partkey", "'red' AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id % 50 AS INT) AS p_size", "1.0D AS p_retailprice").write.parquet(f"{f}/part.parquet")
+    spark.range(n // 2).selectExpr("id * 50 + 2 AS l_orderkey", "id % 4000 AS l_partkey", "1L AS l_suppkey", "1 AS l_linenumber", "5.0D AS l_quantity", "10.0D AS l_extendedprice", "0.0D AS l_discount", "0.0D AS l_tax", "'A' AS l_returnflag", "'F' AS l_linestatus", "timestamp_ntz '1995-02-01' AS l_shipdate").write.parquet(f"{f}/lineitem.parquet")
+    g = grades_of_exam(Tables(spark, f), 2)
+    rows = g.collect()
+    assert len(rows) == n and {r.asked for r in rows} == {4000} and sum(r.correct == 0 for r in rows) >= n // 2
+    assert all(r.marks == 0 and r.correct == 0 for r in rows if r.attempt_id >= 50 * (n // 2) + 2)
