@@ -53,10 +53,10 @@ def drafts_of_regions(words: DataFrame, regions: DataFrame, marks: DataFrame, wi
 
     Rows with a null job or page take no part; empty tables give an empty result.
     """
-    heights = ge.median_heights(words)
+    heights = written(ge.median_heights(words).where("job_id IS NOT NULL AND page IS NOT NULL"))
     cols = marks.groupBy(*PAGE).agg(F.count_distinct("col").cast("int").alias("n_cols"), F.min("col").alias("col"))
     first = marks.join(cols, [*PAGE, "col"]).groupBy(*PAGE, "n_cols").agg(F.min(F.col("y0").cast("double")).alias("top"), F.min("left").alias("first_left"), F.min("right").alias("first_right"))
-    read = (words if pages is None else pages).select(*PAGE).where("job_id IS NOT NULL AND page IS NOT NULL").distinct()
+    read = (heights if pages is None else pages).select(*PAGE).where("job_id IS NOT NULL AND page IS NOT NULL").distinct()
     whole = read.join(cols, PAGE, "left_anti").join(heights, PAGE, "left")
     box = {"x0": 0.0, "y0": 0.0, "x1": float(width), "y1": float(height)}
     whole = whole.select(*PAGE, F.lit(0).alias("col"), F.coalesce("h", F.lit(20.0)).alias("h"), F.lit(")").alias("q_punct"), F.lit(0).alias("place"), *[F.lit(v).alias(k) for k, v in box.items()])
@@ -70,7 +70,7 @@ def drafts_of_regions(words: DataFrame, regions: DataFrame, marks: DataFrame, wi
     r = r.where("x1 > x0 AND y1 > y0 AND (size(ws) > 0 OR n_cols = 0)")
     ws, q = F.col("ws"), F.col("q_punct")
     r = r.withColumns({"question_number": top_number(ws, F.col("h"), q), "kind": ge.block_class(ws, q), "stem": ge.has_stem(ws, q), "options": ge.option_count(ws)})
-    r = written(r).withColumn("invalid_crop", (F.col("n_cols") > 0) & F.col("question_number").isNull() & ~F.col("stem"))
+    r = r.withColumn("invalid_crop", (F.col("n_cols") > 0) & F.col("question_number").isNull() & ~F.col("stem"))
     less = lambda c, when, by: F.when(when, F.greatest(F.lit(0.1), c - by)).otherwise(c)
     sure = ge.region_confidence(F.col("y0"), F.col("y1"), F.size("ws"), F.col("options"), F.col("last"), height)
     sure = less(less(sure, F.col("kind") == "UNKNOWN", 0.2), (F.col("kind") == "MCQ") & ~F.col("stem"), 0.3)
@@ -98,18 +98,28 @@ def clean_words(words: DataFrame) -> DataFrame:
     """Words without watermarks; tokens that look like question numbers stay, and misread numbers are set right."""
     marked = words.withColumn("token", F.lower(F.trim("text"))).join(ge.watermarks(words).withColumn("__mark", F.lit(True)), [*PAGE, "token"], "left")
     kept = marked.where(F.col("__mark").isNull() | ge.number_at(F.col("text")).isNotNull()).drop("token", "__mark")
-    return written(kept)
+    return kept
 
 
 def drafts_of_pages(words: DataFrame, width: float, height: float, pages: DataFrame | None = None) -> DataFrame:
     """Questions of whole pages, from their words on: watermarks left out, misread numbers set right, markers in columns,
-    regions cut at inner numbers and at gaps of the sequence, then ``drafts_of_regions``."""
+    regions cut at inner numbers and at gaps of the sequence, then ``drafts_of_regions``.
+
+    Where lines begin doesn't depend on texts, so the tokens with numbers that begin one are looked for once, and
+    misread numbers are set right among them before the words are.
+    """
     words = clean_words(words)
+    starts = written(ge.number_starts(words))
+    fixes = []
     for fix in (ge.truncated_numbers, ge.century_numbers):
-        words = written(ge.corrected(words, fix(ge.in_columns(written(ge.question_markers(words, None)), width))))
-    marks = written(ge.valid_sequence(ge.in_columns(written(ge.question_markers(words)), width)))
-    cut = written(ge.split_regions(ge.regions(marks, width, height), words))
-    return drafts_of_regions(words, written(ge.gap_splits(cut, words)), marks, width, height, pages)
+        fixes.append(written(fix(ge.in_columns(written(ge.question_markers(starts, None, starts)), width))))
+        starts = written(ge.corrected(starts, fixes[-1]))
+    for fixed in fixes:
+        words = ge.corrected(words, fixed)
+    words = written(words)
+    marks = written(ge.valid_sequence(ge.in_columns(written(ge.question_markers(starts, starts=starts)), width)))
+    cut = written(ge.split_regions(ge.regions(marks, width, height), words, starts))
+    return drafts_of_regions(words, written(ge.gap_splits(cut, words, starts)), marks, width, height, pages)
 
 
 # --- where missing questions were lost

@@ -313,7 +313,17 @@ plan("sequence_validate", lambda t: ge.valid_sequence(ge.in_columns(ge.question_
 
 
 def boxes(t):
-    return written(ge.regions(ge.valid_sequence(ge.in_columns(written(ge.question_markers(page_words(t))), W)), W, H))
+    return written(ge.regions(marks_of(t), W, H))
+
+
+def found_marks(t):
+    """Question markers of pages, written, and those that are in sequence."""
+    found = written(ge.question_markers(page_words(t)))
+    return found, written(ge.valid_sequence(ge.in_columns(found, W)))
+
+
+def marks_of(t):
+    return found_marks(t)[1]
 
 
 plan("build_regions", lambda t: boxes(t).select("job_id", "page", "col", "place", "x0", "y0", "x1", "y1"))
@@ -381,18 +391,19 @@ plan("region_confidence", lambda t: page_words(t).select("job_id", "page", "word
 plan("draft_assemble", lambda t: dr.drafts_of_pages(page_words(t), W, H).select("job_id", "page", "col", "position", "question_number", "kind", "options", an.rounded(c("confidence"), 2).alias("confidence"), "invalid_crop", "needs_review", "span_page_end"))
 
 
-def stitched(t):
+def stitched(t, marks=None):
     """Drafts of the plain regions of pages, stitched over the pages of a job."""
-    words, marks = written(page_words(t)), marks_of(t)
-    return written(dr.drafts_of_regions(words, boxes(t), marks, W, H))
+    marks = marks_of(t) if marks is None else marks
+    return written(dr.drafts_of_regions(page_words(t), written(ge.regions(marks, W, H)), marks, W, H))
 
 
-def marks_of(t):
-    return written(ge.valid_sequence(ge.in_columns(written(ge.question_markers(page_words(t))), W)))
+def traced(t):
+    found, marks = found_marks(t)
+    return dr.missing_trace(stitched(t, marks), dr.numbers_read(page_words(t)), found, marks, 62)
 
 
 plan("draft_stitch", lambda t: stitched(t).select("job_id", "page", "col", "position", "question_number", "kind", "options", an.rounded(c("confidence"), 2).alias("confidence"), "invalid_crop", "needs_review", "words", "span_page_end", "header_x0", "header_x1", "header_y1"))
-plan("missing_trace", lambda t: dr.missing_trace(stitched(t), dr.numbers_read(page_words(t)), ge.question_markers(page_words(t)), marks_of(t), 62))
+plan("missing_trace", traced)
 plan("crowded_crops", lambda t: dr.crowded_crops(stitched(t)).select("job_id", "position", F.array_join("numbers", ",").alias("numbers")))
 plan("review_counts", lambda t: dr.review_counts(stitched(t)).select("job_id", F.array_join("numberless", ",").alias("numberless"), "needs_review"))
 plan("quality_report", lambda t: ge.quality_report(t.drafts.select("job_id", "question_number", (c("id") % 11 == 0).alias("invalid_crop"))).select("job_id", "detected", "invalid", "lo", "hi", F.array_join("missing", ",").alias("missing"), F.array_join("duplicates", ",").alias("duplicates"), "coverage_pct"))

@@ -209,3 +209,52 @@ def test_figures_go_to_parts_by_overlap_then_nearness(spark):
         best = min((-max(0.0, min(f.y1, s.y_max) - max(f.y0, s.y_min)), abs((s.y_min + s.y_max) / 2 - (f.y0 + f.y1) / 2), s.i, s.place) for (p, _), s in spans.items() if p == f.page)
         want[f.page, f.figure_id] = best[-1]
     assert {(x.page, x.figure_id): x.place for x in ge.attach_by_region(figures, drafts, texts).collect()} == want
+
+
+def test_near_boxes_of_small_groups_are_joined_in_one_pass(spark, monkeypatch):
+    """Small groups equal the grid's clusters, with repeated keys; odd and large ones go by the grid."""
+    import numpy as np
+
+    from gradeloom.operators import grid
+
+    r, rows = np.random.default_rng(5), []
+    for job in range(30):
+        for i in range(int(r.integers(1, 60))):
+            x, y = r.integers(0, 400, 2)
+            rows.append((job, int(r.integers(0, 50)) + 1, float(x), float(y), float(x + r.integers(0, 40)), float(y + r.integers(0, 14))))
+    odd = [(90, 1, 0.0, 0.0, 5.0, 5.0), (90, 2, 9.0, 9.0, 4.0, 4.0), (91, 1, 0.0, 0.0, None, 5.0), (91, 2, 1.0, 1.0, 2.0, 2.0), (None, 1, 0.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows + odd, "job int, id long, x0 double, y0 double, x1 double, y1 double")
+    pairs = lambda d: sorted((x.job, x.id, x.cluster) for x in d.collect())
+    want = pairs(grid.grid_clusters(df, ["job"], "id", 20.0))
+    assert pairs(grid.clusters(df, ["job"], "id", 20.0)) == want
+    monkeypatch.setattr(grid, "WHOLE", 25)
+    assert pairs(grid.clusters(df, ["job"], "id", 20.0)) == want
+    wrote = []
+    monkeypatch.setattr(grid, "WHOLE", 2000)
+    monkeypatch.setattr(grid, "written", lambda d: wrote.append(d) or d)
+    assert grid.clusters(df.where("job < 30"), ["job"], "id", 20.0).count() and len(wrote) == 1 and wrote[0].count() == 0
+
+
+def test_line_starts_deal_out_pages_once(spark):
+    import numpy as np
+
+    r, rows = np.random.default_rng(6), []
+    for job in range(12):
+        for i in range(int(r.integers(1, 80))):
+            x, y = float(r.integers(0, 300)), float(r.integers(0, 160)) / 2
+            rows.append((job, 1, i % 70, "1.", x, y, x + float(r.integers(0, 40)), y + float(r.integers(-1, 14)), 0.9))
+    rows += [(50, 1, 1, "a", None, 1.0, 2.0, 3.0, 0.9), (50, 1, 2, "b", 3.0, None, 4.0, 5.0, 0.9), (50, 1, None, "c", 5.0, 1.0, 6.0, 3.0, 0.9), (50, 1, 4, "d", 9.0, 1.0, 6.0, 3.0, 0.9), (None, 1, 1, "e", 0.0, 0.0, 1.0, 1.0, 0.9)]
+    want = []
+    for w in rows:
+        on = [o for o in rows if o[:2] == w[:2] and w[0] is not None]
+        hs = sorted(o[7] - o[5] for o in on if o[5] is not None and o[7] > o[5])
+        h = hs[len(hs) // 2] if hs else 20.0
+        near = lambda o: None not in (*o[2:8], *w[2:8]) and abs((o[5] + o[7]) / 2 - (w[5] + w[7]) / 2) <= 0.6 * h and o[2] != w[2] and o[6] <= w[4] and w[4] - o[6] < 2 * h  # noqa: B023, E731
+        if on and not any(map(near, on)):
+            want.append((*w, h))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, ge.line_starts(df).collect()), key=str) == sorted(want, key=str)
+    picked = ge.line_starts(df, F.col("word_id") % 3 == 0)
+    assert sorted(map(tuple, picked.collect()), key=str) == sorted((w for w in want if w[2] is not None and w[2] % 3 == 0), key=str)
+    assert ge.line_starts(df)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert ge.line_starts(df.limit(0)).count() == 0
