@@ -14,6 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ WIDE = SIDE + LEAST  # bytes of surroundings
 BATCH, BUCKET = 1 << 20, 8 << 20
 #: Anchors of more documents than this are looked up window by window, which batches can reduce before.
 HOT = 2000
-#: Suffixes that are sorted at once.
-AT_ONCE = 150_000
+#: Suffixes that are sorted at once, and entries of a bucket that are compared at once; an anchor's stay together.
+AT_ONCE, ENTRIES_AT_ONCE = 50_000, 20_000
 LAST = 2**63 - 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -291,7 +292,7 @@ def maximal_repeats_of(around: np.ndarray, size: np.ndarray, doc: np.ndarray, wi
     offset = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
     wide = np.zeros((len(size), 2 * width), np.uint8)
     wide[:, :width] = around
-    suffix = wide[row[:, None], offset[:, None] + np.arange(width)]
+    suffix = np.lib.stride_tricks.sliding_window_view(wide, width, axis=1)[row, offset]  # no places for each of their bytes
     order = np.argsort(suffix.view(f"S{width}").ravel(), kind="stable")
     row, offset, suffix = row[order], offset[order], suffix[order]
     left = np.where(offset > 0, around[row, np.maximum(offset - 1, 0)].astype(np.int64), -1)
@@ -332,7 +333,7 @@ def _pieces():
         for width in sorted({int(w) for w in p["width"] if w}):
             q = p[p["width"] == width]
             key = np.concatenate([np.frombuffer(x, np.uint64) for x in q["keys"]])
-            rows = np.concatenate([np.frombuffer(x, np.uint8) for x in q["around"]]).reshape(-1, width + 1)
+            rows = np.frombuffer(b"".join(q["around"]), np.uint8).reshape(-1, width + 1)
             doc = np.concatenate([np.frombuffer(x, np.int64) for x in q["doc"]])
             counts = np.array([len(x) // 8 for x in q["keys"]])
             base = np.cumsum(counts) - counts
@@ -340,7 +341,7 @@ def _pieces():
             o_batch = np.repeat(q["batch"].to_numpy(np.int64), [len(x) // 4 for x in q["owner"]])
             o_tid = np.concatenate([np.frombuffer(x, np.int64) for x in q["tid"]])
             o_pos = np.concatenate([np.frombuffer(x, np.int64) for x in q["pos"]])
-            found = _of_bucket(key, rows, doc, width)
+            found = _by_keys(key, rows, doc, width)
             # what was found for surroundings goes to each place that has them
             by = np.argsort(owner, kind="stable")
             o_sorted = owner[by]
@@ -354,11 +355,27 @@ def _pieces():
             for k, x, y in _cuts(batch[order]):
                 i = order[x:y]
                 out.append((k, _pack(*merged(d[i], tid[i], start[i], end[i]))))
+        pa.default_memory_pool().release_unused()  # of the groups before; the worker lives on
         return pd.DataFrame(out, columns=["batch", "pieces"])
 
     return run
 
 
+def _by_keys(key, rows, doc, width, most=None):
+    """What ``_of_bucket`` gives, found for about ``most`` entries at once: only equal keys are compared, and they stay together."""
+    most = most or ENTRIES_AT_ONCE
+    order = np.argsort(key, kind="stable")
+    sorted_key = key[order]
+    edges = np.searchsorted(sorted_key, sorted_key[most - 1 :: most], side="right").tolist()  # each behind the last of its key
+    edges = sorted({0, *edges, len(key)})
+    found = []
+    for x, y in zip(edges[:-1], edges[1:]):
+        i = order[x:y]
+        e, a, z = _of_bucket(key[i], rows[i], doc[i], width)
+        found.append((i[e], a, z))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _of_bucket(key, rows, doc, width):
     """(entry, from, to) of the bytes that repeats with earlier documents cover."""
     order = np.argsort(doc, kind="stable")

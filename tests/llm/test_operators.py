@@ -3,8 +3,10 @@
 import hashlib
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -128,6 +130,24 @@ def test_repeats(spark, options):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_buckets_of_repeats_take_little_memory():
+    r = np.random.default_rng(8)
+    n, wide = 60_000, repeats.WIDE
+    key = np.repeat(np.arange(n // 2, dtype=np.uint64) << np.uint64(3), 2)
+    around = r.integers(97, 123, (n, wide + 1), np.uint8)
+    around[1::2, :60], around[::2, 60], around[1::2, 60], around[:, wide] = around[::2, :60], 65, 66, wide
+    i = r.permutation(n)
+    row = (0, 1, key[i].tobytes(), around[i].tobytes(), wide, np.arange(n)[i].tobytes(), np.arange(n, dtype=np.int32).tobytes(), np.arange(n).tobytes(), np.zeros(n, np.int64).tobytes(), b"")
+    p = pd.DataFrame([row], columns=[c.split()[0] for c in repeats.ENTRIES.split(", ")])
+    tracemalloc.start()
+    out = repeats._pieces()(p)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    doc, _, start, end = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in out["pieces"]], axis=1)
+    assert sorted(doc.tolist()) == list(range(1, n, 2)) and (start == 0).all() and (end == 60).all()
+    assert most < 60e6  # for 6 MB of entries
+
+
 def test_maximal_repeats():
     texts = [b"X" + b"q" * 3 + bytes(range(60, 120)) + b"1", b"Y" + bytes(range(60, 120)) + b"2", b"Z" + bytes(range(62, 120)) + b"3"]
     width = max(map(len, texts))
