@@ -218,8 +218,8 @@ def key_texts(t):
 
 plan("key_pairs", lambda t: ak.key_pairs(key_texts(t)).groupBy("doc_id", "number", "answer").agg(F.count("*").alias("n")))
 plan("key_count", lambda t: key_texts(t).select("doc_id", ak.pair_count(c("text")).alias("pairs")))
-plan("key_parse", lambda t: ak.key_parse(key_texts(t)))
-plan("key_report", lambda t: ak.key_report(ak.key_parse(key_texts(t))).select("doc_id", "entries", "starts_at_one", *[F.array_join(x, ",").alias(x) for x in ("missing", "duplicates", "conflicts", "invalid", "rejected")]))
+plan("key_parse", lambda t: ak.key_parse(key_texts(t), each_once=True))
+plan("key_report", lambda t: ak.text_report(key_texts(t), each_once=True).select("doc_id", "entries", "starts_at_one", *[F.array_join(x, ",").alias(x) for x in ("missing", "duplicates", "conflicts", "invalid", "rejected")]))
 plan("draft_number", lambda t: t.drafts.select("id", ak.draft_number(c("text")).alias("number")))
 
 
@@ -227,7 +227,7 @@ def key_drafts(t):
     return t.drafts.select(c("id").alias("draft_id"), c("id").alias("doc_id"), "text", (c("question_number") % 12).cast("int").alias("question_number"), "option_count", "options_length")
 
 
-plan("key_assign", lambda t: ak.key_assign(key_drafts(t), ak.key_parse(key_texts(t))))
+plan("key_assign", lambda t: ak.key_assign(key_drafts(t), ak.key_parse(key_texts(t), each_once=True)))
 
 
 def page_texts(t):
