@@ -32,7 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word Jaccard similarity 0.8 or more) the document with the smallest id stays.
 
-    SimHash's grid of ``op8`` covers 2 bits, where nearly no such pair lies; the stage finds its pairs by a prefix join.
+    SimHash fingerprints find pairs at 2 bits or less in the grid of ``op8``, which are verified exactly; the pairs that lie
+    further apart are found by a prefix join.
     Texts without words form one group. Rows that repeat the smallest id all stay; a group of null ids only stays whole.
     """
     groups = similar.similar_documents(docs)

@@ -44,6 +44,14 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of some 64-bit hashes have set, as a signed long; 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), BLOCK):
+        ones += bit_counts(h[at : at + BLOCK])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
 def _fingerprints(batches):
     for b in batches:
         fps = [fingerprint(t.as_py()) for t in b.column("text")]
@@ -124,6 +132,12 @@ def _links(cell: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(f[np.array(a, np.int64)]), pa.array(f[np.array(b, np.int64)])], ["a", "b"])
 
 
+def near_fingerprints(fps: DataFrame, distance: int = 2) -> DataFrame:
+    """(a, b): links that join what differs in ``distance`` bits or less, of the distinct fingerprints ``fps`` (fp long)."""
+    cells = fps.select("fp").mapInArrow(_to_cells, "cell long, fp long")
+    return cells.repartition(partitions(fps.sparkSession), "cell").sortWithinPartitions("cell", "fp").mapInArrow(_links_of_cells(distance), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs`` (doc_id, text; other columns are not used).
 
@@ -138,12 +152,9 @@ def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
     """
     if not 0 <= distance <= 2:
         raise ValueError("the cells of this grid cover distances up to 2")
-    spark = docs.sparkSession
     fps = cut(fingerprints(docs))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    cells = classes.select("fp").mapInArrow(_to_cells, "cell long, fp long")
-    links = cells.repartition(partitions(spark), "cell").sortWithinPartitions("cell", "fp").mapInArrow(_links_of_cells(distance), "a long, b long")
-    roots = cut(components(links))
+    roots = cut(components(near_fingerprints(classes, distance)))
     linked = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = linked.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")

@@ -1,4 +1,5 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, whole at any threshold: a prefix join and its verification."""
+"""Near-duplicates by SimHash, verified by the exact Jaccard similarity of word shingles; a prefix join finds the links that
+fingerprints are too far apart for, so that none is lost at any threshold."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.common import Shipped, cut, partitions
 from gradeloom.llm.components import components
+from gradeloom.llm.simhash import majority, near_fingerprints
 
 SEED = 42
 #: Texts (in expectation) that tell which shingles are common, and most of those. They only set the order in
@@ -62,18 +64,19 @@ def may_reach(a: bytes, n_a: int, b: bytes, n_b: int, similarity: float) -> bool
 
 
 def _classes(width):
-    """Texts with the same words are one class; its key is a 64-bit hash of the words. With the shingles' number and parity bits."""
+    """Texts with the same words are one class; its key is a 64-bit hash of the words. With the shingles' number, parity bits and SimHash."""
 
     def run(batches):
         for b in batches:
-            keys, bits, ns = [], [], []
+            keys, bits, ns, fps = [], [], [], []
             for t in b.column("text"):
                 t = t.as_py()
                 h = shingles(t, width)
                 keys.append(xxhash.xxh3_64_intdigest(b" ".join(words_of(t)), SEED))
                 bits.append(parity_bits(h))
                 ns.append(len(h))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(ns, pa.int32())], ["doc_id", "text", "cls", "bits", "n"])
+                fps.append(majority(h))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(ns, pa.int32()), pa.array(fps, pa.int64())], ["doc_id", "text", "cls", "bits", "n", "fp"])
         pa.default_memory_pool().release_unused()
 
     return run
@@ -174,10 +177,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Documents link when the Jaccard similarity of their sets of ``shingle``-word shingles (ASCII letters
     lower-cased, words split at white space) is ``similarity`` or more; component_id is the smallest doc_id
-    that links reach. No link is lost: two such texts share one of the first shingles of each, and every pair
-    that meets there is verified on the whole texts, unless parity bits of the two sets rule it out. First each text is verified against two hubs of each of its
-    shingles; pairs that this has joined already need no other test, so a large group isn't compared all
-    with all. Shingles and texts are told apart by 64-bit hashes.
+    that links reach. SimHash goes first: texts whose fingerprints (of the same shingles) differ in 2 bits or less
+    are verified on the whole texts, and those that link are one group from then on. Fingerprints of texts at the
+    similarity may differ in more bits, so a prefix join follows that loses no link: two such texts share one of
+    the first shingles of each, and every pair of different groups that meets there is verified, unless parity bits
+    of the two sets rule it out. Each text meets two hubs of each of its shingles first; pairs that this has joined
+    already need no other test, so a large group isn't compared all with all. Shingles and texts are told apart by
+    64-bit hashes.
 
     Nulls: a null text has no words; texts without words link. A null doc_id keeps its row and takes part,
     but is no component_id unless its whole component has none. Repeated rows come out each. Empty in, empty out.
@@ -185,8 +191,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     if not 0 < similarity <= 1 or shingle < 1:
         raise ValueError("similarity is above 0 and up to 1, a shingle has a word or more")
     spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_classes(shingle), "doc_id long, text string, cls long, bits binary, n int")
-    texts = cut(keyed.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"), F.first("bits").alias("bits"), F.first("n").alias("n")))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_classes(shingle), "doc_id long, text string, cls long, bits binary, n int, fp long")
+    texts = cut(keyed.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.first("fp").alias("fp")))
     n = max(1, texts.count())
     sample = texts.where(F.pmod(F.xxhash64(F.lit("order"), "cls"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLED / n))))
     top = sample.select("text").mapInArrow(_all_shingles(shingle), "h long").groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
@@ -214,13 +220,24 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         of_b = own.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
         return cut(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, similarity), "a long, b long"))
 
+    # SimHash: of the texts of a fingerprint the first stands for all
+    prints = cut(texts.groupBy("fp").agg(F.min("cls").alias("cls")))
+    of = lambda k: prints.select(F.col("fp").alias(k), F.col("cls").alias(f"cls_{k}"))
+    near = near_fingerprints(prints).distinct().join(of("a"), "a").join(of("b"), "b").select("cls_a", "cls_b")
+    equal = texts.select("fp", F.col("cls").alias("cls_b")).join(of("fp"), "fp").where("cls_fp <> cls_b").select("cls_fp", "cls_b")
+    close_prints = verified(near.union(equal).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")))
+    grouped = cut(components(close_prints))
+    group = lambda k: grouped.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+
     # hubs of a shingle: its middle text by size, and the one that shares most of its first shingles, as a text does that its
     # near copies were made from
     degree = live.groupBy("cls").agg(F.count("*").alias("d"))
     most = live.select("h", "cls", "n").join(degree, "cls").groupBy("h").agg(F.max(F.struct("d", "cls", "n")).alias("most"))
     tried = live.join(most, "h").select("cls", "n", F.explode(F.array(F.struct(F.col("hub").alias("cls"), F.col("hub_n").alias("n")), F.struct("most.cls", "most.n"))).alias("hub"))
     tried = tried.where((F.col("cls") != F.col("hub.cls")) & close(F.col("n"), F.col("hub.n")))
-    stars = verified(tried.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")))
+    apart = tried.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
+    apart = apart.join(group("a"), "a", "left").join(group("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    stars = close_prints.union(verified(apart.select("a", "b")))
     roots = cut(components(stars))
     parts = live.select("h", "cls", "n", "pos").join(roots, live["cls"] == roots["node"], "left").select("h", F.struct("cls", "n", "pos").alias("m"), F.coalesce("root", "cls").alias("part"))
     mixed = parts.groupBy("h").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("h")

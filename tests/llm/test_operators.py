@@ -321,6 +321,19 @@ def test_pipeline_drops_near_copies(spark):
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
 
 
+def test_similar_documents_are_found_by_simhash_first(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    h = r.integers(0, 2**64, 41, np.uint64)
+    assert simhash.majority(h) == sum(1 << k for k in range(63) if 2 * sum(int(x) >> k & 1 for x in h) > 41) - (1 << 63) * (2 * sum(int(x) >> 63 for x in h) > 41)
+    assert simhash.majority(h[:0]) == 0
+    long = [f"w{x}" for x in range(3000)]
+    rows = [(i, " ".join([*long[:-i], *["end"] * i] if i else long)) for i in (0, 1, 2)] + [(9, "some other words")]
+    given, find = [], similar.near_fingerprints
+    monkeypatch.setattr(similar, "near_fingerprints", lambda fps: given.append(find(fps).collect()) or find(fps))
+    got = {x.doc_id: x.component_id for x in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 9: 9} and len(given) == 1 and given[0]
+
+
 def test_parity_bits_rule_out_no_link():
     r = np.random.default_rng(4)
     ruled_out = 0
