@@ -178,12 +178,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Documents link when the Jaccard similarity of their sets of ``shingle``-word shingles (ASCII letters
     lower-cased, words split at white space) is ``similarity`` or more; component_id is the smallest doc_id
     that links reach. SimHash goes first: texts whose fingerprints (of the same shingles) differ in 2 bits or less
-    are verified on the whole texts, and those that link are one group from then on. Fingerprints of texts at the
-    similarity may differ in more bits, so a prefix join follows that loses no link: two such texts share one of
-    the first shingles of each, and every pair of different groups that meets there is verified, unless parity bits
-    of the two sets rule it out. Each text meets two hubs of each of its shingles first; pairs that this has joined
-    already need no other test, so a large group isn't compared all with all. Shingles and texts are told apart by
-    64-bit hashes.
+    are verified on the whole texts, in one round with each text against two hubs of each of its shingles. Fingerprints
+    of texts at the similarity may differ in more bits, so a prefix join follows that loses no link: two such texts share
+    one of the first shingles of each, and every pair of different groups that meets there is verified, unless parity
+    bits of the two sets rule it out. Pairs that the first round has joined need no other test, so a large group isn't
+    compared all with all. Shingles and texts are told apart by 64-bit hashes.
 
     Nulls: a null text has no words; texts without words link. A null doc_id keeps its row and takes part,
     but is no component_id unless its whole component has none. Repeated rows come out each. Empty in, empty out.
@@ -225,9 +224,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     of = lambda k: prints.select(F.col("fp").alias(k), F.col("cls").alias(f"cls_{k}"))
     near = near_fingerprints(prints).distinct().join(of("a"), "a").join(of("b"), "b").select("cls_a", "cls_b")
     equal = texts.select("fp", F.col("cls").alias("cls_b")).join(of("fp"), "fp").where("cls_fp <> cls_b").select("cls_fp", "cls_b")
-    close_prints = verified(near.union(equal).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")))
-    grouped = cut(components(close_prints))
-    group = lambda k: grouped.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    printed = near.union(equal).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
 
     # hubs of a shingle: its middle text by size, and the one that shares most of its first shingles, as a text does that its
     # near copies were made from
@@ -235,9 +232,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     most = live.select("h", "cls", "n").join(degree, "cls").groupBy("h").agg(F.max(F.struct("d", "cls", "n")).alias("most"))
     tried = live.join(most, "h").select("cls", "n", F.explode(F.array(F.struct(F.col("hub").alias("cls"), F.col("hub_n").alias("n")), F.struct("most.cls", "most.n"))).alias("hub"))
     tried = tried.where((F.col("cls") != F.col("hub.cls")) & close(F.col("n"), F.col("hub.n")))
-    apart = tried.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
-    apart = apart.join(group("a"), "a", "left").join(group("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    stars = close_prints.union(verified(apart.select("a", "b")))
+    # verified in one round with SimHash's pairs: each round of components takes much of the driver's memory
+    stars = verified(printed.union(tried.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))))
     roots = cut(components(stars))
     parts = live.select("h", "cls", "n", "pos").join(roots, live["cls"] == roots["node"], "left").select("h", F.struct("cls", "n", "pos").alias("m"), F.coalesce("root", "cls").alias("part"))
     mixed = parts.groupBy("h").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("h")
