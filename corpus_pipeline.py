@@ -57,9 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text. A null text has no tokens, as an empty one."""
     model = unigram_model()
-    both = unigram.decode(unigram.encode(docs, model), model)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return both.select("doc_id", "source", "n_tokens", "ids", same.alias("roundtrip"))
+    return unigram.encode(docs, model, roundtrip=True, keep=["doc_id", "source"])
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies), ("suffix_dedup", cut_repeats), ("mixing", mix), ("sentencepiece", tokens)]

@@ -7,14 +7,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from gradeloom.llm.common import Shipped
 
 MARK = "▁"  # stands for a space inside pieces
 UNKNOWN_PENALTY = 10.0
-#: Segments of text whose pieces a task remembers, and the longest segment that is solved together with others.
-MEMO, TOGETHER = 700_000, 64
+#: Segments of text whose pieces a task remembers beyond those of its last texts (some 200 bytes each), and the longest segment that is solved together with others.
+MEMO, TOGETHER = 60_000, 64
 
 
 class DoubleArray:
@@ -124,10 +126,10 @@ class Unigram:
         parts = []
         for t in texts:
             parts.append(self.split.findall(" " + t) if t else [])
-        new = set().union(*map(set, parts)) - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = set().union(*map(set, parts))
+        own = set().union(*map(set, parts))
+        new = own - self.memo.keys()
+        if len(self.memo) + len(new) > MEMO:  # most segments never come again; those of these texts that came before stay
+            self.memo = {s: self.memo[s] for s in own - new}
         self.learn(list(new))
         get = self.memo.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
@@ -261,71 +263,66 @@ class Unigram:
 
 
 #: Texts of one step: enough to fill the vectors of together(), few enough to stay within some tens of MB.
-STEP_CHARS = 4_000_000
-
-
-def steps(column):
-    """Runs of texts of about STEP_CHARS characters."""
-    texts, chars = [], 0
-    for t in column:
-        t = t.as_py()
-        texts.append(t)
-        chars += len(t or "")
-        if chars >= STEP_CHARS:
-            yield texts
-            texts, chars = [], 0
-    if texts:
-        yield texts
-
-
-def encode(docs: DataFrame, model: Unigram, digests: bool = False) -> DataFrame:
-    """Add n_tokens and ids (array<int>) to ``docs`` (text; other columns stay, these two are replaced).
-
-    With ``digests`` the table has doc_id, n_tokens, ids_md5 (of little-endian 32-bit ids), decoded_sha256 (of
-    the decoded text) and roundtrip (decoded text equals the text) instead. A null or empty text has no
-    tokens and decodes to the empty text, which counts as a round trip. Every row stands alone, so repeated
-    rows give repeated results, and an empty table gives an empty one. A literal U+2581 goes by its bytes and
-    comes back as itself.
-    """
-    box = Shipped(docs.sparkSession, model)  # a few MB, as large as its vocabulary
+STEP_CHARS = 1_000_000
 
-    def ids_of(batches):
-        model = box.get()
-        for b in batches:
-            lists = [x for texts in steps(b.column("text")) for x in model.encode(texts)]
+
+def steps(batch: pa.RecordBatch):
+    """Parts of a batch with about STEP_CHARS bytes of text, and their texts."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    step = np.cumsum(size, dtype=np.int64) // STEP_CHARS
+    edges = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(size)] if len(size) else []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        part = batch.slice(lo, hi - lo)
+        yield part, part.column("text").to_pylist()
+
+
+def encoded(batches, model: Unigram, keep: list[str], roundtrip: bool):
+    """For each step of some batches its columns ``keep``, n_tokens and ids, and with ``roundtrip`` whether these decode to the text."""
+    for b in batches:
+        for part, texts in steps(b):
+            lists = model.encode(texts)
             sizes = np.array([len(x) for x in lists], np.int64)
             if sizes.sum() >= 2**31 - 1:
-                raise ValueError("a batch has more tokens than an Arrow array can hold; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-            flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat, pa.int32()))
-            keep = [c for c in b.schema.names if c not in ("n_tokens", "ids")]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(sizes), ids], [*keep, "n_tokens", "ids"])
+                raise ValueError("a text has more tokens than an Arrow array can hold")
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(lists), pa.int32()))
+            same = [pa.array([model.decode(x) == (t or "") for t, x in zip(texts, lists)], pa.bool_())] if roundtrip else []
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(sizes), ids, *same], [*keep, "n_tokens", "ids", *["roundtrip"] * roundtrip])
+
+
+def encode(docs: DataFrame, model: Unigram, digests: bool = False, roundtrip: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Add n_tokens and ids (array<int>) to ``docs`` (text; the columns ``keep``, or all, stay, these two are replaced).
+
+    With ``roundtrip`` that column (decoded text equals the text) is added too; it is found in the same pass,
+    so texts and ids aren't sent to Python again. With ``digests`` the table has doc_id, n_tokens, ids_md5 (of
+    little-endian 32-bit ids), decoded_sha256 (of the decoded text) and roundtrip instead. A null or empty
+    text has no tokens and decodes to the empty text, which counts as a round trip. Every row stands alone, so
+    repeated rows give repeated results, and an empty table gives an empty one. A literal U+2581 goes by its
+    bytes and comes back as itself. A task goes through its texts in steps, and holds what one step needs.
+    """
+    box = Shipped(docs.sparkSession, model)  # a few MB, as large as its vocabulary
 
     def digests_of(batches):
         model = box.get()
         for b in batches:
-            rows = []
-            for texts in steps(b.column("text")):
+            for part, texts in steps(b):
+                rows = []
                 for t, ids in zip(texts, model.encode(texts)):
                     back = model.decode(ids)
                     rows.append((len(ids), hashlib.md5(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")))
-            n, md5, sha, same = map(list, zip(*rows)) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(md5, pa.string()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_md5", "decoded_sha256", "roundtrip"])
+                n, md5, sha, same = map(list, zip(*rows))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(md5, pa.string()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_md5", "decoded_sha256", "roundtrip"])
 
     if digests:
         return docs.select("doc_id", "text").mapInArrow(digests_of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_md5 string, decoded_sha256 string, roundtrip boolean")
-    kept = docs.drop("n_tokens", "ids")
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return kept.mapInArrow(ids_of, schema)
+    new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("roundtrip", T.BooleanType())] * roundtrip]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in new}]
+    schema = T.StructType([*[docs.schema[c] for c in keep], *new])
+    return docs.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(lambda batches: encoded(batches, box.get(), keep, roundtrip), schema)
 
 
 def decode(tokens: DataFrame, model: Unigram) -> DataFrame:
     """Add decoded (string) to a table with ids array<int>; null ids give null."""
     box = Shipped(tokens.sparkSession, model)
-    from pyspark.sql import types as T
-
     kept = tokens.drop("decoded")
 
     def run(batches):

@@ -560,6 +560,37 @@ def test_unigram_frame(spark):
     assert unigram.encode(long, u, digests=True).where("roundtrip").count() == 3
 
 
+def test_encoder_forgets_segments_that_do_not_come_again():
+    import tracemalloc
+
+    pieces = [(b"", 0.0, "control"), *[(bytes([i]), 0.0, "byte") for i in range(256)], ("▁".encode(), -1.0, "piece"), (b"w", -1.0, "piece"), *[(str(i).encode(), -2.0, "piece") for i in range(100)]]
+    u, r = unigram.Unigram(pieces), np.random.default_rng(8)
+    texts = [[" ".join(f"w{x}" for x in r.integers(0, 10**9, 100)) + " w w7" for _ in range(100)] for _ in range(16)]
+    tracemalloc.start()
+    for t in texts:
+        got = u.encode(t)
+    held = tracemalloc.get_traced_memory()[0] / 1e6
+    tracemalloc.stop()
+    assert held < 15  # all 160,000 segments take 22 MB
+    assert {" w", " w7"} <= u.memo.keys()
+    assert all((a == b).all() for a, b in zip(got, unigram.Unigram(pieces).encode(texts[-1])))
+    assert [u.decode(x) for x in u.encode(texts[0])] == texts[0]
+
+
+def test_tokens_and_round_trip_in_one_pass(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(unigram, "STEP_CHARS", 40)
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([None, "", "a b", "a b", "▁ x" * 30, "🙂 café" * 9, "a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    out = corpus_pipeline.tokens(spark, docs, "")
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids", "roundtrip"]
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    u = corpus_pipeline.unigram_model()
+    got = {r.doc_id: (r.n_tokens, r.ids, r.roundtrip) for r in out.collect()}
+    assert got == {i: (len(x), x, True) for (i, *_), x in zip(rows, [x.tolist() for x in u.encode([r[1] for r in rows])])}
+
+
 def test_scores_of_the_public_table():
     from gradeloom.llm.queries import unigram_model
 
