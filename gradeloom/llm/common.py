@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 import tempfile
 
@@ -37,6 +38,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a few numbers that are worth a task.
+ROWS_A_TASK = 100_000
+
+
+def fitted(df: DataFrame, rows: int, a_task: int = ROWS_A_TASK) -> DataFrame:
+    """``df`` in as many tasks as about ``rows`` rows are worth, all cores at least; where that is over half the shuffle partitions, as it is.
+
+    Else each of many rounds over a small table costs a task, a shuffle file and a checkpoint file for each of the
+    shuffle partitions. Adaptive execution does the same after a shuffle, where it may, but not for checkpoints.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, math.ceil(rows / a_task))
+    return df.coalesce(n) if 2 * n <= partitions(spark) else df
+
+
 def is_finite(c: Column) -> Column:
     """True for a non-null number that is neither NaN nor infinite."""
     d = c.cast("double")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Shipped, cut, partitions
+from gradeloom.llm.common import Shipped, cut, fitted, partitions
 from gradeloom.llm.components import components
 from gradeloom.llm.simhash import majority, near_fingerprints
 
@@ -21,6 +21,9 @@ SEED = 42
 SAMPLED, MOST_COMMON = 5_000, 50_000
 
 
+#: Whole texts that are worth a task, by number and by bytes.
+TEXTS_A_TASK, BYTES_A_TASK = 2_000, 8_000_000
+
 #: Ids that a join broadcasts, at most (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -192,14 +195,17 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_classes(shingle), "doc_id long, text string, cls long, bits binary, n int, fp long")
     texts = cut(keyed.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.first("fp").alias("fp")))
-    n = max(1, texts.count())
+    # so many rows has the prefix join at most
+    size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.floor(F.col("n") * (1 - similarity)) + 1).alias("firsts")).first()
+    n, firsts = max(1, size["n"]), size["firsts"] or 0
+    texts = fitted(texts, math.ceil(max(n / TEXTS_A_TASK, (size["bytes"] or 0) / BYTES_A_TASK)), 1)
     sample = texts.where(F.pmod(F.xxhash64(F.lit("order"), "cls"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLED / n))))
     top = sample.select("text").mapInArrow(_all_shingles(shingle), "h long").groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
     common, counts = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
     order = np.argsort(common)
     box = Shipped(spark, (common[order], counts[order]))
     rows = texts.select("cls", "text").mapInArrow(_prefixes(shingle, similarity, box), "h long, cls long, n int, pos int")
-    live = cut(rows.repartition(partitions(spark), "h").sortWithinPartitions("h", "n", "cls").mapInArrow(_shared, "h long, cls long, n int, pos int, hub long, hub_n int"))
+    live = cut(fitted(rows.repartition(partitions(spark), "h"), firsts).sortWithinPartitions("h", "n", "cls").mapInArrow(_shared, "h long, cls long, n int, pos int, hub long, hub_n int"))
 
     def close(x, y):  # sizes that allow the similarity
         return F.least(x, y) >= F.greatest(x, y) * (similarity - 1e-9)
@@ -208,43 +214,49 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         # where a pair meets in its first common shingle, no more than what follows it in both is shared; every pair meets there
         return F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= (x["n"] + y["n"]) * (similarity / (1 + similarity)) - 1e-6
 
-    def verified(pairs):
+    def verified(pairs, about):  # how many pairs there may be
         # parity bits, a thirtieth of the texts, rule out nearly all pairs before texts are fetched
         bits = lambda k: texts.select(F.col("cls").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
-        pairs = cut(pairs.distinct().join(bits("a"), "a").join(bits("b"), "b").mapInArrow(_possible(similarity), "a long, b long"))
+        pairs = fitted(fitted(pairs, about).distinct(), about).join(bits("a"), "a")
+        pairs = cut(fitted(fitted(pairs, about).join(bits("b"), "b"), about).mapInArrow(_possible(similarity), "a long, b long"))
+        about = pairs.count()
         # only the texts of these pairs are shuffled
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        ids = cut(fitted(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), 2 * about))
         own = texts.select("cls", "text").join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "cls", "left_semi")
         of_a = own.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
         of_b = own.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-        return cut(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, similarity), "a long, b long"))
+        both = fitted(fitted(pairs.join(of_a, "a"), about, TEXTS_A_TASK).join(of_b, "b"), about, TEXTS_A_TASK)
+        return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, similarity), "a long, b long"))
 
     # SimHash: of the texts of a fingerprint the first stands for all
-    prints = cut(texts.groupBy("fp").agg(F.min("cls").alias("cls")))
+    prints = cut(fitted(texts.groupBy("fp").agg(F.min("cls").alias("cls")), n))
     of = lambda k: prints.select(F.col("fp").alias(k), F.col("cls").alias(f"cls_{k}"))
-    near = near_fingerprints(prints).distinct().join(of("a"), "a").join(of("b"), "b").select("cls_a", "cls_b")
-    equal = texts.select("fp", F.col("cls").alias("cls_b")).join(of("fp"), "fp").where("cls_fp <> cls_b").select("cls_fp", "cls_b")
+    near = fitted(fitted(near_fingerprints(prints), n).distinct(), n).join(of("a"), "a")
+    near = fitted(fitted(near, n).join(of("b"), "b"), n).select("cls_a", "cls_b")
+    equal = fitted(texts.select("fp", F.col("cls").alias("cls_b")).join(of("fp"), "fp"), n).where("cls_fp <> cls_b").select("cls_fp", "cls_b")
     printed = near.union(equal).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
 
     # hubs of a shingle: its middle text by size, and the one that shares most of its first shingles, as a text does that its
     # near copies were made from
     degree = live.groupBy("cls").agg(F.count("*").alias("d"))
-    most = live.select("h", "cls", "n").join(degree, "cls").groupBy("h").agg(F.max(F.struct("d", "cls", "n")).alias("most"))
-    tried = live.join(most, "h").select("cls", "n", F.explode(F.array(F.struct(F.col("hub").alias("cls"), F.col("hub_n").alias("n")), F.struct("most.cls", "most.n"))).alias("hub"))
+    most = fitted(live.select("h", "cls", "n").join(degree, "cls"), firsts).groupBy("h").agg(F.max(F.struct("d", "cls", "n")).alias("most"))
+    tried = fitted(live.join(most, "h"), firsts).select("cls", "n", F.explode(F.array(F.struct(F.col("hub").alias("cls"), F.col("hub_n").alias("n")), F.struct("most.cls", "most.n"))).alias("hub"))
     tried = tried.where((F.col("cls") != F.col("hub.cls")) & close(F.col("n"), F.col("hub.n")))
     # verified in one round with SimHash's pairs: each round of components takes much of the driver's memory
-    stars = verified(printed.union(tried.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))))
+    stars = verified(printed.union(tried.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))), 2 * firsts + n)
     roots = cut(components(stars))
-    parts = live.select("h", "cls", "n", "pos").join(roots, live["cls"] == roots["node"], "left").select("h", F.struct("cls", "n", "pos").alias("m"), F.coalesce("root", "cls").alias("part"))
+    parts = fitted(live.select("h", "cls", "n", "pos").join(roots, live["cls"] == roots["node"], "left"), firsts).select("h", F.struct("cls", "n", "pos").alias("m"), F.coalesce("root", "cls").alias("part"))
     mixed = parts.groupBy("h").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("h")
-    left = cut(parts.join(mixed, "h", "left_semi"))
+    left = cut(fitted(parts.join(mixed, "h", "left_semi"), firsts))
+    met_at = left.count()
+    left = fitted(left, met_at)
     x, y = left.alias("x"), left.alias("y")
     met = (F.col("x.h") == F.col("y.h")) & (F.col("x.m.cls") < F.col("y.m.cls")) & (F.col("x.part") != F.col("y.part")) & close(F.col("x.m.n"), F.col("y.m.n"))
     rest = x.join(y, met & may_be_first(F.col("x.m"), F.col("y.m"))).select(F.col("x.m.cls").alias("a"), F.col("y.m.cls").alias("b"))
-    links = stars.union(verified(rest))
+    links = stars.union(verified(rest, max(firsts, 10 * met_at)))
     roots = cut(components(links))
-    linked = texts.select("cls", "least").join(roots, texts["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    linked = fitted(texts.select("cls", "least").join(roots, texts["cls"] == roots["node"], "left"), n).select("cls", "least", F.coalesce("root", "cls").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = linked.join(smallest, "root").select(F.col("cls").alias("__cls"), "component_id")
+    of_class = fitted(linked.join(smallest, "root"), n).select(F.col("cls").alias("__cls"), "component_id")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_keys, "doc_id long, cls long")
     return ids.join(of_class, F.col("cls") == F.col("__cls")).select("doc_id", "component_id")

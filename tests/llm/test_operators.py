@@ -334,6 +334,33 @@ def test_similar_documents_are_found_by_simhash_first(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 0, 9: 9} and len(given) == 1 and given[0]
 
 
+def test_rounds_over_few_links_dont_cost_a_task_for_each_shuffle_partition(spark, monkeypatch):
+    import sys
+
+    written = {}
+    for name in ("gradeloom.llm.components", "gradeloom.llm.similar"):
+        module = sys.modules[name]
+        to = written.setdefault(name.rpartition(".")[2], [])
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut, to=to: to.append((out := cut(df)).rdd.getNumPartitions()) or out)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(30)] + [(i, f"text {i} of its own and of no other") for i in range(30, 60)]
+    links = [(i, i + 1) for i in range(12)] + [(100, i) for i in range(101, 130)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("40", "false")):
+            spark.conf.set(k, v)
+        roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+        rounds = written["components"][1:]
+        assert len(rounds) >= 8 and max(rounds) <= 8
+        got = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert sum(x > 12 for x in written["similar"]) <= 1  # the texts, whose number isn't known before
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert roots == {i: 0 if i < 13 else 100 for i in [*range(13), *range(100, 130)]}
+    assert got == {i: 0 if i < 30 else i for i in range(60)}
+
+
 def test_parity_bits_rule_out_no_link():
     r = np.random.default_rng(4)
     ruled_out = 0
