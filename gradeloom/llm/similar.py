@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.common import Shipped, cut, fitted, partitions
 from gradeloom.llm.components import components
-from gradeloom.llm.simhash import majority, near_fingerprints
+from gradeloom.llm.simhash import SEGMENTS, majority, near_fingerprints
 
 SEED = 42
 #: Texts (in expectation) that tell which shingles are common, and most of those. They only set the order in
@@ -231,7 +231,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     # SimHash: of the texts of a fingerprint the first stands for all
     prints = cut(fitted(texts.groupBy("fp").agg(F.min("cls").alias("cls")), n))
     of = lambda k: prints.select(F.col("fp").alias(k), F.col("cls").alias(f"cls_{k}"))
-    near = fitted(fitted(near_fingerprints(prints), n).distinct(), n).join(of("a"), "a")
+    near = fitted(fitted(near_fingerprints(prints), n * (2 * SEGMENTS + 1)).distinct(), n).join(of("a"), "a")
     near = fitted(fitted(near, n).join(of("b"), "b"), n).select("cls_a", "cls_b")
     equal = fitted(texts.select("fp", F.col("cls").alias("cls_b")).join(of("fp"), "fp"), n).where("cls_fp <> cls_b").select("cls_fp", "cls_b")
     printed = near.union(equal).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
