@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators import geometry as ge
 from gradeloom.operators.geometry import PAGE
-from gradeloom.sources.store import written
+from gradeloom.sources.store import dealt, kept, written
 
 #: Pages of a block: what a page takes from the pages before it is settled within blocks, then over the blocks' ends,
 #: so that no task sorts more than so many rows of a job of up to ``BLOCK`` squared pages.
@@ -40,7 +42,16 @@ def top_number(ws: Column, h: Column, q_punct: Column) -> Column:
     return F.array_min(F.transform(starts, lambda x: F.struct(x["w"]["y0"], x["w"]["x0"], x["w"]["word_id"], x["m"]["num"].alias("num"))))["num"]
 
 
-def drafts_of_regions(words: DataFrame, regions: DataFrame, marks: DataFrame, width: float, height: float, pages: DataFrame | None = None) -> DataFrame:
+def _described(boxes: DataFrame, words: DataFrame, texts: bool) -> DataFrame:
+    """Boxes with what their words say, and without the words: whether they are many or long matters to no later step."""
+    ws, q = F.col("ws"), F.col("q_punct")
+    said = {"question_number": top_number(ws, F.col("h"), q), "kind": ge.block_class(ws, q), "stem": ge.has_stem(ws, q), "options": ge.option_count(ws), "words": F.size(ws)}
+    if texts:
+        said["text"] = F.array_join(F.transform(F.array_sort(F.transform("ws", lambda w: F.struct(w["word_id"], w["text"]))), lambda w: w["text"]), " ")
+    return ge.with_words(boxes, words).withColumns(said).drop("ws", "q_punct", "h")
+
+
+def drafts_of_regions(words: DataFrame, regions: DataFrame, marks: DataFrame, width: float, height: float, pages: DataFrame | None = None, texts: bool = True) -> DataFrame:
     """One draft a region, in order of page, column and height, with questions stitched over pages.
 
     ``words`` as in ``geometry``, ``regions`` as from ``regions``, ``marks`` the validated markers in columns. A page
@@ -49,77 +60,72 @@ def drafts_of_regions(words: DataFrame, regions: DataFrame, marks: DataFrame, wi
     the page's end, stays open; the next page that was read closes it, and if that page has a line's height of
     content above the first marker of its first column, that content (``header_*``) belongs to the open question,
     which then ends there (``span_page_end``) and needs review. ``pages`` (job_id, page) are those that were read;
-    without it the pages that have words. A page that was not read leaves a question open.
+    without it the pages that have words. A page that was not read leaves a question open. Without ``texts`` drafts
+    have no text, which is as large as the words.
 
-    Rows with a null job or page take no part; empty tables give an empty result.
+    Rows with a null job or page take no part; empty tables give an empty result. What is given may go once this returns.
     """
     heights = written(ge.median_heights(words).where("job_id IS NOT NULL AND page IS NOT NULL"))
-    cols = marks.groupBy(*PAGE).agg(F.count_distinct("col").cast("int").alias("n_cols"), F.min("col").alias("col"))
-    first = marks.join(cols, [*PAGE, "col"]).groupBy(*PAGE, "n_cols").agg(F.min(F.col("y0").cast("double")).alias("top"), F.min("left").alias("first_left"), F.min("right").alias("first_right"))
+    top = F.min(F.when(F.col("y0").isNotNull(), F.struct("col", F.col("y0").cast("double").alias("y0"))))
+    cols = marks.groupBy(*PAGE).agg(F.size(F.collect_set("col")).alias("n_cols"), F.min("col").alias("col"), top.alias("top"), F.min_by("left", "col").alias("first_left"), F.min_by("right", "col").alias("first_right"))
+    cols = cols.withColumn("top", F.when(F.col("top.col") == F.col("col"), F.col("top.y0")))
     read = (heights if pages is None else pages).select(*PAGE).where("job_id IS NOT NULL AND page IS NOT NULL").distinct()
     whole = read.join(cols, PAGE, "left_anti").join(heights, PAGE, "left")
     box = {"x0": 0.0, "y0": 0.0, "x1": float(width), "y1": float(height)}
     whole = whole.select(*PAGE, F.lit(0).alias("col"), F.coalesce("h", F.lit(20.0)).alias("h"), F.lit(")").alias("q_punct"), F.lit(0).alias("place"), *[F.lit(v).alias(k) for k, v in box.items()])
-    r = regions.select(*PAGE, F.col("col").cast("int").alias("col"), F.col("h").cast("double").alias("h"), "q_punct", F.col("place").cast("int").alias("place"), *[F.col(k).cast("double").alias(k) for k in box]).unionByName(whole)
+    given = regions.select(*PAGE, F.col("col").cast("int").alias("col"), F.col("h").cast("double").alias("h"), "q_punct", F.col("place").cast("int").alias("place"), *[F.col(k).cast("double").alias(k) for k in box])
+    r = _described(given, words, texts).unionByName(_described(whole, words, texts))
     order = Window.partitionBy(*PAGE).orderBy("col", "y0", "place")
     r = r.join(cols.select(*PAGE, "n_cols"), PAGE, "left").withColumns({"n_cols": F.coalesce("n_cols", F.lit(0)), "last": F.lead(F.lit(1)).over(order).isNull()})
-    kind = "array<struct<y0:double,word_id:bigint,text:string,x0:double,x1:double,y1:double>>"
-    item = F.struct(F.col("wy0").cast("double").alias("y0"), F.col("word_id").cast("long").alias("word_id"), "text", *[F.col(f"w{k}").cast("double").alias(k) for k in ("x0", "x1", "y1")])
-    inside = ge.words_in(words, r, "col", "place").groupBy(*PAGE, "col", "place").agg(F.array_sort(F.collect_list(item)).alias("ws"))
-    r = r.join(inside, [*PAGE, "col", "place"], "left").withColumn("ws", F.coalesce("ws", F.array().cast(kind)))
-    r = r.where("x1 > x0 AND y1 > y0 AND (size(ws) > 0 OR n_cols = 0)")
-    ws, q = F.col("ws"), F.col("q_punct")
-    r = r.withColumns({"question_number": top_number(ws, F.col("h"), q), "kind": ge.block_class(ws, q), "stem": ge.has_stem(ws, q), "options": ge.option_count(ws)})
+    r = r.where("x1 > x0 AND y1 > y0 AND (words > 0 OR n_cols = 0)")
     r = r.withColumn("invalid_crop", (F.col("n_cols") > 0) & F.col("question_number").isNull() & ~F.col("stem"))
     less = lambda c, when, by: F.when(when, F.greatest(F.lit(0.1), c - by)).otherwise(c)
-    sure = ge.region_confidence(F.col("y0"), F.col("y1"), F.size("ws"), F.col("options"), F.col("last"), height)
+    sure = ge.region_confidence(F.col("y0"), F.col("y1"), F.col("words"), F.col("options"), F.col("last"), height)
     sure = less(less(sure, F.col("kind") == "UNKNOWN", 0.2), (F.col("kind") == "MCQ") & ~F.col("stem"), 0.3)
     r = r.withColumn("sure", F.when(F.col("invalid_crop"), F.least(sure, F.lit(0.3))).otherwise(sure))
-    text = F.array_join(F.transform(F.array_sort(F.transform("ws", lambda w: F.struct(w["word_id"], w["text"]))), lambda w: w["text"]), " ")
-    r = written(r.withColumns({"text": text, "words": F.size("ws"), "index": (F.row_number().over(order) - 1).cast("int")}).drop("ws", "stem", "q_punct"))
+    r = written(r.withColumn("index", (F.row_number().over(order) - 1).cast("int")).drop("stem"))
     # every page that was read replaces the open question: by its own last draft, or by none
     own = r.groupBy(*PAGE).agg(F.count("*").alias("n"), F.max(F.when(F.col("last") & (F.col("y1") >= height - 2) & (F.col("n_cols") > 0), F.col("index"))).alias("open_index"))
-    steps = read.join(own, PAGE, "left").join(first, PAGE, "left").join(heights, PAGE, "left")
+    steps = read.join(own, PAGE, "left").join(cols.drop("n_cols", "col"), PAGE, "left").join(heights, PAGE, "left")
     steps = steps.select(*PAGE, F.coalesce("n", F.lit(0)).alias("n"), F.struct(F.col("page").alias("page"), F.col("open_index").alias("index")).alias("open"), "top", "first_left", "first_right", "h")
     steps = carried(steps, ["job_id"], "page", {"open_in": "open"}, {"offset": "n"})
     rounded = lambda c: F.floor(c + 0.5).cast("double")
     steps = written(steps.withColumns({"header_y1": rounded(F.col("top") - F.col("h") * 0.4), "header_x0": F.greatest(F.lit(0.0), rounded(F.col("first_left") - F.col("h") * 0.4)), "header_x1": F.least(F.lit(float(width)), rounded(F.col("first_right")))}))
-    goes_on = steps.where("open_in.index IS NOT NULL AND header_y1 >= h").select("job_id", F.col("open_in.page").alias("page"), F.col("open_in.index").alias("index"), F.col("page").alias("span_page_end"), "header_x0", "header_x1", "header_y1")
-    out = r.join(steps.select(*PAGE, "offset"), PAGE).join(goes_on, [*PAGE, "index"], "left")
-    stitched = F.col("span_page_end").isNotNull()
+    goes_on = steps.where("open_in.index IS NOT NULL AND header_y1 >= h").select("job_id", F.col("open_in.page").alias("page"), F.col("open_in.index").alias("open"), F.col("page").alias("span_page_end"), "header_x0", "header_x1", "header_y1")
+    # a page leaves one question open at most, so drafts meet what goes on by their page alone
+    out = r.join(steps.select(*PAGE, "offset").join(goes_on, PAGE, "left"), PAGE)
+    stitched = F.coalesce(F.col("open") == F.col("index"), F.lit(False))
+    of_open = [F.when(stitched, F.col(k)).alias(k) for k in ("span_page_end", "header_x0", "header_x1", "header_y1")]
     confidence = F.when(stitched, F.least("sure", F.lit(0.55))).otherwise(F.col("sure"))
     return out.select(
         *PAGE, "col", "n_cols", (F.col("offset") + F.col("index")).cast("int").alias("position"), "question_number", "kind", "options", confidence.alias("confidence"), "invalid_crop",
-        (stitched | (F.col("sure") < 0.6) | F.col("invalid_crop")).alias("needs_review"), "text", "words", *box, "span_page_end", "header_x0", "header_x1", "header_y1",
+        (stitched | (F.col("sure") < 0.6) | F.col("invalid_crop")).alias("needs_review"), *["text"] * texts, "words", *box, *of_open,
     )
 
 
 def clean_words(words: DataFrame) -> DataFrame:
     """Words without watermarks; tokens that look like question numbers stay, and misread numbers are set right."""
-    marked = words.withColumn("token", F.lower(F.trim("text"))).join(ge.watermarks(words).withColumn("__mark", F.lit(True)), [*PAGE, "token"], "left")
-    kept = marked.where(F.col("__mark").isNull() | ge.number_at(F.col("text")).isNotNull()).drop("token", "__mark")
-    return kept
+    return ge.watermarked(words).where(~F.col("mark") | ge.number_at(F.col("text")).isNotNull()).drop("mark")
 
 
-def drafts_of_pages(words: DataFrame, width: float, height: float, pages: DataFrame | None = None) -> DataFrame:
+def drafts_of_pages(words: DataFrame, width: float, height: float, pages: DataFrame | None = None, texts: bool = True) -> DataFrame:
     """Questions of whole pages, from their words on: watermarks left out, misread numbers set right, markers in columns,
     regions cut at inner numbers and at gaps of the sequence, then ``drafts_of_regions``.
 
     Where lines begin doesn't depend on texts, so the tokens with numbers that begin one are looked for once, and
-    misread numbers are set right among them before the words are.
+    misread numbers are set right among them before the words are. Words, the tokens and all that is made of them stay
+    dealt out by page: words are shuffled once (by the caller, if they come ``dealt`` by page) and kept once.
     """
-    words = clean_words(words)
-    starts = written(ge.number_starts(words))
-    fixes = []
-    for fix in (ge.truncated_numbers, ge.century_numbers):
-        fixes.append(written(fix(ge.in_columns(written(ge.question_markers(starts, None, starts)), width))))
-        starts = written(ge.corrected(starts, fixes[-1]))
-    for fixed in fixes:
-        words = ge.corrected(words, fixed)
-    words = written(words)
-    marks = written(ge.valid_sequence(ge.in_columns(written(ge.question_markers(starts, starts=starts)), width)))
-    cut = written(ge.split_regions(ge.regions(marks, width, height), words, starts))
-    return drafts_of_regions(words, written(ge.gap_splits(cut, words, starts)), marks, width, height, pages)
+    with ExitStack() as until_end:
+        keep = lambda df: until_end.enter_context(kept(df))
+        words = keep(clean_words(words.select(*PAGE, "word_id", "text", "x0", "y0", "x1", "y1")))
+        starts = keep(dealt(ge.number_starts(words), PAGE))
+        for fix in (ge.truncated_numbers, ge.century_numbers):
+            fixed = keep(fix(ge.in_columns(ge.question_markers(starts, None, starts), width)))
+            starts, words = ge.corrected(starts, fixed), ge.corrected(words, fixed)
+        marks = keep(ge.valid_sequence(ge.in_columns(ge.question_markers(starts, starts=starts), width)))
+        cut = keep(ge.split_regions(ge.regions(marks, width, height), words, starts))
+        return drafts_of_regions(words, keep(ge.gap_splits(cut, words, starts)), marks, width, height, pages, texts)
 
 
 # --- where missing questions were lost

@@ -19,7 +19,7 @@ from gradeloom.operators import state as st
 from gradeloom.plans.registry import plan
 from gradeloom.sources import adapter
 from gradeloom.sources import callbacks as cb
-from gradeloom.sources.store import written
+from gradeloom.sources.store import dealt, written
 
 c, lit = F.col, F.lit
 FLAGSHIP = "topic_reports"
@@ -285,17 +285,19 @@ plan("noise_stem", lambda t: t.drafts.select("id", doc.corrupted(F.concat("text"
 # --- words on pages
 def page_words(t):
     """Words of pages from order lines: sixty or so a page, most pages in two columns."""
-    once = t.raw("lineitem").groupBy("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber").agg(F.max(F.struct("l_quantity", "l_extendedprice")).alias("m")).select("*", "m.*")
+    # a page is a part of a line's key, so lines that come twice meet where their page does
+    lines = t.raw("lineitem").select(c("l_suppkey").alias("job_id"), (c("l_orderkey") % 10).alias("page"), "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    once = dealt(lines, ge.PAGE).groupBy(*ge.PAGE, "l_orderkey", "l_partkey", "l_linenumber").agg(F.max(F.struct("l_quantity", "l_extendedprice")).alias("m")).select("*", "m.*")
     k, x = c("l_linenumber"), c("l_extendedprice").cast("long") % 260
-    x0 = (x + F.when((c("l_suppkey") % 3 != 0) & (k % 2 == 0), 300).otherwise(0)).cast("double")
-    x0 = F.when(k == 1, F.when(c("l_suppkey") % 3 != 0, (c("l_partkey") % 2) * 300).otherwise(0)).otherwise(x0).cast("double")
+    x0 = (x + F.when((c("job_id") % 3 != 0) & (k % 2 == 0), 300).otherwise(0)).cast("double")
+    x0 = F.when(k == 1, F.when(c("job_id") % 3 != 0, (c("l_partkey") % 2) * 300).otherwise(0)).otherwise(x0).cast("double")
     y0 = c("l_quantity") * 16
     text = (
         F.when(k == 1, F.concat((c("l_orderkey") % 60 + 1).cast("string"), lit("."))).when(k == 2, F.concat(lit("("), (c("l_partkey") % 4 + 1).cast("string"), lit(")"))).when(k == 3, F.concat(adapter.nth(list("ABCD"), c("l_partkey") % 4), lit(".")))
         .when(k == 4, F.when(c("l_partkey") % 2 == 0, "True").otherwise("false")).when(k == 5, F.concat(lit("word"), (c("l_partkey") % 50).cast("string"))).when(k == 6, lit("diagram")).otherwise(lit("@"))
     )
     return once.select(
-        c("l_suppkey").alias("job_id"), (c("l_orderkey") % 10).alias("page"), (c("l_orderkey") * 1_000_000 + c("l_partkey") * 10 + k).alias("word_id"), text.alias("text"), x0.alias("x0"), y0.alias("y0"),
+        *ge.PAGE, (c("l_orderkey") * 1_000_000 + c("l_partkey") * 10 + k).alias("word_id"), text.alias("text"), x0.alias("x0"), y0.alias("y0"),
         (x0 + 20 + c("l_partkey") % 20).alias("x1"), (y0 + 12).alias("y1"), ((c("l_quantity") % 10) / 10).alias("conf"),
     )
 
@@ -388,7 +390,7 @@ plan("has_stem", lambda t: page_blocks(t).select("job_id", "page", ge.has_stem(c
 plan("complete_block", lambda t: page_blocks(t).select("job_id", "page", ge.complete(c("ws"), c("q")).alias("complete")))
 plan("option_markers", lambda t: page_blocks(t).select("job_id", "page", F.size(ge.option_labels(c("ws"), c("q"))).alias("labels"), ge.option_count(c("ws")).alias("options")))
 plan("region_confidence", lambda t: page_words(t).select("job_id", "page", "word_id", an.rounded(ge.region_confidence(c("y0"), c("y1") + 8, (c("word_id") % 9), (c("word_id") % 4), c("word_id") % 2 == 0, H), 2).alias("confidence")))
-plan("draft_assemble", lambda t: dr.drafts_of_pages(page_words(t), W, H).select("job_id", "page", "col", "position", "question_number", "kind", "options", an.rounded(c("confidence"), 2).alias("confidence"), "invalid_crop", "needs_review", "span_page_end"))
+plan("draft_assemble", lambda t: dr.drafts_of_pages(page_words(t), W, H, texts=False).select("job_id", "page", "col", "position", "question_number", "kind", "options", an.rounded(c("confidence"), 2).alias("confidence"), "invalid_crop", "needs_review", "span_page_end"))
 
 
 def stitched(t, marks=None):

@@ -258,3 +258,55 @@ def test_line_starts_deal_out_pages_once(spark):
     assert sorted(map(tuple, picked.collect()), key=str) == sorted((w for w in want if w[2] is not None and w[2] % 3 == 0), key=str)
     assert ge.line_starts(df)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     assert ge.line_starts(df.limit(0)).count() == 0
+
+
+def many_pages(spark, jobs=12, pages=6):
+    """Pages of two columns of questions, some with a number misread by a hundred and a stamp on each; seventy words or so a page."""
+    rows = []
+    for job in range(jobs):
+        for p in range(pages):
+            n = 20 * p + 101
+            words = [w for k in range(4) for w in question(n + k, 10, 20 + 190 * k)] + [w for k in range(4) for w in question(n + 4 + k, 320, 20 + 190 * k)]
+            words = [(f"{n + 102}.", x, y) if (job + p) % 3 == 0 and t == f"{n + 2}." else (t, x, y) for t, x, y in words] + [("stamp", 560, y) for y in (5, 300, 700)]
+            rows += [(job, p, 1000 * p + i, t, float(x), float(y), float(x + 8 * len(t)), float(y + 12), 0.9) for i, (t, x, y) in enumerate(words)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def shuffled_records(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_words_of_drafts_are_shuffled_once(spark):
+    words = many_pages(spark)
+    n, before = words.count(), shuffled_records(spark)
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = dr.drafts_of_pages(words, 620.0, 800.0)
+    rows = sorted(map(tuple, got.drop("text").collect()), key=str)
+    moved = sum(k for s, k in shuffled_records(spark).items() if s not in before)
+    assert moved < 2 * n, (moved, n)  # words once; numbers that begin a line, drafts and pages are fewer
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    numbers = sorted((r.job_id, r.page, r.question_number) for r in got.collect())
+    assert numbers == [(j, p, 20 * p + 101 + k) for j in range(12) for p in range(6) for k in range(8)] and "text" in got.columns
+    short = dr.drafts_of_pages(words, 620.0, 800.0, texts=False)
+    assert "text" not in short.columns and sorted(map(tuple, short.collect()), key=str) == rows
+
+
+def test_boxes_meet_words_by_page_as_by_cells(spark):
+    import random
+
+    r = random.Random(11)
+    rows = [(r.choice([1, 2, 3]), r.choice([1, 2, 7]), i % 150, f"w{i}", x := r.uniform(-50, 700), y := r.uniform(-50, 900), x + r.choice([0.0, 8.0, 300.0]), y + r.choice([-5.0, 0.0, 12.0, 200.0]), 0.9) for i in range(400)]
+    rows += [(1, 1, 500, "odd", None, 5.0, 9.0, 9.0, 0.9), (None, 1, 501, "lost", 5.0, 5.0, 9.0, 9.0, 0.9), (1, None, 502, None, 5.0, 5.0, 9.0, 9.0, 0.9), (1, 1, None, "nameless", 5.0, 5.0, 9.0, 9.0, 0.9)]
+    boxes = [(j, p, k, i, a, b, a + r.uniform(-20, 400), b + r.uniform(-20, 500)) for j in (1, 2, 3, None) for p in (1, 2, 9) for k in (0, 1) for i in range(5) for a, b in [(r.uniform(-60, 600), r.uniform(-60, 800))]]
+    w, b = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(boxes, "job_id int, page int, col int, place int, x0 double, y0 double, x1 double, y1 double")
+    want = {}
+    for x in ge.words_in(w, b, "col", "place").collect():
+        want.setdefault((x.job_id, x.page, x.col, x.place), []).append((x.wy0, x.word_id, x.text, x.wx0, x.wx1, x.wy1))
+    got = ge.with_words(b, w).collect()
+    assert len(got) == len(boxes) and sum(len(x.ws) for x in got) > 100
+    for x in got:
+        assert [v[0] for v in x.ws] == sorted(v[0] for v in x.ws)
+        assert sorted(map(tuple, x.ws), key=str) == sorted(want.get((x.job_id, x.page, x.col, x.place), []), key=str)
