@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import ExitStack
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,19 +111,18 @@ def drafts_of_pages(words: DataFrame, width: float, height: float, pages: DataFr
     regions cut at inner numbers and at gaps of the sequence, then ``drafts_of_regions``.
 
     Where lines begin doesn't depend on texts, so the tokens with numbers that begin one are looked for once, and
-    misread numbers are set right among them before the words are. Words, the tokens and all that is made of them stay
-    dealt out by page: words are shuffled once (by the caller, if they come ``dealt`` by page) and kept once.
+    misread numbers are set right among them before the words are. Words and these tokens are kept as they are dealt out by
+    page: words are shuffled once (by the caller, if they come ``dealt`` by page). What is made of them is small and written,
+    so that no plan holds the plans of those before it.
     """
-    with ExitStack() as until_end:
-        keep = lambda df: until_end.enter_context(kept(df))
-        words = keep(clean_words(words.select(*PAGE, "word_id", "text", "x0", "y0", "x1", "y1")))
-        starts = keep(dealt(ge.number_starts(words), PAGE))
+    words = clean_words(words.select(*PAGE, "word_id", "text", "x0", "y0", "x1", "y1"))
+    with kept(words) as words, kept(dealt(ge.number_starts(words), PAGE)) as starts:
         for fix in (ge.truncated_numbers, ge.century_numbers):
-            fixed = keep(fix(ge.in_columns(ge.question_markers(starts, None, starts), width)))
+            fixed = written(fix(ge.in_columns(ge.question_markers(starts, None, starts), width)))
             starts, words = ge.corrected(starts, fixed), ge.corrected(words, fixed)
-        marks = keep(ge.valid_sequence(ge.in_columns(ge.question_markers(starts, starts=starts), width)))
-        cut = keep(ge.split_regions(ge.regions(marks, width, height), words, starts))
-        return drafts_of_regions(words, keep(ge.gap_splits(cut, words, starts)), marks, width, height, pages, texts)
+        marks = written(ge.valid_sequence(ge.in_columns(ge.question_markers(starts, starts=starts), width)))
+        cut = written(ge.split_regions(ge.regions(marks, width, height), words, starts))
+        return drafts_of_regions(words, written(ge.gap_splits(cut, words, starts)), marks, width, height, pages, texts)
 
 
 # --- where missing questions were lost
